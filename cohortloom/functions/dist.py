@@ -166,7 +166,7 @@ def _batchwise(fn):
         out = np.full(len(frame), np.nan)
         if ok.any():
             out[ok] = fn(*[frame.iloc[:, i].to_numpy()[ok] for i in range(frame.shape[1])])
-        return pd.Series(out).where(ok, None)
+        return pd.Series(out)  # NaN leaves the batch as NULL
 
     return run
 
