@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortloom.operators.ranks import number_rows
+from cohortloom.operators.ranks import exact_quantiles, number_rows
 
 
 # ---- columns -------------------------------------------------------------
@@ -215,8 +215,6 @@ def full_join_tables(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles and maximum by group."""
-    from cohortloom.operators.ranks import exact_quantiles
-
     return exact_quantiles(
         df, by, value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
     )
