@@ -92,7 +92,7 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: i
                                      F.col("_radius").alias("radius")).alias("_t"))
     listed = targets.agg(F.collect_list("_t").alias("_targets"))
     keep = F.filter("_targets", lambda t: (
-        (F.element_at("_d", t["cell"] + 1) - t["radius"] <= F.col("_reach"))
+        (F.element_at("_d", t["cell"] + 1) - t["radius"] <= F.col("_reach") * (1 + 1e-9) + 1e-12)
         & ~((t["cell"] == F.col("_cell")) & (t["block"] == F.col("_block")))
     ))
     visits = (
