@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.storage import materialize
 
@@ -61,6 +61,10 @@ def _name(a: str, b: str) -> str:
     return f"x_{a}|{b}"
 
 
+def _number(value: float) -> str:
+    return f"({float(value)!r}D)"
+
+
 class SubjectTable:
     """Per-subject cross-products of response and regressors, kept in shared storage.
 
@@ -82,67 +86,64 @@ class SubjectTable:
         sums = [F.sum(shifted[a] * shifted[b]).alias(_name(a, b)) for a, b in pairs]
         self.table = materialize(used.groupBy(subject).agg(*sums), "subjects")
 
-    def cross(self, a: str, b: str) -> Column:
+    def cross(self, a: str, b: str) -> str:
+        """Cross-product of two centred columns within a subject, as SQL text."""
         order = [self.y, *self.fixed]
         a, b = sorted((a, b), key=order.index)
-        return F.col(_name(a, b))
+        return f"`{_name(a, b)}`"
 
-    def random_cross(self, column: str) -> list[Column]:
+    def random_cross(self, column: str) -> list[str]:
         """Z'c of one subject, Z = [1, slope on its original scale]."""
         first = self.cross(_ONE, column)
         if not self.slope:
             return [first]
-        return [first, self.cross(self.slope, column) + F.lit(self.means[self.slope]) * first]
+        return [first, f"({self.cross(self.slope, column)} + {_number(self.means[self.slope])} * {first})"]
 
-    def gram(self) -> list[list[Column]]:
-        """Z'Z of one subject."""
+    def gram(self) -> list[str]:
+        """n, and with a random slope also sum t and sum t^2 of one subject."""
         n = self.cross(_ONE, _ONE)
         if not self.slope:
-            return [[n]]
-        m = F.lit(self.means[self.slope])
-        t = self.cross(_ONE, self.slope)
+            return [n]
+        m, t = _number(self.means[self.slope]), self.cross(_ONE, self.slope)
         tt = self.cross(self.slope, self.slope)
-        s1 = t + m * n
-        s2 = tt + 2 * m * t + m * m * n
-        return [[n, s1], [s1, s2]]
+        return [n, f"({t} + {m} * {n})", f"({tt} + 2 * {m} * {t} + {m} * {m} * {n})"]
 
-    def solved(self, theta: Sequence[Column]) -> tuple[Column, list[list[Column]]]:
-        """log det of (I + L'Z'ZL) and K = L (I + L'Z'ZL)^-1 L' for the factor L."""
+    def with_solution(self, rows: DataFrame, theta: Sequence[str]) -> DataFrame:
+        """Add log det of M = I + L'Z'ZL and the cells of K = L M^-1 L' for the factor L."""
         if not self.slope:
-            inner = 1 + theta[0] * theta[0] * self.gram()[0][0]
-            return F.log(inner), [[theta[0] * theta[0] / inner]]
+            inner = f"(1 + {theta[0]} * {theta[0]} * {self.gram()[0]})"
+            return rows.selectExpr("*", f"ln{inner} AS _logdet", f"{theta[0]} * {theta[0]} / {inner} AS _k00")
         a, b, c = theta
-        (n, s1), (_, s2) = self.gram()
-        m11 = 1 + a * a * n + 2 * a * b * s1 + b * b * s2
-        m12 = c * (a * s1 + b * s2)
-        m22 = 1 + c * c * s2
-        det = m11 * m22 - m12 * m12
-        i11, i12, i22 = m22 / det, -m12 / det, m11 / det
-        k11 = a * a * i11
-        k12 = a * (b * i11 + c * i12)
-        k22 = b * b * i11 + 2 * b * c * i12 + c * c * i22
-        return F.log(det), [[k11, k12], [k12, k22]]
+        n, s1, s2 = self.gram()
+        rows = rows.selectExpr(
+            "*", f"1 + {a} * {a} * {n} + 2 * {a} * {b} * {s1} + {b} * {b} * {s2} AS _m00",
+            f"{c} * ({a} * {s1} + {b} * {s2}) AS _m01", f"1 + {c} * {c} * {s2} AS _m11",
+        ).selectExpr("*", "_m00 * _m11 - _m01 * _m01 AS _det")
+        return rows.selectExpr(
+            "*", "ln(_det) AS _logdet", f"{a} * {a} * _m11 / _det AS _k00",
+            f"{a} * ({b} * _m11 - {c} * _m01) / _det AS _k01",
+            f"({b} * {b} * _m11 - 2 * {b} * {c} * _m01 + {c} * {c} * _m00) / _det AS _k11",
+        )
 
     def sums(self, thetas: Sequence[Sequence[float]]) -> dict[int, dict[str, float]]:
         """Likelihood sums for a batch of parameters: one aggregate, one row each."""
         q = len(thetas[0])
-        grid = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(f"t{j}") for j, v in enumerate(t)])
-                         for i, t in enumerate(thetas)])
-        rows = self.table.withColumn("_g", F.explode(grid))
-        logdet, k = self.solved([F.col(f"_g.t{j}") for j in range(q)])
+        cells = [", ".join([f"'i', {i}", *[f"'t{j}', {_number(v)}" for j, v in enumerate(t)]])
+                 for i, t in enumerate(thetas)]
+        grid = "array(" + ", ".join(f"named_struct({c})" for c in cells) + ")"
         names = [self.y, *self.fixed]
-        # K once per row, then cheap products
-        size = len(k)
-        cells = {f"_k{i}{j}": k[i][j] for i in range(size) for j in range(i, size)}
-        rows = rows.withColumns({"_logdet": logdet, **cells,
-                                 **{f"_z{i}_{c}": z for c in names for i, z in enumerate(self.random_cross(c))}})
-        kk = lambda i, j: F.col(f"_k{min(i, j)}{max(i, j)}")
-        aggregates = [F.sum("_logdet").alias("logdet")]
+        rows = self.table.selectExpr("*", f"explode({grid}) AS _g")
+        rows = self.with_solution(rows, [f"_g.t{j}" for j in range(q)])
+        size = 2 if self.slope else 1
+        randoms = {c: self.random_cross(c) for c in names}
+        aggregates = [F.expr("sum(_logdet)").alias("logdet")]
         for a, b in itertools.combinations_with_replacement(names, 2):
-            within = sum((F.col(f"_z{i}_{a}") * kk(i, j) * F.col(f"_z{j}_{b}")
-                          for i in range(size) for j in range(size)), F.lit(0.0))
-            aggregates.append(F.sum(self.cross(a, b) - within).alias(_name(a, b)))
-        out = rows.groupBy(F.col("_g.i").alias("i")).agg(*aggregates).collect()  # one row per parameter
+            within = " + ".join(
+                f"{randoms[a][i]} * _k{min(i, j)}{max(i, j)} * {randoms[b][j]}"
+                for i in range(size) for j in range(size)
+            )
+            aggregates.append(F.expr(f"sum({self.cross(a, b)} - ({within}))").alias(_name(a, b)))
+        out = rows.groupBy(F.expr("_g.i").alias("i")).agg(*aggregates).collect()  # one row per parameter
         return {r["i"]: r.asDict() for r in out}
 
     def profile(self, sums: dict[str, float]):
@@ -255,15 +256,16 @@ def predicted_deviations(fit: MixedFit, table: SubjectTable) -> DataFrame:
     Columns: subject, intercept_dev and, with a random slope, slope_dev and the
     subject's total slope.
     """
-    _, k = table.solved([F.lit(t) for t in fit.theta])
-    resid = []
-    ys = table.random_cross(table.y)
-    xs = [table.random_cross(c) for c in table.fixed]
-    for i, zy in enumerate(ys):
-        resid.append(zy - sum((F.lit(float(b)) * x[i] for b, x in zip(fit.beta_centered, xs)), F.lit(0.0)))
-    b = [sum((k[i][j] * resid[j] for j in range(len(k))), F.lit(0.0)) for i in range(len(k))]
-    columns = [b[0].alias("intercept_dev")]
-    if table.slope:
-        fixed = float(fit.beta[fit.terms.index(table.slope)])
-        columns += [b[1].alias("slope_dev"), (b[1] + F.lit(fixed)).alias("slope_total")]
-    return table.table.select(table.subject, *columns)
+    rows = table.with_solution(table.table, [_number(t) for t in fit.theta])
+    fixed = {c: table.random_cross(c) for c in table.fixed}
+    residual = [
+        f"({zy} - (" + " + ".join(f"{_number(b)} * {fixed[c][i]}" for c, b in zip(table.fixed, fit.beta_centered)) + "))"
+        for i, zy in enumerate(table.random_cross(table.y))
+    ]
+    if not table.slope:
+        return rows.selectExpr(table.subject, f"_k00 * {residual[0]} AS intercept_dev")
+    total = _number(fit.beta[fit.terms.index(table.slope)])
+    return rows.selectExpr(
+        table.subject, f"_k00 * {residual[0]} + _k01 * {residual[1]} AS intercept_dev",
+        f"_k01 * {residual[0]} + _k11 * {residual[1]} AS slope_dev",
+    ).selectExpr("*", f"slope_dev + {total} AS slope_total")

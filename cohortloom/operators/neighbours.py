@@ -105,8 +105,14 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: i
         "_chunk", F.pmod(F.xxhash64(key), F.col("_chunks")).cast("int"))
     hosts = blocked.select(key, "_v", "_cell", "_block").join(load, ["_cell", "_block"]).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    place_keys = ("_cell", "_block", "_chunk")
-    far = visits.groupBy(*place_keys).cogroup(hosts.groupBy(*place_keys)).applyInPandas(nearest, near_schema)
+    # own column names on the host side: both sides stem from the same blocks
+    hosts = hosts.select(F.col(key).alias("_host"), F.col("_v").alias("_host_v"),
+                         *[F.col(c).alias(f"{c}_at") for c in ("_cell", "_block", "_chunk")])
+    far = (
+        visits.groupBy("_cell", "_block", "_chunk")
+        .cogroup(hosts.groupBy("_cell_at", "_block_at", "_chunk_at"))
+        .applyInPandas(lambda q, h: nearest(q, h.rename(columns={"_host": key, "_host_v": "_v"})), near_schema)
+    )
     ordered = F.array_sort(F.collect_list(F.struct("distance", "neighbour")))
     return (
         own.unionByName(far).groupBy(key).agg(F.slice(ordered, 1, k).alias("_best"))

@@ -1,3 +1,7 @@
+import os
+
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import sys
 from pathlib import Path
 
