@@ -44,9 +44,22 @@ def poisson_thresholds(count: int = 12) -> list[float]:
     return out
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count for a uniform draw (inverse distribution function)."""
-    weight = F.lit(0)
-    for t in poisson_thresholds():
-        weight = weight + (u >= F.lit(t)).cast("int")
-    return weight
+def words(digest_text: Column) -> Column:
+    """The four 32-bit words of a digest as an array of hex text."""
+    return F.array(*[F.substring(digest_text, 1 + 8 * s, 8) for s in range(DRAWS_PER_DIGEST)])
+
+
+def poisson_weight(word: Column) -> Column:
+    """Poisson(1) count of a 32-bit hex word (inverse distribution function).
+
+    The limits are compared as hex text of equal width, which orders like the
+    number, so no draw is converted.
+    """
+    weight = None
+    for count, t in enumerate(poisson_thresholds()):
+        limit = math.ceil(t * _SCALE)
+        if limit >= _SCALE:
+            break
+        below = word < F.lit(format(limit, "08x"))
+        weight = F.when(below, count) if weight is None else weight.when(below, count)
+    return weight.otherwise(count)

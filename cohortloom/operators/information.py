@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.functions import draws
 from cohortloom.functions.scalars import specificity_category
-from cohortloom.operators.ranks import exact_quantiles, number_rows, prefix_sums
+from cohortloom.operators.ranks import exact_quantiles, number_rows, prefix_sums, slice_groups
 from cohortloom.storage import materialize
 
 LN2 = math.log(2.0)
@@ -155,11 +155,11 @@ def _information(contingency: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, by: Sequence[str], value: str, y: str, bins: int = 5,
-                       weight: str | None = None) -> DataFrame:
+                       weight: str | None = None, small_groups: bool = False) -> DataFrame:
     """Mutual information (nats) of the binned value and the class, per group."""
     by = list(by)
     counts = class_counts(df, by, value, y, weight)
-    ranked = prefix_sums(counts, by, [value], {"_p": "pos", "_n": "neg"}, totals=True)
+    ranked = prefix_sums(counts, by, [value], {"_p": "pos", "_n": "neg"}, totals=True, small_groups=small_groups)
     binned = ranked.withColumn(
         "bin", bin_of(F.col("_p") + F.col("_n"), F.col("_p_total") + F.col("_n_total"), bins)
     )
@@ -177,10 +177,8 @@ def _replicate_blocks(df: DataFrame, n: int, seed: int, sample: str) -> DataFram
 
 
 def _expand_slots(df: DataFrame, n: int, keep: Sequence[str]) -> DataFrame:
-    slots = F.array(*[
-        draws.poisson_weight(draws.uniform_at(F.col("_digest"), s)) for s in range(draws.DRAWS_PER_DIGEST)
-    ])
-    rows = df.select(*keep, "_block", F.posexplode(slots).alias("_slot", "w"))
+    rows = df.select(*keep, "_block", F.posexplode(draws.words(F.col("_digest"))).alias("_slot", "_word"))
+    rows = rows.withColumn("w", draws.poisson_weight(F.col("_word"))).drop("_word")
     rows = rows.withColumn("b", F.col("_block") * draws.DRAWS_PER_DIGEST + F.col("_slot"))
     return rows.where((F.col("w") > 0) & (F.col("b") < n)).drop("_slot")
 
@@ -198,7 +196,11 @@ def resampled_information(df: DataFrame, sample: str, feature: str, value: str,
         rows = _replicate_blocks(df.select(sample, feature, value, y), n, seed, sample)
         placed = rows.repartition(feature, "_block")
         spread = _expand_slots(placed, n, [feature, value, y])
-        return mutual_information(spread, [feature, "_block", "b"], value, y, bins, "w").drop("_block")
+        # a resample has no more distinct values than the data: one check for all
+        small = slice_groups(df.select(feature, value, sample), [feature], [value, sample]) is None
+        return mutual_information(
+            spread, [feature, "_block", "b"], value, y, bins, "w", small_groups=small
+        ).drop("_block")
     binned = equal_frequency_bins(df, [feature], value, bins).select(feature, value, "bin")
     rows = df.select(sample, feature, value, y).join(binned, [feature, value])
     spread = _expand_slots(_replicate_blocks(rows, n, seed, sample), n, [feature, "bin", y])
@@ -226,7 +228,7 @@ def selection_frequency(flagged: DataFrame, feature: str, n: int | None = None)
 def information_stability(df: DataFrame, sample: str, feature: str, value: str, y: str, n: int = 100,
                           top_k: int = 100, seed: int = 1, bins: int = 5, rebin: bool = True) -> DataFrame:
     """Median, mean, SD and selection frequency of the score over resamples."""
-    scores = resampled_information(df, sample, feature, value, y, n, seed, bins, rebin)
+    scores = materialize(resampled_information(df, sample, feature, value, y, n, seed, bins, rebin), "scores")
     flagged = top_per_replicate(scores, "b", feature, "mi", top_k)
     return flagged.groupBy(feature).agg(
         F.percentile("mi", 0.5).alias("mi_median"),  # one value per replicate

@@ -68,14 +68,16 @@ def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Data
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                sums: Mapping[str, Column | str], totals: bool = False) -> DataFrame:
+                sums: Mapping[str, Column | str], totals: bool = False,
+                small_groups: bool = False) -> DataFrame:
     """Running sums over the rows that come earlier in each group.
 
     For each ``name: value`` adds ``name`` = sum of value over strictly earlier
     rows (0 for the first), and with ``totals`` also ``name_total``.
+    ``small_groups`` tells that the caller has checked the group sizes.
     """
     by, order = list(by), list(order)
-    sliced = slice_groups(df, by, order)
+    sliced = None if small_groups else slice_groups(df, by, order)
     sums = {n: (F.col(v) if isinstance(v, str) else v) for n, v in sums.items()}
     keys = by + [SLICE] if sliced is not None else by
     source = sliced if sliced is not None else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions import draws
 from cohortloom.operators.neighbours import exact_neighbours
@@ -29,28 +29,12 @@ def bootstrap_rows(df: DataFrame, n: int, seed: int, key: Sequence[str],
     keys = [F.col(k) for k in key]
     blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(_blocks(n) - 1))))
     hashed = blocks.withColumn("_digest", draws.digest(seed, F.col("_block"), *keys))
-    slots = F.array(*[
-        draws.poisson_weight(draws.uniform_at(F.col("_digest"), s)) for s in range(draws.DRAWS_PER_DIGEST)
-    ])
-    rows = hashed.select(*df.columns, "_block", F.posexplode(slots).alias("_slot", weight))
+    rows = hashed.select(*df.columns, "_block", F.posexplode(draws.words(F.col("_digest"))).alias("_slot", "_word"))
+    rows = rows.withColumn(weight, draws.poisson_weight(F.col("_word"))).drop("_word")
     rows = rows.withColumn(replicate, F.col("_block") * draws.DRAWS_PER_DIGEST + F.col("_slot"))
     return rows.where((F.col(weight) > 0) & (F.col(replicate) < n)).drop("_block", "_slot")
 
 
-def bootstrap_weights(seed: int, first: int, count: int, *key: Column) -> Column:
-    """Array of Poisson(1) weights of a row for replicates first .. first+count-1.
-
-    ``first`` and ``count`` must be multiples of four.
-    """
-    step = draws.DRAWS_PER_DIGEST
-    blocks = F.sequence(F.lit(first // step), F.lit((first + count) // step - 1))
-    weights = F.transform(
-        F.transform(blocks, lambda k: draws.digest(seed, k, *key)),
-        lambda d: F.array(*[draws.poisson_weight(draws.uniform_at(d, s)) for s in range(step)]),
-    )
-    return F.flatten(weights)
-
-
 def permuted_outcome(df: DataFrame, n: int, seed: int, key: Sequence[str], outcome: str,
                      replicate: str = "b") -> DataFrame:
     """Every row n times, each replicate with the outcome shuffled among the rows.
