@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.operators.ranks import rank_auc
-from cohortloom.operators.resample import stratified_folds, upsample
+from cohortloom.operators.resample import smote, stratified_folds, upsample
 
 
 def with_vector(df: DataFrame, array: str = "features", out: str = "vector") -> DataFrame:
@@ -55,13 +55,27 @@ def auc_summary(per_fold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                                      F.count("auc").alias("n_folds"))
 
 
+def balanced(train: DataFrame, key: str, y: str, how: Sequence[str], seed: int, array: str = "features") -> DataFrame:
+    """Training rows balanced by synthetic minority rows (``smote``), copies (``up``), or both in turn."""
+    out = train.select(key, y, array)
+    if "smote" in how:
+        made = smote(out, key, array, y, 5, seed)
+        out = out.unionByName(made.select(key, F.lit(1).cast(out.schema[y].dataType).alias(y), array))
+    if "up" in how:
+        # several rows of one key are told apart by their values
+        ranked = out.withColumn("_row", F.xxhash64(array))
+        out = upsample(ranked, [], y, [key, "_row"], seed).drop("copy", "_row")
+    return out
+
+
 def cross_validate(df: DataFrame, key: str, y: str, grid: Sequence[str], folds: int = 5, repeats: int = 5,
-                   n_trees: int = 100, seed: int = 42, balance: str | None = "up",
+                   n_trees: int = 100, seed: int = 42, balance: Sequence[str] = ("up",),
                    array: str = "features") -> DataFrame:
     """Held-out scores of every grid value and fold: (setting, repeat, fold, key, y, prob).
 
-    Balancing touches the training rows of a fold only.  The loop runs over
-    model fits (settings x repeats x folds), each a distributed job.
+    Balancing touches the training rows of a fold only, so no synthetic row or
+    copy can leak into the rows that judge it.  The loop runs over model fits
+    (settings x repeats x folds), each a distributed job.
     """
     assigned = stratified_folds(df.select(key, y, array), y, [key], folds, repeats, seed).persist()
     out = None
@@ -70,8 +84,7 @@ def cross_validate(df: DataFrame, key: str, y: str, grid: Sequence[str], folds:
             for fold in range(folds):
                 here = assigned.where(F.col("repeat") == repeat)
                 train, held = here.where(F.col("fold") != fold), here.where(F.col("fold") == fold)
-                if balance == "up":
-                    train = upsample(train, [], y, [key], seed)
+                train = balanced(train, key, y, balance, seed, array)
                 train, held = with_vector(train, array), with_vector(held, array)
                 for setting in grid:
                     model = forest(n_trees, setting, seed=seed, label=y).fit(train)
