@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.operators.ranks import rank_auc
 from cohortloom.operators.resample import smote, stratified_folds, upsample
+from cohortloom.storage import materialize
 
 
 def with_vector(df: DataFrame, array: str = "features", out: str = "vector") -> DataFrame:
@@ -84,7 +85,8 @@ def cross_validate(df: DataFrame, key: str, y: str, grid: Sequence[str], folds:
             for fold in range(folds):
                 here = assigned.where(F.col("repeat") == repeat)
                 train, held = here.where(F.col("fold") != fold), here.where(F.col("fold") == fold)
-                train = balanced(train, key, y, balance, seed, array)
+                # read by every pass of every tree: written once
+                train = materialize(balanced(train, key, y, balance, seed, array), "fold-train")
                 train, held = with_vector(train, array), with_vector(held, array)
                 for setting in grid:
                     model = forest(n_trees, setting, seed=seed, label=y).fit(train)

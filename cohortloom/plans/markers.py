@@ -45,8 +45,8 @@ def train_and_test(train: DataFrame, tests: Mapping[str, DataFrame], key: str, y
         classify.cross_validate(train, key, y, grid, folds, repeats, n_trees, seed, balance), "fold-scores")
     tuning = classify.tune(scores, y)
     best = tuning.first()
-    fitted = classify.forest(n_trees, best.setting, seed=seed, label=y).fit(
-        classify.with_vector(classify.balanced(train, key, y, balance, seed)))
+    final = materialize(classify.balanced(train, key, y, balance, seed), "final-train")
+    fitted = classify.forest(n_trees, best.setting, seed=seed, label=y).fit(classify.with_vector(final))
     metrics = None
     for group, df in tests.items():
         one = evaluate(fitted, df, key, y, group)
