@@ -395,9 +395,9 @@ def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
             yield out
 
     for _ in range(rounds):
-        # one coefficient row per group: a few thousand replicates at most
-        carried = F.broadcast(state.select(*by, "_beta"))
-        rows = base.join(carried, by) if by else base.crossJoin(carried)
+        # coefficients are a stored table of known size: Spark broadcasts it while it is small
+        carried = state.select(*by, "_beta")
+        rows = base.join(carried, by) if by else base.crossJoin(F.broadcast(carried))  # one row
         eta = sum((F.element_at("_x", i + 1) * F.element_at("_beta", i + 1) for i in range(p)), F.lit(0.0))
         rows = rows.withColumn("_mu", 1 / (1 + F.exp(-eta)))
         curve = F.col("_w") * F.col("_mu") * (1 - F.col("_mu"))

@@ -102,27 +102,29 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                name: str, total: str | None = None) -> DataFrame:
+                name: str, total: str | None = None, small_groups: bool = False) -> DataFrame:
     """Number the rows of each group from 1; optionally add the group size."""
-    out = prefix_sums(df, by, order, {"_n": F.lit(1).cast("long")}, totals=total is not None)
+    one = F.lit(1).cast("long")
+    out = prefix_sums(df, by, order, {"_n": one}, total is not None, small_groups)
     out = out.withColumn(name, F.col("_n") + 1).drop("_n")
     return out.withColumnRenamed("_n_total", total) if total else out
 
 
 def later_minimum(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                  value: str, name: str) -> DataFrame:
+                  value: str, name: str, small_groups: bool = False) -> DataFrame:
     """Minimum of ``value`` over this row and all later rows of the group."""
     by, order = list(by), list(order)
-    sliced = slice_groups(df, by, order)
+    sliced = None if small_groups else slice_groups(df, by, order)
     keys = by + [SLICE] if sliced is not None else by
     source = sliced if sliced is not None else df
     place = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    onward = place.orderBy(*order).rowsBetween(W.currentRow, W.unboundedFollowing)
+    # read backwards: a frame that ends at the last row is recomputed for every row
+    onward = place.orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
     if sliced is None:
         return source.withColumn(name, F.min(value).over(onward))
     per_slice = source.groupBy(*keys).agg(F.min(value).alias("_low"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    after = group.orderBy(SLICE).rowsBetween(1, W.unboundedFollowing)
+    after = group.orderBy(F.desc(SLICE)).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_slice.withColumn("_later", F.min("_low").over(after)).drop("_low")
     scanned = source.withColumn(name, F.min(value).over(onward)).join(offsets, keys)
     return scanned.withColumn(name, F.least(name, "_later")).drop(SLICE, "_later")
@@ -136,14 +138,16 @@ def adjust_fdr(df: DataFrame, by: Sequence[str], p: str, key: Sequence[str], nam
     """
     order = ["_p", *key]
     tested = df.withColumn("_p", F.coalesce(p, F.lit(2.0)))
+    small = slice_groups(tested, by, order) is None
     ranked = prefix_sums(
         tested, by, order,
         {"_rank": F.lit(1).cast("long"), "_tests": F.col(p).isNotNull().cast("long")}, totals=True,
+        small_groups=small,
     )
     scaled = ranked.withColumn(
         "_scaled", F.col(p) * F.col("_tests_total") / (F.col("_rank") + 1)
     ).drop("_rank", "_tests", "_rank_total", "_tests_total")
-    out = later_minimum(scaled, by, order, "_scaled", "_q")
+    out = later_minimum(scaled, by, order, "_scaled", "_q", small_groups=small)
     capped = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_q"))
     return out.withColumn(name, capped).drop("_p", "_scaled", "_q")
 

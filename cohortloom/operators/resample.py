@@ -81,7 +81,10 @@ def upsample(df: DataFrame, by: Sequence[str], label: str, key: Sequence[str], s
     by = list(by)
     sizes = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_size"))
     largest = sizes.groupBy(*by).agg(F.max("_size").alias("_largest"))
-    targets = sizes.join(largest, by) if by else sizes.crossJoin(F.broadcast(largest))
+    if by:
+        targets = sizes.join(largest, by)
+    else:  # one row per class
+        targets = F.broadcast(sizes.crossJoin(F.broadcast(largest)))
     hashed = df.withColumn("_order", draws.digest(seed, F.lit(0), *[F.col(k) for k in key]))
     ranked = number_rows(hashed, [*by, label], ["_order", *key], "_position")
     joined = ranked.join(targets, [*by, label])

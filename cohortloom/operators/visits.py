@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortloom.operators.ranks import number_rows
+from cohortloom.operators.ranks import number_rows, rows_per_slice
 from cohortloom.operators.tables import keep_repeated
 
 DAYS_PER_YEAR = 365.25
@@ -26,6 +26,23 @@ def number_visits(df: DataFrame, subject: str, day: str, tiebreak: Sequence[str]
     return numbered.withColumn("years", F.col(day) / F.lit(DAYS_PER_YEAR))
 
 
+def visit_series(df: DataFrame, subject: str, date: str, tiebreak: Sequence[str],
+                 at_least: int = 2) -> DataFrame:
+    """Days and years from baseline and visit numbers, for dated rows.
+
+    First date and row count come from one aggregate over two columns, which
+    also tells whether any subject is too large for a plain window; rows are
+    then shuffled by subject once, for the join and the numbering alike.
+    """
+    summary = df.groupBy(subject).agg(F.min(date).alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    largest = summary.agg(F.max("_rows")).first()[0] or 0
+    kept = df.join(summary.where(F.col("_rows") >= at_least), subject)
+    dated = kept.withColumn("day", F.datediff(date, "_start")).drop("_start", "_rows")
+    small = largest <= rows_per_slice(df)
+    numbered = number_rows(dated, [subject], ["day", *tiebreak], "visit", small_groups=small)
+    return numbered.withColumn("years", F.col("day") / F.lit(DAYS_PER_YEAR))
+
+
 def baseline_rows(df: DataFrame, subject: str, day: str) -> DataFrame:
     """All rows at the subject's first time."""
     start = df.groupBy(subject).agg(F.min(day).alias(day))

@@ -25,7 +25,7 @@ def marker_table(df: DataFrame, feature: str, value: str, y: str, names: DataFra
 
 def sample_vectors(df: DataFrame, sample: str, feature: str, value: str, y: str, panel: DataFrame) -> DataFrame:
     """One row per sample with the panel's values in feature order."""
-    kept = df.join(F.broadcast(panel.select(feature)), feature, "left_semi")  # the chosen markers
+    kept = df.join(panel.select(feature), feature, "left_semi")
     return tables.assemble(kept, [sample, y], feature, value)
 
 

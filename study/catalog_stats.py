@@ -144,19 +144,19 @@ def single_model_summary(spark, folder):
     return f.select("term", F.col("n").cast("long").alias("n"), real("estimate", 5).alias("estimate"), real("std_error", 5).alias("std_error"), real("sigma2", 2).alias("sigma2"))
 
 
-_LIMMA = f"""{MEASURE_SQL}, g as (select feature, count_if(y = 1) as a, count_if(y = 0) as b, avg(case when y = 1 then value end) as p, avg(case when y = 0 then value end) as q,
+_FEATURE_FIT = f"""{MEASURE_SQL}, g as (select feature, count_if(y = 1) as a, count_if(y = 0) as b, avg(case when y = 1 then value end) as p, avg(case when y = 0 then value end) as q,
  var_pop(case when y = 1 then value end) as vp, var_pop(case when y = 0 then value end) as vq, avg(value) as ave from measure group by 1),
 fit as (select feature, p - q as log_fc, 1.0::double / a + 1.0::double / b as unscaled, (a * vp + b * vq) / (a + b - 2) as sigma2, (a + b - 2)::double as df, ave from g)"""
 
 
-@query(f"with {_LIMMA} select feature, {sql_real('log_fc')} as log_fc, {sql_real('unscaled', 8)} as unscaled_var, {sql_real('sigma2', 8)} as sigma2, {sql_real('df', 1)} as df, {sql_real('ave')} as ave_expr from fit")
+@query(f"with {_FEATURE_FIT} select feature, {sql_real('log_fc')} as log_fc, {sql_real('unscaled', 8)} as unscaled_var, {sql_real('sigma2', 8)} as sigma2, {sql_real('df', 1)} as df, {sql_real('ave')} as ave_expr from fit")
 def shared_design_fit(spark, folder):
     f = linmod.fit_features(measure(spark, folder), "feature", "value", ["y"], "y")
     return f.select("feature", real("log_fc").alias("log_fc"), real("unscaled_var", 8).alias("unscaled_var"), real("sigma2", 8).alias("sigma2"),
                     real("df", 1).alias("df"), real("ave_expr").alias("ave_expr"))
 
 
-@query(f"with {_LIMMA}, m as (select *, (4.0 * 0.05 + df * sigma2) / (4.0 + df) as post from fit) select feature, {sql_real('post', 8)} as post_var, {sql_real('log_fc / sqrt(post * unscaled)', 5)} as t from m")
+@query(f"with {_FEATURE_FIT}, m as (select *, (4.0 * 0.05 + df * sigma2) / (4.0 + df) as post from fit) select feature, {sql_real('post', 8)} as post_var, {sql_real('log_fc / sqrt(post * unscaled)', 5)} as t from m")
 def moderated_t(spark, folder):
     f = linmod.fit_features(measure(spark, folder), "feature", "value", ["y"], "y")
     return linmod.moderate(f, 4.0, 0.05).select("feature", real("post_var", 8).alias("post_var"), real("t", 5).alias("t"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortloom.functions.draws import poisson_thresholds
-from cohortloom.operators.visits import days_from_baseline, number_visits
+from cohortloom.operators.visits import visit_series
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,8 +33,7 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("subject"), F.col("o_orderdate").alias("date"),
         F.col("o_orderkey").alias("record"), F.col("o_totalprice").alias("price"))
-    dated = days_from_baseline(orders, "subject", "date")
-    numbered = number_visits(dated, "subject", "day", ["record"])
+    numbered = visit_series(orders, "subject", "date", ["record"])
     return numbered.withColumn("score", score("subject", "price", "years"))
 
 

@@ -89,6 +89,19 @@ def test_visits_drop_single_and_break_ties(spark):
     assert out[2].years == pytest.approx(365 / 365.25)
 
 
+@pytest.mark.parametrize("sliced", [False, True])
+def test_series_agrees_with_separate_steps(spark, request, sliced):
+    if sliced:
+        request.getfixturevalue("tiny_slices")
+    rng = np.random.default_rng(3)
+    day = datetime.date(2020, 1, 1)
+    rows = [("hot" if rng.random() < 0.4 else f"s{rng.integers(0, 30)}", day + datetime.timedelta(int(rng.integers(0, 20))), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "s string, date date, rec int")
+    a = visits.visit_series(df, "s", "date", ["rec"]).select("rec", "day", "visit").toPandas().sort_values("rec")
+    b = visits.number_visits(visits.days_from_baseline(df, "s", "date"), "s", "day", ["rec"]).select("rec", "day", "visit").toPandas().sort_values("rec")
+    assert a.values.tolist() == b.values.tolist() and len(a) > 100
+
+
 def test_constant_time_has_no_slope(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0)], "s string, t double, y double")
     assert visits.slopes(df, ["s"], "y", "t").first().slope is None
