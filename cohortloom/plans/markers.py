@@ -31,7 +31,7 @@ def sample_vectors(df: DataFrame, sample: str, feature: str, value: str, y: str,
 
 def evaluate(model, df: DataFrame, key: str, y: str, group: str) -> DataFrame:
     """Confusion metrics and AUC of a fitted model on one held-out group (one row)."""
-    scored = classify.score(model, classify.with_vector(df), [key, y]).withColumn("grp", F.lit(group))
+    scored = materialize(classify.score(model, classify.with_vector(df), [key, y]), "scored").withColumn("grp", F.lit(group))
     metrics = classify.confusion(scored, ["grp"], y, "predicted")
     return metrics.join(rank_auc(scored, ["grp"], "prob", y).select("grp", "auc"), "grp")
 
@@ -137,3 +137,23 @@ def score_over_time(df: DataFrame, subject: str, array: str, years: str, y: str)
     rows = scored.withColumn("years_x_class", F.col(years) * F.col(y))
     fit, _ = fit_random_intercept(rows, subject, "pc1", [years, y, "years_x_class"])
     return fit
+
+
+def auc_by_band(df: DataFrame, scores: DataFrame, sample: str, feature: str, value: str, y: str,
+                score_name: str = "mi", **settings) -> DataFrame:
+    """Cross-validated AUC of a classifier built on the features of each score band.
+
+    ``scores`` is (feature, score).  The loop runs over the seven fixed bands.
+    """
+    banded = materialize(scores.withColumn("band", classify.score_band(F.col(score_name))).select(feature, "band"), "bands")
+    sizes = banded.where("band is not null").groupBy("band").agg(F.count(F.lit(1)).alias("n_features")).collect()
+    out = None
+    for row in sizes:
+        panel = banded.where(F.col("band") == row.band)
+        vectors = materialize(sample_vectors(df, sample, feature, value, y, panel), "band-vectors")
+        held = classify.cross_validate(vectors, sample, y, **settings)
+        one = rank_auc(materialize(held, "band-scores"), ["repeat", "fold"], "prob", y)
+        line = classify.auc_summary(one).select(
+            F.lit(row.band).alias("band"), F.lit(row.n_features).alias("n_features"), "auc_mean", "auc_sd")
+        out = line if out is None else out.unionByName(line)
+    return out

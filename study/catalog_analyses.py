@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.functions import scalars
-from cohortloom.operators import classify, tables, visits as vis
+from cohortloom.operators import classify, information, tables, visits as vis
 from cohortloom.plans import cohort, markers, progression
 from study.catalog_tables import _GENO, genotypes
 from study.registry import query
 from study.views import SUBJECTS_SQL, counts, measure, real, sql_real, subjects, table, visits, wide_measure
 
-SMALL_FOREST = dict(grid=("sqrt",), folds=3, repeats=1, n_trees=20, balance=("up",))
+SMALL_FOREST = dict(grid=("sqrt",), folds=2, repeats=1, n_trees=10, balance=("up",))
 
 
 # ---- participants ----------------------------------------------------------------
@@ -197,3 +197,10 @@ def hit_frequency(spark, folder):
 @query()
 def effect_stability_summary(spark, folder):
     return progression.effect_stability(measure(spark, folder), "feature", "value", "y", "visit", [1, 2, 3, 4, 5])["consistent"]
+
+
+@query()
+def auc_by_score_band(spark, folder):
+    m = measure(spark, folder)
+    scores = information.mutual_information(m, ["feature"], "value", "y")
+    return markers.auc_by_band(m, scores, "sample", "feature", "value", "y", grid=("sqrt",), folds=2, repeats=1, n_trees=10)

@@ -129,7 +129,7 @@ def feature_models_interaction(spark, folder):
 @query(f"""with {MEASURE_SQL}, g as (select feature, visit, count_if(y = 1) as a, count_if(y = 0) as b, avg(case when y = 1 then value end) as p, avg(case when y = 0 then value end) as q,
  var_pop(case when y = 1 then value end) as vp, var_pop(case when y = 0 then value end) as vq from measure group by all),
 s as (select *, p - q as est, sqrt((a * vp + b * vq) / (a + b - 2) * (1.0::double / a + 1.0::double / b)) as se from g)
-select feature, visit::bigint as visit, a as n_pos, b as n_neg, {sql_real('est')} as estimate, {sql_real('se')} as std_error, {sql_real('est / se', 4)} as statistic from s""")
+select feature, visit::bigint as visit, a::bigint as n_pos, b::bigint as n_neg, {sql_real('est')} as estimate, {sql_real('se')} as std_error, {sql_real('est / se', 4)} as statistic from s""")
 def group_difference_by_visit(spark, folder):
     d = linmod.two_group_difference(measure(spark, folder), ["feature", "visit"], "value", "y")
     return d.select("feature", F.col("visit").cast("long").alias("visit"), "n_pos", "n_neg", real("estimate").alias("estimate"),
@@ -534,7 +534,7 @@ def _scored(spark, folder):
 
 
 @query(f"""with {_SCORED}, c as (select count_if(y = 1 and s >= m) tp, count_if(y = 1 and s < m) fn, count_if(y = 0 and s < m) tn, count_if(y = 0 and s >= m) fp from sc cross join md)
-select tp, fn, tn, fp, {sql_real('tp / (tp + fn)')} as sensitivity, {sql_real('tn / (tn + fp)')} as specificity, {sql_real('tp / (tp + fp)')} as ppv, {sql_real('tn / (tn + fn)')} as npv from c""")
+select tp::bigint as tp, fn::bigint as fn, tn::bigint as tn, fp::bigint as fp, {sql_real('tp / (tp + fn)')} as sensitivity, {sql_real('tn / (tn + fp)')} as specificity, {sql_real('tp / (tp + fp)')} as ppv, {sql_real('tn / (tn + fn)')} as npv from c""")
 def confusion_metrics(spark, folder):
     s = _scored(spark, folder)
     m = ranks.exact_quantiles(s, [], "s", {"m": 0.5})
