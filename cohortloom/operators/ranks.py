@@ -42,6 +42,13 @@ def _position(bounds: Column, key: Column) -> Column:
     return F.when(bounds.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), step))
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a missing group key meets itself, as it does in a window."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame | None:
     """Add ``_slice``, rising along ``order`` inside each group; None if no group needs it.
 
@@ -63,7 +70,7 @@ def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Data
     )
     # about one bound per rows_per_slice rows: broadcast only when that is few
     small = F.broadcast(bounds) if count <= _MAX_BROADCAST_BOUNDS else bounds
-    joined = df.join(small, list(by), "left") if by else df.crossJoin(F.broadcast(bounds))
+    joined = _null_safe_join(df, small, by, "left") if by else df.crossJoin(F.broadcast(bounds))  # one row
     return joined.withColumn(SLICE, _position(F.col("_bounds"), F.struct(*order))).drop("_bounds")
 
 
@@ -96,7 +103,7 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
     if totals:
         carried.update({f"{n}_total": F.sum(f"_sum_{n}").over(group) for n in sums})
     offsets = per_slice.withColumns(carried).drop(*[f"_sum_{n}" for n in sums])
-    scanned = source.withColumns(local).join(offsets, keys)
+    scanned = _null_safe_join(source.withColumns(local), offsets, keys)
     added = {n: F.col(n) + F.col(f"_carry_{n}") for n in sums}
     return scanned.withColumns(added).drop(SLICE, *[f"_carry_{n}" for n in sums])
 
@@ -126,7 +133,7 @@ def later_minimum(df: DataFrame, by: Sequence[str], order: Sequence[str],
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     after = group.orderBy(F.desc(SLICE)).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_slice.withColumn("_later", F.min("_low").over(after)).drop("_low")
-    scanned = source.withColumn(name, F.min(value).over(onward)).join(offsets, keys)
+    scanned = _null_safe_join(source.withColumn(name, F.min(value).over(onward)), offsets, keys)
     return scanned.withColumn(name, F.least(name, "_later")).drop(SLICE, "_later")
 
 

@@ -92,3 +92,19 @@ def test_auc_matches_pair_counting(spark, request, sliced):
 def test_auc_single_class_is_null(spark):
     df = spark.createDataFrame([(0.1, 1), (0.2, 1)], "s double, y int")
     assert ranks.rank_auc(df, [], "s", "y").first().auc is None
+
+
+def test_missing_group_key_is_a_group_when_sliced(spark, tiny_slices):
+    df = spark.createDataFrame([(None if i % 2 else "a", i) for i in range(120)], "g string, id int")
+    got = ranks.number_rows(df, ["g"], ["id"], "rn", total="n").toPandas()
+    assert len(got) == 120 and (got.n == 60).all()
+    assert (got.rn == got.id // 2 + 1).all()
+    low = ranks.later_minimum(df.withColumn("v", F.col("id") % 7), ["g"], ["id"], "v", "low").toPandas()
+    for r in low.itertuples():
+        assert r.low == min(i % 7 for i in range(r.id, 120, 2))
+
+
+def test_explicit_plan_stays_on_one_shuffle_for_small_groups(spark):
+    df = spark.range(1000).select((F.col("id") % 5).alias("g"), "id")
+    plan = ranks.number_rows(df, ["g"], ["id"], "rn")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
