@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortloom.functions import dist
-from cohortloom.operators.ranks import adjust_fdr, exact_quantiles, prefix_sums
+from cohortloom.operators.ranks import adjust_fdr, prefix_sums
 from cohortloom.storage import materialize
 
 INTERCEPT = "intercept"
@@ -464,8 +464,3 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     return spread.crossJoin(total).select(
         F.try_divide(h, 1 - F.col("ties") / (F.pow(n, 3) - n)).alias("statistic"), "df"
     )
-
-
-def tertiles(df: DataFrame, value: str) -> DataFrame:
-    """One row with the tertile limits of a column."""
-    return exact_quantiles(df, [], value, {"lower": 1 / 3, "upper": 2 / 3})
