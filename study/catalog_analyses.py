@@ -9,7 +9,7 @@ from cohortloom.operators import classify, information, tables, visits as vis
 from cohortloom.plans import cohort, markers, progression
 from study.catalog_tables import _GENO, genotypes
 from study.registry import query
-from study.views import SUBJECTS_SQL, counts, measure, real, sql_real, subjects, table, visits, wide_measure
+from study.views import counts, measure, real, sql_real, subjects, table, visits, wide_measure
 
 SMALL_FOREST = dict(grid=("sqrt",), folds=2, repeats=1, n_trees=10, balance=("up",))
 

@@ -11,7 +11,7 @@ from cohortloom.storage import scratch_path
 from study.registry import query
 from study.views import (
     COUNTS_SPARSE_SQL, COUNTS_SQL, MEASURE_SQL, SUBJECTS_SQL, VISITS_SQL, counts, measure, real,
-    sql_real, subjects, table, visits, wide_measure,
+    sql_real, subjects, table, visits,
 )
 
 
