@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortloom.llm import host_rules, source_mix, url_reputation
+from cohortloom.llm import contamination, host_rules, source_mix, token_counts, token_file, url_reputation
 from cohortloom.llm.common import word_count
 from cohortloom.storage import materialize
 
@@ -39,6 +39,15 @@ _SHRINK = """
     from {groups} where n > 0))"""
 
 
+@query()
+def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place, length and checksum, decoded from the written token file."""
+    path = token_file.default_path(spark)
+    token_file.write(table(spark, folder, "documents"), path, "byte_bpe_50k.json")
+    read = token_file.read(spark, path)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32", "n_pieces")
+
+
 @query(r"""
 with base as (
   select page_id, coalesce(url, '') as u from pages),
@@ -83,6 +92,12 @@ def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumn("bad_rate", F.round("bad_rate", 9))
 
 
+@query()
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count(table(spark, folder, "documents"), "piece_bpe_32k.model")
+
+
 @query(r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
@@ -117,6 +132,37 @@ def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
+@query(r"""
+with dw as (
+  select row_number() over () as rowid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+iw as (
+  select coalesce(item_id::varchar, '') as item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+windows as (
+  select distinct item, least(len(w), 13) as m, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as win
+  from iw, generate_series(1, greatest(len(w) - 12, 1)) g(i) where len(w) > 0),
+places as (
+  select rowid, i, m, array_to_string(w[i:i + m - 1], ' ') as win
+  from dw, (select distinct m from windows) x, generate_series(1, len(w) - m + 1) g(i)),
+found as (select rowid, i, places.m, item from places join windows using (m, win)),
+hits as (
+  select rowid, count(distinct p) as n_hit from (select rowid, unnest(generate_series(i, i + m - 1)) as p from (select distinct rowid, i, m from found)) group by rowid),
+items as (select rowid, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct rowid, item from found) group by rowid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join hits using (rowid) left join items using (rowid)
+""")
+def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Hit words and items of every document."""
+    found = contamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contamination.verdict(found).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query(r"""
 with words as (
   select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
