@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortloom.llm import contamination, host_rules, source_mix, token_counts, token_file, url_reputation
+from cohortloom.llm import (
+    contamination, host_rules, importance, source_mix, token_counts, token_file, unit_dedup, url_reputation,
+)
 from cohortloom.llm.common import word_count
 from cohortloom.storage import materialize
 
@@ -163,6 +165,18 @@ def op6_contamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query()
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight and verdict of every document."""
+    return importance.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), F.col("quality") == 1)
+
+
+@query()
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every removed unit with its offsets and the unit that is kept."""
+    return unit_dedup.repeated_units(table(spark, folder, "documents"))
+
+
 @query(r"""
 with words as (
   select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
