@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortloom.llm import (
-    contamination, host_rules, importance, source_mix, token_counts, token_file, unit_dedup, url_reputation,
+    contamination, host_rules, importance, source_mix, threads, token_counts, token_file,
+    unit_dedup, url_reputation,
 )
 from cohortloom.llm.common import word_count
 from cohortloom.storage import materialize
@@ -171,6 +172,34 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return importance.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), F.col("quality") == 1)
 
 
+@query(r"""
+with recursive m as (
+  select conv_id, turn, role, row_number() over (partition by conv_id order by turn nulls first) as n, string_split(coalesce(text, ''), chr(10)) as lines from conversations),
+l as (
+  select conv_id, n, i, lines[i] as line, regexp_extract(lines[i], '^(?:[ \t]?>)+[ \t]?', 0) as marks from m, generate_series(1, len(lines)) g(i)),
+x as (
+  select conv_id, n, i, line, length(regexp_replace(marks, '[^>]', '', 'g')) as level,
+    trim(regexp_replace(translate(regexp_replace(line, '^(?:[ \t]?>)+[ \t]?', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from l),
+origins as (select conv_id, norm, min(n) as origin from x where level = 0 and norm <> '' group by conv_id, norm),
+links as (
+  select q.conv_id, q.n, (max(struct_pack(l := -level, o := origin))).o as origin
+  from x q join origins o on q.conv_id is not distinct from o.conv_id and q.norm = o.norm where level > 0 and origin < q.n group by q.conv_id, q.n),
+own as (
+  select conv_id, n, coalesce(string_agg(case when level = 0 then line end, chr(10) order by i), '') as text, count(*) filter (level > 0) as n_quoted from x group by conv_id, n),
+t as (
+  select m.conv_id, m.turn, m.role, m.n, k.origin, case when m.n > 1 then coalesce(k.origin, m.n - 1) end as reply_to
+  from m left join links k on m.conv_id is not distinct from k.conv_id and m.n = k.n),
+tree as (
+  select conv_id, n, [n] as path from t where n = 1
+  union all select t.conv_id, t.n, list_append(tree.path, t.n) from t join tree on t.conv_id is not distinct from tree.conv_id and t.reply_to = tree.n)
+select t.conv_id, row_number() over (partition by t.conv_id order by path) as position, turn, role, reply_to, origin is not null as linked, n_quoted, text
+from t join tree on t.conv_id is not distinct from tree.conv_id and t.n = tree.n join own on t.conv_id is not distinct from own.conv_id and t.n = own.n
+""")
+def op8_reply_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message in reply order, without its quotes."""
+    return threads.reply_order(table(spark, folder, "conversations"))
+
+
 @query()
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every removed unit with its offsets and the unit that is kept."""
