@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortloom.llm import (
-    contamination, host_rules, importance, source_mix, threads, token_counts, token_file,
+    contamination, host_rules, importance, set_join, source_mix, threads, token_counts, token_file,
     unit_dedup, url_reputation,
 )
 from cohortloom.llm.common import word_count
@@ -51,6 +51,27 @@ def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32", "n_pieces")
 
 
+@query(r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as t from w, generate_series(1, greatest(len(w) - 4, 1)) g(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.t = b.t and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select x, y from pairs join n a on x = a.doc_id join n b on y = b.doc_id where 100 * common >= 75 * (a.n + b.n - common)),
+edges as (select x as a, y as b from links union all select y, x from links),
+reach as (
+  with recursive r as (select doc_id as a, doc_id as b from n union select r.a, e.b from r join edges e on r.b = e.a) select * from r)
+select documents.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, documents.doc_id) as component_id
+from documents left join n using (doc_id) left join (select a as doc_id, min(b) as component_id from reach group by a) c using (doc_id)
+""")
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's shingle set and the component of its links."""
+    return set_join.link_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query(r"""
 with base as (
   select page_id, coalesce(url, '') as u from pages),

@@ -36,3 +36,19 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("_salt", spread).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_weighted(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, total: int,
+                  how: str = "left", parts: int = 5_000) -> DataFrame:
+    """Join a lookup table that knows how many rows of ``big`` each key holds.
+
+    ``small`` is written, unique in ``keys`` (no NULL), and its weights sum to at
+    most ``total``, so at most ``parts`` keys hold a share of 1 / parts or more.
+    Those are broadcast; all others are joined by shuffle.
+    """
+    keys = list(keys)
+    heavy = F.col(weight) * parts >= max(total, 2 * parts)
+    hot = F.broadcast(small.where(heavy))
+    marked = big.join(F.broadcast(small.where(heavy).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    first = marked.where(F.col("_hot")).drop("_hot").join(hot, keys, how)
+    return first.unionByName(marked.where(F.col("_hot").isNull()).drop("_hot").join(small.where(~heavy), keys, how))
