@@ -168,6 +168,7 @@ _AUTOMATA: dict[int, SuffixAutomaton] = {}
 
 def _walk(docs: DataFrame, keep: Sequence[str], text: str, shared, number: int, window: int) -> DataFrame:
     """Findings of one block of items in every document."""
+    sent = list(keep) if text in keep else [*keep, text]
     schema = T.StructType([docs.schema[c] for c in keep] + _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def _walk(docs: DataFrame, keep: Sequence[str], text: str, shared, number: int,
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(at, _SLICE_ROWS)
                 sizes, lengths, ids, spans = [], [], [], []
-                for body in part.column(len(keep)).to_pylist():
+                for body in part.column(sent.index(text)).to_pylist():
                     words = words_of(body)
                     hits, found, longest = automaton.scan(words)
                     sizes.append(len(words))
@@ -194,21 +195,25 @@ def _walk(docs: DataFrame, keep: Sequence[str], text: str, shared, number: int,
                 own = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, *columns], schema=arrow)
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",
          item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
          block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The ``keep`` columns and, per document, ``n_words``, ``n_hit``, ``longest``, ``item_ids``, ``spans``."""
+    """The ``keep`` columns and, per document, ``n_words``, ``n_hit``, ``longest``, ``item_ids``, ``spans``.
+
+    A kept column with a result's name gives way to it.
+    """
     spark = docs.sparkSession
+    keep = [c for c in keep if c not in ("n_words", "n_hit", "longest", "item_ids", "spans")]
     count = F.regexp_count(ascii_lower(F.col(item_text)), F.lit(_SQL_WORD))
     named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"),
                          F.col(item_text).alias("text"), F.coalesce(count, F.lit(0)).alias("n"))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_blocks = 1 if total <= block_words else -(-2 * total // block_words)
     if n_blocks > 1:
-        rows = materialize(docs.select(*keep, F.col(text)).withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
+        rows = materialize(docs.select(*dict.fromkeys([*keep, text])).withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
         carried = [*keep, "_row"]
     else:
         rows, carried = docs, list(keep)

@@ -109,6 +109,8 @@ def fit(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, ratios: np.ndarray, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns, ``n_features`` and ``log_weight`` of every row."""
+    keep = [c for c in keep if c not in ("n_features", "log_weight", "gumbel_key", "kept")]
+    sent = keep if text in keep else [*keep, text]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS numbers
 
@@ -120,14 +122,14 @@ def score(docs: DataFrame, ratios: np.ndarray, keep: Sequence[str] = ("doc_id",)
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(at, _SLICE_ROWS)
                 sizes, weights = [], []
-                for body in part.column(len(keep)).to_pylist():
+                for body in part.column(sent.index(text)).to_pylist():
                     own = features(body)
                     sizes.append(len(own))
                     weights.append(TEMPERATURE * float(table[own].mean()) if len(own) else 0.0)
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], schema=arrow)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -177,7 +179,10 @@ def select(scored: DataFrame, share: float, key: str = "doc_id", seed: int = 7)
 
 def classify(docs: DataFrame, labels: DataFrame, good: Column, keep: Sequence[str] = ("doc_id",), key: str = "doc_id",
              text: str = "text", seed: int = 7) -> DataFrame:
-    """``keep``, ``n_features``, ``log_weight``, ``gumbel_key`` and ``kept`` of every row.  ``keep`` holds ``key``."""
+    """``keep``, ``n_features``, ``log_weight``, ``gumbel_key`` and ``kept`` of every row.
+
+    ``keep`` holds ``key``; a kept column with a result's name gives way to it.
+    """
     sample = materialize(label_sample(labels, good, key), "importance-labels")
     share = sample.agg(F.avg(F.col("_good").cast("double"))).first()[0]
     ratios = fit(docs, sample, key, text)
