@@ -116,7 +116,9 @@ def upper_gamma(a, x):
     scale = np.exp(a * np.log(safe) - safe - log_gamma(a))
     term = 1.0 / a
     series = term.copy()
-    for n in range(1, 2000):
+    # terms die out after a few times sqrt(a)
+    rounds = 2000 + int(20 * math.sqrt(float(np.max(a, initial=1.0))))
+    for n in range(1, rounds):
         term = term * safe / (a + n)
         series = series + term
         if np.all(np.abs(term) <= 1e-16 * np.abs(series)):
@@ -126,7 +128,7 @@ def upper_gamma(a, x):
     c = np.full_like(safe, 1 / tiny)
     d = 1.0 / np.where(np.abs(b) < tiny, tiny, b)
     h = d.copy()
-    for i in range(1, 1000):
+    for i in range(1, rounds):
         an = -i * (i - a)
         b = b + 2.0
         d = an * d + b

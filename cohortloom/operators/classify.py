@@ -61,7 +61,7 @@ def balanced(train: DataFrame, key: str, y: str, how: Sequence[str], seed: int,
     out = train.select(key, y, array)
     if "smote" in how:
         made = smote(out, key, array, y, 5, seed)
-        out = out.unionByName(made.select(key, F.lit(1).cast(out.schema[y].dataType).alias(y), array))
+        out = out.unionByName(made.select(key, y, array))
     if "up" in how:
         # several rows of one key are told apart by their values
         ranked = out.withColumn("_row", F.xxhash64(array))

@@ -233,7 +233,7 @@ def information_stability(df: DataFrame, sample: str, feature: str, value: str,
     return flagged.groupBy(feature).agg(
         F.percentile("mi", 0.5).alias("mi_median"),  # one value per replicate
         F.avg("mi").alias("mi_mean"), F.stddev_samp("mi").alias("mi_sd"),
-        F.avg(F.col("selected").cast("double")).alias("sel_freq"),
+        (F.sum("selected") / F.lit(float(n))).alias("sel_freq"),  # of all resamples, also those without the feature
     )
 
 

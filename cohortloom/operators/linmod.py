@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortloom.functions import dist
-from cohortloom.operators.ranks import adjust_fdr, prefix_sums
+from cohortloom.operators.ranks import adjust_fdr, exact_quantiles, prefix_sums
 from cohortloom.storage import materialize
 
 INTERCEPT = "intercept"
@@ -74,7 +74,7 @@ def _solve_batch(pdf: pd.DataFrame, y: str, xs: Sequence[str]):
     scale = np.sqrt(np.einsum("bii->bi", sxx))
     safe = np.where(scale > 0, scale, 1.0)
     corr = sxx / safe[:, :, None] / safe[:, None, :]
-    usable = np.isfinite(corr).all(axis=(1, 2)) & (scale > 0).all(axis=1) & (n > p + 1)
+    usable = np.isfinite(corr).all(axis=(1, 2)) & (scale > 0).all(axis=1) & (n >= p + 1)
     if p:
         usable &= np.where(usable, np.linalg.cond(np.where(usable[:, None, None], corr, np.eye(p))), np.inf) < 1e12
     inverse = np.full((rows, p, p), np.nan)
@@ -249,10 +249,14 @@ def variance_prior(fits: DataFrame) -> tuple[float, float]:
     on the driver.  Infinite prior df is returned when variances do not differ
     beyond sampling noise.
     """
-    used = fits.where((F.col("sigma2") > 0) & (F.col("df") > 0))
+    judged = fits.where((F.col("sigma2") >= 0) & (F.col("df") > 0))
+    middle = exact_quantiles(judged, [], "sigma2", {"_median": 0.5}).first()
+    # variances of zero count as a small share of the median
+    floor = 1e-5 * (float(middle[0]) if middle is not None and middle[0] else 1.0)
+    used = judged.withColumn("sigma2", F.greatest("sigma2", F.lit(floor)))
     by_df = used.groupBy("df").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.log("sigma2")).alias("m"),
-        F.var_pop(F.log("sigma2")).alias("v"),
+        F.var_pop(F.log("sigma2")).alias("v"), F.avg("sigma2").alias("plain"),
     ).toPandas()  # one row per distinct residual df
     if by_df.empty:
         return float("nan"), float("nan")
@@ -260,28 +264,34 @@ def variance_prior(fits: DataFrame) -> tuple[float, float]:
     shift = dist.digamma(d / 2) - np.log(d / 2)
     e_mean_parts = by_df["m"].to_numpy(float) - shift
     mean = float(np.average(e_mean_parts, weights=n))
+    plain = float(np.average(by_df["plain"].to_numpy(float), weights=n))
     total = float(n.sum())
     if total < 2:
-        return float("inf"), float(np.exp(mean))
+        return float("inf"), plain
     spread = float((n * (by_df["v"].to_numpy(float) + (e_mean_parts - mean) ** 2)).sum() / (total - 1))
     excess = spread - float(np.average(dist.trigamma(d / 2), weights=n))
-    if excess <= 0:
-        return float("inf"), float(np.exp(mean))
+    if excess <= 0:  # the variances scatter no more than by chance: one common variance, their mean
+        return float("inf"), plain
     d0 = 2.0 * dist.inverse_trigamma(excess)
     return d0, float(np.exp(mean + float(dist.digamma(np.array([d0 / 2]))[0]) - np.log(d0 / 2)))
 
 
 def moderate(fits: DataFrame, d0: float, s0_squared: float) -> DataFrame:
-    """Posterior variance and moderated t for a given prior; plain columns."""
+    """Posterior variance and moderated t for a given prior.
+
+    The degrees of freedom of t are those of the residuals and the prior, at
+    most all residual degrees of freedom of the table together.
+    """
+    pooled = fits.agg(F.sum("df").cast("double").alias("_pooled"))
     if np.isinf(d0):
-        posterior, dof = F.lit(float(s0_squared)), F.lit(1e10)
+        posterior, dof = F.lit(float(s0_squared)), F.col("_pooled")
     else:
         posterior = (d0 * s0_squared + F.col("df") * F.col("sigma2")) / (d0 + F.col("df"))
-        dof = F.col("df") + d0
-    return fits.withColumns({
+        dof = F.least(F.col("df") + d0, F.col("_pooled"))
+    return fits.crossJoin(F.broadcast(pooled)).withColumns({  # one row
         "post_var": posterior,
         "total_df": dof,
-    }).withColumn("t", F.try_divide("log_fc", F.sqrt(F.col("post_var") * F.col("unscaled_var"))))
+    }).drop("_pooled").withColumn("t", F.try_divide("log_fc", F.sqrt(F.col("post_var") * F.col("unscaled_var"))))
 
 
 def log_odds(table: DataFrame, t: str, total_df: str, unscaled: str, d_var: Column | float,
@@ -352,7 +362,8 @@ def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
 
     Each round is a single grouped aggregate over the data, whatever the number
     of groups; the current coefficients (one small row per group) travel by
-    join.  Groups whose classes can be separated do not converge and get NULL.
+    join.  Groups whose classes can be separated do not converge: ``converged`` is
+    false and their figures are NULL.
     """
     by, xs = list(by), list(xs)
     terms = [INTERCEPT, *xs]
@@ -415,12 +426,13 @@ def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
                        F.element_at(F.array(*map(F.lit, terms)), F.col("_i") + 1).alias("term"),
                        F.col("_v._beta").alias("estimate"), F.col("_v._se").alias("std_error"))
     tidy = long.select(
-        *by, "n", "term", F.when(ok, F.col("estimate")).alias("estimate"),
+        *by, "n", "term", ok.alias("converged"), F.when(ok, F.col("estimate")).alias("estimate"),
         F.when(ok, F.col("std_error")).alias("std_error"),
     )
     z_stat = F.try_divide("estimate", "std_error")
     return tidy.withColumns({
         "statistic": z_stat,
+        "p_value": dist.normal_p_value(z_stat),
         "odds_ratio": F.exp("estimate"),
         "or_low": F.exp(F.col("estimate") - z * F.col("std_error")),
         "or_high": F.exp(F.col("estimate") + z * F.col("std_error")),

@@ -99,12 +99,16 @@ def upsample(df: DataFrame, by: Sequence[str], label: str, key: Sequence[str], s
 def smote(df: DataFrame, key: str, vector: str, y: str, k: int, seed: int) -> DataFrame:
     """Synthetic minority rows between each minority row and one of its k neighbours.
 
-    Each minority row gets floor((N - P) / P) new points.  Output: source key,
-    synthetic number, neighbour key, gap and the new vector.
+    The minority is the smaller of the two classes (1 if they are equal), and
+    each of its rows gets floor((N - P) / P) new points, N and P being the sizes
+    of the classes.  Output: source key, synthetic number, neighbour key, gap,
+    the new vector and its class.
     """
-    sizes = df.agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    copies = sizes.select(F.floor(F.try_divide(F.col("n") - 2 * F.col("p"), F.col("p"))).cast("int").alias("_copies"))
-    minority = df.where(F.col(y) == 1).select(key, vector)
+    sizes = df.agg(F.sum((F.col(y) == 1).cast("long")).alias("ones"), F.count(F.lit(1)).alias("n"))
+    least = F.least("ones", F.col("n") - F.col("ones"))
+    copies = sizes.select(F.floor(F.try_divide(F.col("n") - 2 * least, least)).cast("int").alias("_copies"),
+                          (2 * F.col("ones") <= F.col("n")).cast("int").alias("_minority"))
+    minority = df.crossJoin(F.broadcast(copies.select("_minority"))).where(F.col(y) == F.col("_minority")).select(key, vector)  # one row
     near = exact_neighbours(minority, key, vector, k)
     found = near.groupBy(key).agg(F.max("rank").alias("_found"))
     rows = (
@@ -120,7 +124,7 @@ def smote(df: DataFrame, key: str, vector: str, y: str, k: int, seed: int) -> Da
     return (
         chosen.join(near.select(key, "rank", "neighbour"), [key, "rank"])
         .join(other, "neighbour")
-        .select(key, "synthetic", "neighbour", "gap", moved.alias(vector))
+        .select(key, "synthetic", "neighbour", "gap", moved.alias(vector), F.col("_minority").cast(df.schema[y].dataType).alias(y))
     )
 
 

@@ -27,24 +27,31 @@ def across(df: DataFrame, columns: Sequence[str], expression) -> DataFrame:
 
 
 def map_features(ids: DataFrame, annotation: DataFrame, id_col: str, annotation_id: str,
-                 mapped: str, position: str, annotation_order: str | None = None) -> DataFrame:
+                 mapped: str, position: str, annotation_order: str) -> DataFrame:
     """Name features by an annotation table.
 
-    The first annotation row of an id wins; ids without a name are dropped;
-    repeated names get ``.1``, ``.2``, ... in ``position`` order.
+    The first annotation row of an id in ``annotation_order`` wins; ids without a
+    name are dropped; repeated names get ``.1``, ``.2``, ... in ``position``
+    order, past numbers whose result is itself a name.
     """
-    order = annotation_order or mapped
     first = (
         annotation.groupBy(F.col(annotation_id).alias(id_col))
-        .agg(F.min_by(mapped, order).alias(mapped))
+        .agg(F.min_by(mapped, annotation_order).alias(mapped))
         .where(F.col(mapped).isNotNull() & (F.col(mapped) != ""))
     )
     named = ids.join(first, id_col)
     numbered = number_rows(named, [mapped], [position, id_col], "_copy")
-    suffixed = F.when(F.col("_copy") == 1, F.col(mapped)).otherwise(
-        F.concat_ws(".", F.col(mapped), (F.col("_copy") - 1).cast("string"))
+    # names that look like a numbered copy of another one
+    shape = r"^(?s:(.*))\.([1-9][0-9]{0,8})$"
+    taken = (
+        named.select(F.regexp_extract(mapped, shape, 1).alias(mapped), F.regexp_extract(mapped, shape, 2).alias("_number"))
+        .where("_number <> ''").groupBy(mapped)
+        .agg(F.array_sort(F.collect_set(F.col("_number").cast("long"))).alias("_taken"))
     )
-    return numbered.withColumn(mapped, suffixed).drop("_copy")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<long>")), F.col("_copy").cast("long") - 1,
+                       lambda n, used: F.when(used <= n, n + 1).otherwise(n))
+    suffixed = F.when(F.col("_copy") == 1, F.col(mapped)).otherwise(F.concat_ws(".", F.col(mapped), free.cast("string")))
+    return numbered.join(taken, mapped, "left").withColumn(mapped, suffixed).drop("_copy", "_taken").select(*named.columns)
 
 
 def treatment_contrasts(column: str, levels: Sequence, prefix: str) -> dict[str, Column]:
@@ -83,11 +90,36 @@ def to_wide(df: DataFrame, ids: Sequence[str], name: str, value: str,
     return df.groupBy(*ids).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
 
 
-def assemble(df: DataFrame, ids: Sequence[str], feature: str, value: str,
-             out: str = "features") -> DataFrame:
-    """One array per row key, ordered by feature (an array is as long as the panel)."""
+def complete_grid(df: DataFrame, row: str, feature: str, value: str, rows: DataFrame | None = None,
+                  features: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
+    """Every (row, feature) pair of a sparse long matrix; absent pairs get ``fill``.
+
+    ``rows`` and ``features`` are the two margins, by default those of ``df``.  The
+    result is the matrix itself, as large as it is in dense form.
+    """
+    rows = df.select(row).distinct() if rows is None else rows.select(row).distinct()
+    features = df.select(feature).distinct() if features is None else features.select(feature).distinct()
+    present = df.select(row, feature, F.col(value).alias("_present"), F.lit(True).alias("_there"))
+    grid = rows.crossJoin(features).join(present, [row, feature], "left")
+    return grid.select(row, feature, F.when(F.col("_there"), F.col("_present")).otherwise(F.lit(fill)).alias(value))
+
+
+def assemble(df: DataFrame, ids: Sequence[str], feature: str, value: str, out: str = "features",
+             panel: DataFrame | None = None, fill: float | None = None) -> DataFrame:
+    """One array per row key over the panel, ordered by feature.
+
+    ``panel`` has the features, by default those of ``df``; the position of a feature
+    is its place in the panel in every row.  A pair that is absent, or NULL, is
+    ``fill``, which is NULL by default.
+    """
+    panel = (df if panel is None else panel).select(feature).distinct()
+    grid = df.select(*ids).distinct().crossJoin(panel)
+    names = [*ids, feature]
+    other = df.select(*names, value).withColumnsRenamed({k: f"_right_{k}" for k in names})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in names]
+    full = grid.join(other, same, "left").withColumn(value, F.col(value) if fill is None else F.coalesce(value, F.lit(fill)))
     pairs = F.array_sort(F.collect_list(F.struct(feature, value)))
-    return df.groupBy(*ids).agg(F.transform(pairs, lambda p: p[value]).alias(out))
+    return full.groupBy(*ids).agg(F.transform(pairs, lambda p: p[value]).alias(out))
 
 
 # ---- filters -------------------------------------------------------------

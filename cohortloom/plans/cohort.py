@@ -50,8 +50,8 @@ def environment_table(answers: DataFrame, places: DataFrame, participant: str, s
     """
     first = tables.first_per_key(answers, [subject], order)
     concussions = F.coalesce(F.col("concussrb").cast("double"), F.lit(2.0)) * scalars.number_or_default(F.col("concusstb"))
-    town = scalars.recode(F.col("city1"), lookups.parse_pairs(lookups.CITY_CORRECTIONS))
-    state = scalars.recode(F.col("state1"), lookups.parse_pairs(lookups.STATE_CORRECTIONS))
+    town = scalars.recode(F.col("city1"), lookups.CITY_CORRECTIONS)
+    state = scalars.recode(F.col("state1"), lookups.STATE_CORRECTIONS)
     cleaned = first.select(
         participant, *keep, concussions.alias("concus"),
         scalars.number_or_default(F.col("driavgtb")).alias("driavgtb"),

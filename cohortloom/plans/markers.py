@@ -26,7 +26,7 @@ def marker_table(df: DataFrame, feature: str, value: str, y: str, names: DataFra
 def sample_vectors(df: DataFrame, sample: str, feature: str, value: str, y: str, panel: DataFrame) -> DataFrame:
     """One row per sample with the panel's values in feature order."""
     kept = df.join(panel.select(feature), feature, "left_semi")
-    return tables.assemble(kept, [sample, y], feature, value)
+    return tables.assemble(kept, [sample, y], feature, value, panel=panel)
 
 
 def evaluate(model, df: DataFrame, key: str, y: str, group: str) -> DataFrame:
@@ -95,7 +95,8 @@ def prepare_matrix(df: DataFrame, sample: str, feature: str, value: str, samples
     if kind == "counts":
         level = normalize.variance_stabilize(filtered, sample, feature, value, "level")
     else:
-        level = normalize.log2_with_offset(filtered, value, "level", normalize.log_offset(present, value))
+        whole = tables.complete_grid(filtered, sample, feature, value, samples, kept)
+        level = normalize.log2_with_offset(whole, value, "level", normalize.log_offset(present, value))
     levels = [r[0] for r in samples.select(batch).distinct().orderBy(batch).collect()]  # batches of the study
     coded = level.join(samples, sample).withColumns(tables.sum_contrasts(batch, levels, "batch_"))
     batch_columns = [f"batch_{i}" for i in range(1, len(levels))]

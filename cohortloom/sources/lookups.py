@@ -1,134 +1,124 @@
-"""Fixed spelling corrections for place names, one ``written|meant`` pair a line."""
+"""Fixed spelling corrections for place names, and inline lookup tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# City spellings.
-CITY_CORRECTIONS = """
-Rockyface|Rocky Face
-Malborough|Marlborough
-St. Charles|Saint Charles
-Gadston|Gadsden
-Ft. Worth|Fort Worth
-Tuscon|Tucson
-Lake St. Louis|Lake Saint Louis
-St. Louis|Saint Louis
-Wilmington,|Wilmington
-WILMINGTON|Wilmington
-Dallax|Dallas
-Dixs|Dix
-Queens|Queens Village
-New London Township|New London
-Lagrange|LaGrange
-Washington and New Orleans|Washington
-Seatle|Seattle
-Los Feliz|Los Angeles
-Liberty Township|Cincinnati
-Landsdale|Lansdale
-plano|Plano
-Bellfontaine|Bellefontaine
-Selingsgrove|Selinsgrove
-Roland Heights|Rowland Heights
-poplar bluff|Poplar Bluff
-Talahasee|Tallahassee
-St. Ann|Saint Ann
-Galipelise|Gallipolis
-JAMESTOWN|Jamestown
-ARLINGTON|Arlington
-BROOKVILLE|Brookville
-Jacksons' Gap|Jacksons Gap
-WILTON|Wilton
-Bluerock|Blue Rock
-St. Augustine|Saint Augustine
-Hokomis|Nokomis
-Mt. Vernon|Mount Vernon
-Grotton|Groton
-Burchwood|Birchwood
-Charlotsville|Charlottesville
-pittsfield|Pittsfield
-Overland|Saint Louis
-O'Fallon|Saint Louis
-O'fallon|Saint Louis
-Colombus|Columbus
-cottekill|Cottekill
-GERMANTOWN|Germantown
-Shaker Heights|Cleveland
-Mt. Olive|Mount Olive
-VanBuren|Van Buren
-Weldon Spring|Saint Louis
-Nashvile|Nashville
-St. Leonard|Saint Leonard
-St. Peters|Saint Peters
-Creve Couer|Saint Louis
-Prairie Du Sac|Prairie du Sac
-Agora Hills|Agoura Hills
-Downington|Downingtown
-Fredrick|Frederick
-MARTINS FERRY|Martins Ferry
-Mt. Airy|Mount Airy
-winfield|Winfield
-St. Thomas|Saint Thomas
-irving|Irving
-St. James|Saint James
-Skameateles|Skaneateles
-Staceyville|Stacyville
-Mcdonough|McDonough
-S. Glastonbury|South Glastonbury
-Ruxton|Baltimore
-Oak Leaf|Dallas
-Los Angles|Los Angeles
-University city|Saint Louis
-CAMBRIDGE|Cambridge
-New York City|New York
-"""
+# City spellings, written -> meant.
+CITY_CORRECTIONS = {
+    "Rockyface": "Rocky Face",
+    "Malborough": "Marlborough",
+    "St. Charles": "Saint Charles",
+    "Gadston": "Gadsden",
+    "Ft. Worth": "Fort Worth",
+    "Tuscon": "Tucson",
+    "Lake St. Louis": "Lake Saint Louis",
+    "St. Louis": "Saint Louis",
+    "Wilmington,": "Wilmington",
+    "WILMINGTON": "Wilmington",
+    "Dallax": "Dallas",
+    "Dixs": "Dix",
+    "Queens": "Queens Village",
+    "New London Township": "New London",
+    "Lagrange": "LaGrange",
+    "Washington and New Orleans": "Washington",
+    "Seatle": "Seattle",
+    "Los Feliz": "Los Angeles",
+    "Liberty Township": "Cincinnati",
+    "Landsdale": "Lansdale",
+    "plano": "Plano",
+    "Bellfontaine": "Bellefontaine",
+    "Selingsgrove": "Selinsgrove",
+    "Roland Heights": "Rowland Heights",
+    "poplar bluff": "Poplar Bluff",
+    "Talahasee": "Tallahassee",
+    "St. Ann": "Saint Ann",
+    "Galipelise": "Gallipolis",
+    "JAMESTOWN": "Jamestown",
+    "ARLINGTON": "Arlington",
+    "BROOKVILLE": "Brookville",
+    "Jacksons' Gap": "Jacksons Gap",
+    "WILTON": "Wilton",
+    "Bluerock": "Blue Rock",
+    "St. Augustine": "Saint Augustine",
+    "Hokomis": "Nokomis",
+    "Mt. Vernon": "Mount Vernon",
+    "Grotton": "Groton",
+    "Burchwood": "Birchwood",
+    "Charlotsville": "Charlottesville",
+    "pittsfield": "Pittsfield",
+    "Overland": "Saint Louis",
+    "O'Fallon": "Saint Louis",
+    "O'fallon": "Saint Louis",
+    "Colombus": "Columbus",
+    "cottekill": "Cottekill",
+    "GERMANTOWN": "Germantown",
+    "Shaker Heights": "Cleveland",
+    "Mt. Olive": "Mount Olive",
+    "VanBuren": "Van Buren",
+    "Weldon Spring": "Saint Louis",
+    "Nashvile": "Nashville",
+    "St. Leonard": "Saint Leonard",
+    "St. Peters": "Saint Peters",
+    "Creve Couer": "Saint Louis",
+    "Prairie Du Sac": "Prairie du Sac",
+    "Agora Hills": "Agoura Hills",
+    "Downington": "Downingtown",
+    "Fredrick": "Frederick",
+    "MARTINS FERRY": "Martins Ferry",
+    "Mt. Airy": "Mount Airy",
+    "winfield": "Winfield",
+    "St. Thomas": "Saint Thomas",
+    "irving": "Irving",
+    "St. James": "Saint James",
+    "Skameateles": "Skaneateles",
+    "Staceyville": "Stacyville",
+    "Mcdonough": "McDonough",
+    "S. Glastonbury": "South Glastonbury",
+    "Ruxton": "Baltimore",
+    "Oak Leaf": "Dallas",
+    "Los Angles": "Los Angeles",
+    "University city": "Saint Louis",
+    "CAMBRIDGE": "Cambridge",
+    "New York City": "New York",
+}
 
-# State spellings.
-STATE_CORRECTIONS = """
-Arizona|AZ
-Arkansas|AR
-Ca|CA
-California|CA
-Connecticut|CT
-DC, LA|DC
-District of Columbia|DC
-Florida|FL
-Il|IL
-Illinois|IL
-Indiana|IN
-Iowa|IA
-Kentucky|KY
-Maine|ME
-Maryland|MD
-Md|MD
-Massachusetts|MA
-Michigan|MI
-Missouri|MO
-Mo|MO
-New Hampshire|NH
-New Hapshire|NH
-New York|NY
-North Carolina|NC
-Oh|OH
-Ohio|OH
-Oklahoma|OK
-Pennsylvania|PA
-Rhode Island|RI
-Texas|TX
-Vermont|VT
-Virginia|VA
-Wyoming|WY
-"""
-
-
-def parse_pairs(text: str) -> dict[str, str]:
-    """``written|meant`` lines as a mapping; a key with two meanings raises."""
-    out: dict[str, str] = {}
-    for line in filter(None, (raw.strip() for raw in text.splitlines())):
-        written, meant = line.split("|")
-        if out.setdefault(written, meant.strip()) != meant.strip():
-            raise ValueError(f"two corrections for {written!r}")
-    return out
+# State spellings, written -> meant.
+STATE_CORRECTIONS = {
+    "Arizona": "AZ",
+    "Arkansas": "AR",
+    "Ca": "CA",
+    "California": "CA",
+    "Connecticut": "CT",
+    "DC, LA": "DC",
+    "District of Columbia": "DC",
+    "Florida": "FL",
+    "Il": "IL",
+    "Illinois": "IL",
+    "Indiana": "IN",
+    "Iowa": "IA",
+    "Kentucky": "KY",
+    "Maine": "ME",
+    "Maryland": "MD",
+    "Md": "MD",
+    "Massachusetts": "MA",
+    "Michigan": "MI",
+    "Missouri": "MO",
+    "Mo": "MO",
+    "New Hampshire": "NH",
+    "New Hapshire": "NH",
+    "New York": "NY",
+    "North Carolina": "NC",
+    "Oh": "OH",
+    "Ohio": "OH",
+    "Oklahoma": "OK",
+    "Pennsylvania": "PA",
+    "Rhode Island": "RI",
+    "Texas": "TX",
+    "Vermont": "VT",
+    "Virginia": "VA",
+    "Wyoming": "WY",
+}
 
 
 def lookup_table(spark: SparkSession, pairs: dict[str, str], key: str, value: str) -> DataFrame:

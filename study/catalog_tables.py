@@ -50,7 +50,7 @@ select c_custkey, meant as city from customer join places on c_custkey % 5 = i j
 def inline_lookup(spark, folder):
     written = F.element_at(F.array(*map(F.lit, ("Tuscon", "Ft. Worth", "Boston", "WILTON", "plano"))),
                            (F.col("c_custkey") % 5 + 1).cast("int"))
-    fixes = lookups.lookup_table(spark, lookups.parse_pairs(lookups.CITY_CORRECTIONS), "written", "meant")
+    fixes = lookups.lookup_table(spark, lookups.CITY_CORRECTIONS, "written", "meant")
     people = table(spark, folder, "customer").select("c_custkey", written.alias("written"))
     joined = people.join(F.broadcast(fixes), "written", "left")  # a fixed list
     return joined.select("c_custkey", F.coalesce("meant", "written").alias("city"))
@@ -560,11 +560,15 @@ def guarded_log2(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), real(scalars.safe_log2(F.col("l_tax"))).alias("lt"))
 
 
-@query(f"with {COUNTS_SPARSE_SQL}, o as (select min(case when value > 0 then value end) / 2 as off from counts) select sample, feature, {sql_real('log2(value + off)')} as lv from counts cross join o")
+@query(f"""with {COUNTS_SPARSE_SQL}, o as (select min(case when value > 0 then value end) / 2 as off from counts),
+grid as (select * from (select distinct sample from counts) cross join (select distinct feature from counts))
+select sample, feature, {sql_real('log2(coalesce(value, 0) + off)')} as lv from grid left join counts using (sample, feature) cross join o""")
 def log2_with_offset(spark, folder):
-    from cohortloom.operators.normalize import log2_with_offset as shift
+    from cohortloom.operators.normalize import log2_with_offset as shift, log_offset
 
-    return shift(counts(spark, folder, "p_partkey"), "value", "lv").select("sample", "feature", real("lv").alias("lv"))
+    c = counts(spark, folder, "p_partkey")
+    grid = tables.complete_grid(c, "sample", "feature", "value")
+    return shift(grid, "value", "lv", log_offset(c, "value")).select("sample", "feature", real("lv").alias("lv"))
 
 
 @query(f"""with {_P_SQL}, r as (select *, p * count(*) over () / row_number() over (order by p, k) as s from p),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
 from cohortloom.operators import linmod, mixed, neighbours
+from cohortloom.plans import markers
 
 
 def lmm_data(seed=1, subjects=60, slope=True):
@@ -152,3 +153,41 @@ def test_p_value_columns(spark):
     df = spark.createDataFrame([(2.0, 5.0), (None, 5.0), (1.0, 0.0)], "t double, d double")
     got = [r[0] for r in df.select(dist.t_p_value(F.col("t"), F.col("d"))).collect()]
     assert got[0] == pytest.approx(0.10193947, rel=1e-6) and got[1] is None and got[2] is None
+
+
+def test_absent_counts_are_zeros(spark):
+    """A sparse count matrix gives the same values and models as one with its zeros written."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for f in range(40):
+        for s in range(20):
+            mean = 50.0 if f < 10 else (0.0 if s % 2 else 20.0) if f < 20 else 6.0
+            rows.append((s, f"f{f:02d}", float(rng.poisson(rng.gamma(4, mean / 4)) if mean else 0) + (1.0 if f < 10 else 0.0)))
+    dense = spark.createDataFrame(rows, "sample int, feature string, value double")
+    samples = spark.createDataFrame([(s, s % 2, s % 3, float(s)) for s in range(20)], "sample int, y int, batch int, age double")
+    sparse = dense.where("value > 0")
+    assert sparse.count() < dense.count()
+    fits = [markers.omics_differential(d, "sample", "feature", "value", samples, "y", "batch", ["age"], kind).toPandas().set_index("feature").sort_index()
+            for kind in ("counts", "intensity") for d in (dense, sparse)]
+    for a, b in ((fits[0], fits[1]), (fits[2], fits[3])):
+        assert list(a.index) == list(b.index) and len(a)
+        assert np.allclose(a.log_fc.astype(float), b.log_fc.astype(float)) and np.allclose(a.t.astype(float), b.t.astype(float))
+
+
+def test_saturated_fit_has_coefficients(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0)], "x double, y double")
+    got = {r.term: r for r in linmod.fit_ols(df, [], "y", ["x"]).collect()}
+    assert got["x"].estimate == pytest.approx(2.0) and got["x"].std_error is None
+
+
+def test_infinite_prior_pools_the_variances(spark):
+    fits = spark.createDataFrame([(f"f{i}", 1.0, 0.5, 2.0, 4.0) for i in range(6)], "feature string, log_fc double, unscaled_var double, sigma2 double, df double")
+    d0, s0 = linmod.variance_prior(fits)
+    assert np.isinf(d0) and s0 == pytest.approx(2.0)
+    got = linmod.moderate(fits, d0, s0).first()
+    assert got.total_df == 24.0 and got.t == pytest.approx(1.0)
+    assert linmod.moderate(fits, 50.0, 2.0).first().total_df == 24.0
+
+
+def test_chi_square_with_many_degrees_of_freedom():
+    assert float(dist.chi2_upper(np.array([1e6]), np.array([1e6]))[0]) == pytest.approx(0.499812, abs=2e-6)

@@ -52,6 +52,12 @@ def test_upsampling_balances(people):
     assert (copies.max() - copies.min() <= 1).all()
 
 
+def test_the_smaller_class_is_the_minority(spark):
+    rows = [(i, [float(i), float(i % 7)], int(i >= 8)) for i in range(30)]
+    out = resample.smote(spark.createDataFrame(rows, "id long, v array<double>, y int"), "id", "v", "y", 3, 1).toPandas()
+    assert len(out) == 8 * ((30 - 8 - 8) // 8) and set(out.y) == {0} and out.id.max() < 8
+
+
 def test_synthetic_rows_lie_between_neighbours(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(v) for v in rng.normal(size=3)], int(i < 12)) for i in range(50)]

@@ -48,6 +48,23 @@ def test_feature_naming_suffixes_in_order(spark):
     assert [(r.id, r.name) for r in got] == [("s1", "P1"), ("s2", "P2"), ("s3", "P1.1")]
 
 
+def test_feature_naming_passes_taken_names_and_keeps_the_first_row(spark):
+    ids = spark.createDataFrame([(f"s{i}", i) for i in range(1, 6)], "id string, pos int")
+    ann = spark.createDataFrame([("s1", "P", 1), ("s2", "P", 1), ("s3", "P.1", 1), ("s4", "P", 1), ("s5", "zzz", 1), ("s5", "aaa", 2)],
+                                "aid string, name string, o int")
+    got = tables.map_features(ids, ann, "id", "aid", "name", "pos", "o").orderBy("pos").collect()
+    assert [r.name for r in got] == ["P", "P.2", "P.1", "P.3", "zzz"]
+
+
+def test_arrays_keep_panel_positions(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "c", 3.0), (2, "a", 1.0), (2, "c", 3.0)], "s int, f string, v double")
+    panel = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "f string")
+    got = {r.s: r.features for r in tables.assemble(df, ["s"], "f", "v", panel=panel).collect()}
+    assert got == {1: [1.0, 2.0, 3.0, None], 2: [1.0, None, 3.0, None]}
+    filled = tables.assemble(df, ["s"], "f", "v", fill=0.0).where("s = 2").first().features
+    assert filled == [1.0, 0.0, 3.0]
+
+
 def test_csv_round_trip_keeps_missing(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5, None), ("b", None, "x"), ("c", 2.0, "")], "k string, v double, t string")
     src.write_csv(df, str(tmp_path / "c"))
@@ -72,12 +89,10 @@ def test_carrier_table_from_genotype_files(spark, tmp_path):
 
 
 def test_lookup_lists():
-    cities = lookups.parse_pairs(lookups.CITY_CORRECTIONS)
-    states = lookups.parse_pairs(lookups.STATE_CORRECTIONS)
+    cities = lookups.CITY_CORRECTIONS
+    states = lookups.STATE_CORRECTIONS
     assert cities["Bellfontaine"] == "Bellefontaine" and cities["St. Charles"] == "Saint Charles"
     assert states["DC, LA"] == "DC" and len(set(states.values())) < len(states)
-    with pytest.raises(ValueError):
-        lookups.parse_pairs("a|b\na|c")
 
 
 def test_visits_drop_single_and_break_ties(spark):
