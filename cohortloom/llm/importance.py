@@ -141,8 +141,8 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     while low < high:
         width = (high - low) / _BINS
         inside = df.where(F.col(column).between(low, high))
-        if width <= 0 or low + width == low:
-            break
+        if low + width == low:  # too close for bins
+            return _last(inside, column, k - above)
         # one row per bin: its rows and its own range
         number = F.least(F.floor((F.col(column) - low) / width), F.lit(_BINS - 1))
         bins = inside.groupBy(number.alias("bin")).agg(
