@@ -183,47 +183,26 @@ def correlation_test(df: DataFrame, by: Sequence[str], x: str, y: str, z: float
 
 
 def visit_correlations(effects: DataFrame, feature: str, visit: str, estimate: str,
-                       visits: Sequence[int]) -> DataFrame:
+                       visits: Sequence[int] | None = None) -> DataFrame:
     """Correlation of feature effects between every two visits, pairwise complete.
 
-    Effects are laid out as one row per feature; each Arrow batch contributes
-    the cross-products of its rows, so no pair of rows is ever emitted.
+    ``visits`` restricts the visits; by default all that occur take part.  A
+    feature's effects are one array, as long as it has visits, whose pairs of
+    visits go straight into the built-in correlation, which merges map-side.
     """
-    visits = list(visits)
-    mean = effects.groupBy(visit).agg(F.avg(estimate).alias("_mean"))
-    shifted = effects.join(mean, visit).withColumn("_shifted", F.col(estimate) - F.col("_mean"))
-    cells = [F.max(F.when(F.col(visit) == v, F.col("_shifted"))) for v in visits]
-    rows = shifted.groupBy(feature).agg(F.array(*cells).alias("row"))
-    left, right = np.triu_indices(len(visits), 1)
-    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            block = np.array([[np.nan if v is None else v for v in r] for r in pdf["row"]], float)
-            known = np.isfinite(block).astype(float)
-            x = np.where(known > 0, block, 0.0)
-            tables = (known.T @ known, x.T @ known, known.T @ x,
-                      (x * x).T @ known, known.T @ (x * x), x.T @ x)
-            out = pd.DataFrame({n: t[left, right] for n, t in zip(names, tables)})
-            out.insert(0, "visit_2", [visits[j] for j in right])
-            out.insert(0, "visit_1", [visits[i] for i in left])
-            yield out
-
-    schema = "visit_1 int, visit_2 int, " + ", ".join(f"{n} double" for n in names)
-    total = rows.mapInPandas(products, schema).groupBy("visit_1", "visit_2").agg(
-        *[F.sum(n).alias(n) for n in names]
-    )
-    n = F.col("n")
-    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
-    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
-    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    known = effects.where(F.col(estimate).isNotNull())
+    if visits is not None:
+        known = known.where(F.col(visit).isin(*visits))
+    cells = known.groupBy(feature, visit).agg(F.max(estimate).alias("_value"))
+    rows = cells.groupBy(feature).agg(F.array_sort(F.collect_list(F.struct(F.col(visit).cast("int").alias("v"), F.col("_value").alias("x")))).alias("_row"))
+    later = lambda a, i: F.transform(
+        F.slice("_row", i + 2, F.size("_row")),
+        lambda b: F.struct(a["v"].alias("visit_1"), b["v"].alias("visit_2"), a["x"].alias("x"), b["x"].alias("y")))
+    pairs = rows.select(F.inline(F.flatten(F.transform("_row", later))))
+    total = pairs.groupBy("visit_1", "visit_2").agg(F.count(F.lit(1)).alias("n_features"), F.corr("x", "y").alias("_r"))
     return total.select(
-        "visit_1", "visit_2", (F.col("visit_2") - F.col("visit_1")).alias("lag"),
-        n.cast("long").alias("n_features"),
-        F.when(n >= 2, F.try_divide(cov, F.sqrt(F.greatest(F.lit(0.0), vx * vy)))).alias("correlation"),
-    )
+        "visit_1", "visit_2", (F.col("visit_2") - F.col("visit_1")).alias("lag"), "n_features",
+        F.when((F.col("n_features") >= 2) & ~F.isnan("_r"), F.col("_r")).alias("correlation"))
 
 
 # ---- feature-wise fits with moderated variance ---------------------------
@@ -304,21 +283,23 @@ def log_odds(table: DataFrame, t: str, total_df: str, unscaled: str, d_var: Colu
     return F.log(F.lit(share / (1 - share))) - F.log(ratio) / 2 + kernel
 
 
-def effect_variance(table: DataFrame, feature: str, share: float = 0.01,
+def effect_variance(table: DataFrame, feature: str, s0_squared: float, share: float = 0.01,
                     bounds: tuple[float, float] = (0.1, 4.0)) -> float:
     """Prior variance of true effects from the largest moderated t statistics.
 
     The top ``share/2`` of the statistics are compared with the normal scores
-    expected for their rank, in units of each unscaled variance.
+    expected for their rank, in units of each unscaled variance.  The share is at
+    least that of the statistics looked at, and the result is held between the
+    ``bounds``, squared, over the prior variance ``s0_squared``.
     """
     n = table.count()
     keep = max(1, int(np.ceil(n * share / 2)))
+    share = max(share, keep / n) if n else share
     top = (
-        table.select(F.abs("t").alias("t"), "total_df", "unscaled_var", "post_var")
+        table.select(F.abs("t").alias("t"), "total_df", "unscaled_var")
         .orderBy(F.desc_nulls_last("t")).limit(keep)
     )
-    spread = table.agg(F.expr("percentile_approx(post_var, 0.5, 10000)")).first()[0]
-    low, high = bounds[0] ** 2 / spread, bounds[1] ** 2 / spread
+    low, high = bounds[0] ** 2 / s0_squared, bounds[1] ** 2 / s0_squared
     stats = top.toPandas().sort_values("t", ascending=False)  # the top share/2 of the features
     t = stats["t"].to_numpy(float)
     rank = np.arange(1, len(t) + 1)
@@ -344,7 +325,7 @@ def ranked_table(fits: DataFrame, feature: str, alpha: float = 0.05) -> DataFram
     d0, s0 = variance_prior(fits)
     tested = moderate(fits, d0, s0).withColumn("p_value", dist.t_p_value(F.col("t"), F.col("total_df")))
     adjusted = adjust_fdr(tested, [], "p_value", [feature], "adj_p")
-    v0 = effect_variance(tested, feature)
+    v0 = effect_variance(tested, feature, s0)
     return adjusted.select(
         feature, "log_fc", "ave_expr", "t", "p_value", "adj_p",
         log_odds(adjusted, "t", "total_df", "unscaled_var", v0).alias("log_odds"),
