@@ -52,14 +52,21 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def slice_groups(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame | None:
     """Add ``_slice``, rising along ``order`` inside each group; None if no group needs it.
 
-    ``order`` must identify a row within its group and hold no NULL.
+    ``order`` must identify a row within its group and hold no NULL.  Only groups
+    of more rows than a task may sort are sliced; all others are one slice.
     """
+    rows = rows_per_slice(df)
     picked = df.where(
-        F.pmod(F.xxhash64(*by, *order), F.lit(rows_per_slice(df))) == 0
+        F.pmod(F.xxhash64(*by, *order), F.lit(rows)) == 0
     ).select(*by, F.struct(*order).alias("_key"))
     count = picked.count()
     if count == 0:
         return None
+    large = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows), "large-groups")
+    if large.limit(1).count() == 0:
+        return None
+    if by:
+        picked = _null_safe_join(picked, large.drop("_rows"), by)
     stride = F.greatest(F.lit(1), F.ceil(F.size("_all") / F.lit(_MAX_BOUNDS_PER_GROUP)))
     bounds = materialize(
         picked.groupBy(*by)

@@ -108,3 +108,18 @@ def test_explicit_plan_stays_on_one_shuffle_for_small_groups(spark):
     df = spark.range(1000).select((F.col("id") % 5).alias("g"), "id")
     plan = ranks.number_rows(df, ["g"], ["id"], "rn")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_only_large_groups_are_sliced(spark):
+    from cohortloom.operators.ranks import ROWS_SETTING, SLICE, slice_groups
+
+    small = spark.range(20_000).select((F.col("id") % 10_000).alias("g"), F.col("id").alias("k"))
+    one = spark.range(5_000).select(F.lit(-1).cast("long").alias("g"), (F.col("id") + 50_000).alias("k"))
+    spark.conf.set(ROWS_SETTING, "1000")
+    try:
+        assert slice_groups(small, ["g"], ["k"]) is None
+        sliced = slice_groups(small.unionByName(one), ["g"], ["k"])
+        top = {r.large: r.top for r in sliced.groupBy((F.col("g") < 0).alias("large")).agg(F.max(SLICE).alias("top")).collect()}
+        assert top[False] == 0 and top[True] >= 1
+    finally:
+        spark.conf.unset(ROWS_SETTING)
