@@ -22,8 +22,6 @@ labels of a key the worst counts.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortloom.functions import draws
+from cohortloom.llm.shingles import term_hashes
 from cohortloom.storage import materialize
 
 BUCKETS = 1 << 15
@@ -38,27 +37,13 @@ MAX_LABELS = 200_000
 SMOOTHING = 10.0
 TEMPERATURE = 100.0
 _SLICE_ROWS = 512
-_MEMO = 500_000
 _BINS = 1024
-_TERMS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[str, int] = {}
-
-
-def _hash(word: str) -> int:
-    value = _words.get(word)
-    if value is None:
-        if len(_words) > _MEMO:
-            _words.clear()
-        raw = word.encode("utf-8", "surrogatepass")
-        value = _words[word] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)
-    return value
 
 
 def features(text: str | None) -> np.ndarray:
     """Buckets of a text's words and word pairs; bucket 0 is a repeated word."""
-    terms = _TERMS.findall(text.lower()) if text else []
-    own = np.fromiter(map(_hash, terms), np.uint64, len(terms))
+    own = term_hashes(text) if text else np.zeros(0, np.uint64)
     single = own * _MIX
     single ^= single >> np.uint64(31)
     pair = (own[:-1] * _MIX ^ own[1:]) * _MIX
