@@ -23,7 +23,7 @@ _PUNCT = re.escape('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 _PIECES = re.compile(
     f"[{_WHITE}]*(?:[{_ALNUM}]+(?=[{_PUNCT}{_WHITE}]|\\Z)|[{_PUNCT}]+(?=[{_ALNUM}{_WHITE}]|\\Z)|[^{_WHITE}]+)|[{_WHITE}]+")
 #: Pieces kept at most in a worker; the memo starts anew beyond, results stay the same.
-MEMO_SIZE = 800_000
+MEMO_SIZE = 500_000
 
 
 def tokenizer_file(name: str) -> str:
