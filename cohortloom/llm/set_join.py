@@ -6,9 +6,11 @@ Two documents link when 100 |x and y| >= 75 |x or y|, that is 7 |x and y| >= 3 (
 2. Shingles take one global order: those that many documents hold last, the
    rest by hash.  A class's first n - ceil(3n/4) + 1 shingles are its prefix;
    linked classes share a prefix shingle, whatever the order is.
-3. Groups of similar classes: every shared prefix shingle proposes the link of
-   its classes to their first one; the proposals that positions and sizes allow
-   are checked on whole sets, and linked classes form a group.
+3. Groups of similar classes: the classes that share a prefix shingle are put in
+   two orders in which similar sets tend to be neighbours (by two min-hashes,
+   then size); neighbours whose short sketches agree are checked on whole sets,
+   and linked classes form a group.  This only proposes: what it misses is left
+   to step 5.
 4. Token-group matrix: per group, the union of its classes' prefix shingles with
    the sizes behind them.  The prefix of a class outside the group is looked up
    in it, which bounds its overlap with any member by
@@ -41,13 +43,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from cohortloom.llm.common import BROADCAST_ROWS, join_small, join_weighted
 from cohortloom.llm.components import components
-from cohortloom.llm.shingles import shingle_set
-from cohortloom.storage import materialize
+from cohortloom.llm.shingles import mixed, shingle_set
+from cohortloom.storage import discard, materialize
 
 HEAVY = 1 << 16
 #: A shingle is held last if it was seen in at least one of so many documents.
 HEAVY_SHARE = 1_000
 _LOCAL = 4
+SKETCH = 16
+PROPOSALS = 3
+_COUNTED_ROWS = 3_000
 _SLICE_ROWS = 512
 
 
@@ -69,7 +74,7 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (b.slice(i, _COUNTED_ROWS) for b in batches for i in range(0, b.num_rows, _COUNTED_ROWS)):
             held: list[np.ndarray] = []
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(at, _SLICE_ROWS)
@@ -98,7 +103,7 @@ def _prefixes(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
         last = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):
-                digests, prefixes = [], []
+                digests, prefixes, over, other, sketches = [], [], [], [], []
                 for body in batch.slice(at, _SLICE_ROWS).column(0).to_pylist():
                     own = shingle_set(body)
                     n = len(own)
@@ -106,14 +111,24 @@ def _prefixes(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
                         continue
                     digests.append(_digest(own))
                     late = np.isin(own, last, assume_unique=True)
-                    prefixes.append(np.concatenate([own[~late], own[late]])[: n - (3 * n + 3) // 4 + 1])
+                    size = n - (3 * n + 3) // 4 + 1
+                    prefixes.append(np.concatenate([own[~late], own[late]])[:size])
+                    over.append(n - int(late.sum()) < size)
+                    other.append(int(mixed(own).min().view(np.int64)))
+                    sketches.append(own[:SKETCH].view(np.int64))
                 if digests:
                     high, low = _halves(digests)
                     ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                    flat = pa.array(np.concatenate(prefixes).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([high, low, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["high", "low", "prefix"])
+                    flat = np.concatenate(prefixes)
+                    # the last shingle as a signed number that orders like the unsigned hash
+                    ending = (flat[ends[1:] - 1] ^ np.uint64(1 << 63)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        high, low, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                        pa.array(over), pa.array(ending), pa.array(other, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+                        names=["high", "low", "prefix", "late", "last", "other", "sketch"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "high long, low long, prefix array<long>")
+    return docs.select(F.col(text)).mapInArrow(
+        run, "high long, low long, prefix array<long>, late boolean, last long, other long, sketch array<long>")
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -155,7 +170,9 @@ def _checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: Da
             chosen = batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
             yield chosen
 
-    return materialize(pairs.join(right, "y").join(left, "x").select("x", "y", "_a", "_b").mapInArrow(run, "x long, y long"), "join-links")
+    links = materialize(pairs.join(right, "y").join(left, "x").select("x", "y", "_a", "_b").mapInArrow(run, "x long, y long"), "join-links")
+    discard(sets)
+    return links
 
 
 def _need(x, y):
@@ -168,25 +185,80 @@ def _fits(x, y):
     return (4 * x >= 3 * y) & (4 * y >= 3 * x)
 
 
-def _open_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _proposals(entries: DataFrame, ends: DataFrame) -> DataFrame:
+    """Neighbouring classes of every shared shingle, in two orders, whose sketches agree by half."""
+    first = F.element_at("sketch", 1)
+    keyed = entries.select("token", "cid").join(ends.select("cid", "n", first.alias("first"), "other"), "cid")
+    before = {f"_{c}": F.lag("cid").over(W.partitionBy("token").orderBy(c, "n", "cid")) for c in ("first", "other")}
+    pairs = (
+        keyed.withColumns(before).select("cid", F.explode(F.array(*before)).alias("prev")).where("prev is not null")
+        .select(F.least("cid", "prev").alias("x"), F.greatest("cid", "prev").alias("y")).distinct()
+    )
+    for c in ("x", "y"):
+        pairs = pairs.join(ends.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    same = F.size(F.array_intersect("sx", "sy"))
+    alike = pairs.where(_fits(F.col("nx"), F.col("ny")) & (2 * same >= F.least(F.size("sx"), F.size("sy")))).select("x", "y", same.alias("same"))
+    # the best few of each class are enough to propose a group
+    best = F.row_number().over(W.partitionBy("y").orderBy(F.desc("same"), "x"))
+    return alike.withColumn("_best", best).where(F.col("_best") <= PROPOSALS).select("x", "y")
+
+
+def _open_groups(entries: DataFrame, groups: DataFrame, ends: DataFrame) -> DataFrame:
     """Candidate pairs between groups: matrix look-up, bound, and opening of the groups that qualify."""
     rows = materialize(join_small(entries, groups, ["cid"], "left").withColumn("group", F.coalesce("component", "cid")).drop("component"), "join-entries")
     matrix = rows.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = rows.join(matrix.withColumnRenamed("group", "other"), "token").where(
+    crossed = rows.join(matrix.withColumnRenamed("group", "other"), "token").where(
         (F.col("group") > F.col("other")) & (4 * F.col("high") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("low")))
-    bound = F.count(F.lit(1)) + F.max("n") - F.max("at")
-    size = F.max("n")
-    least = F.greatest(F.ceil(3 * size / F.lit(4.0)), _need(size, F.min("low")))
-    opened = materialize(met.groupBy("cid", "other").agg((bound >= least).alias("open")).where("open").select("cid", "other"), "join-opened")
-    asking = rows.join(opened, "cid").select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("other").alias("group"))
+    met = materialize(crossed.select("cid", "other", "token", "n", "at", "low", "high"), "join-met")
+    opened = materialize(_qualifying(met), "join-opened")
+    asking = met.join(opened, ["cid", "other"]).select(
+        "token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("other").alias("group"))
     members = rows.select("token", "group", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"))
-    return _bounded(asking.join(members, ["token", "group"]).where(_fits(F.col("nx"), F.col("ny"))))
-
-
-def _bounded(met: DataFrame) -> DataFrame:
-    """Pairs whose matches and positions leave room for the overlap of a link."""
-    room = F.count(F.lit(1)) + F.least(F.max("nx") - F.max("atx"), F.max("ny") - F.max("aty"))
-    return met.groupBy("x", "y").agg((room >= _need(F.max("nx"), F.max("ny"))).alias("_ok")).where("_ok").select("x", "y")
+    return _bounded(asking.join(members, ["token", "group"]).where(_fits(F.col("nx"), F.col("ny"))), ends)
+
+
+def _qualifying(met: DataFrame) -> DataFrame:
+    """Queries and groups whose bound leaves room for a link with some member.
+
+    A member's overlap is at most the matches and what the query has behind the
+    last of them.  And of the prefixes of query and member the one that ends
+    first is matched in full, so it is at most the matches and what that one has
+    behind its prefix; the first case is loosest for the smallest member, the
+    second for the largest.
+    """
+    groups = met.groupBy("cid", "other").agg(
+        F.count(F.lit(1)).alias("common"), F.max("n").alias("n"), F.max("at").alias("at"), F.min("low").alias("low"), F.max("high").alias("high"))
+    n, common = F.col("n"), F.col("common")
+    small = F.greatest(F.col("low"), F.ceil(3 * n / F.lit(4.0)))
+    large = F.least(F.col("high"), F.floor(4 * n / F.lit(3.0)))
+    behind = common + n - F.col("at") >= _need(n, small)
+    query_ends = common + _unseen(n) >= _need(n, small)
+    member_ends = common + _unseen(large) >= _need(n, large)
+    return groups.where(behind & (query_ends | member_ends)).select("cid", "other")
+
+
+def _bounded(met: DataFrame, ends: DataFrame) -> DataFrame:
+    """Pairs that can still reach the overlap of a link.
+
+    Two bounds on the overlap: the matches and what stands behind the last of
+    them; and, as all shared shingles up to the end of the prefix that ends
+    first are among the matches, the matches and what that class has behind its
+    prefix.
+    """
+    count = F.count(F.lit(1)).alias("common")
+    pairs = met.groupBy("x", "y").agg(count, *[F.max(c).alias(c) for c in ("nx", "ny", "atx", "aty")])
+    behind = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
+    near = pairs.where(F.col("common") + behind >= _need(F.col("nx"), F.col("ny")))
+    for c in ("x", "y"):
+        own = ends.select(F.col("cid").alias(c), F.struct("late", "last").alias(f"end_{c}"))
+        near = near.join(own, c)
+    rest = F.when(F.col("end_x") <= F.col("end_y"), _unseen(F.col("nx"))).otherwise(_unseen(F.col("ny")))
+    return near.where(F.col("common") + rest >= _need(F.col("nx"), F.col("ny"))).select("x", "y")
+
+
+def _unseen(n):
+    """Shingles of a class of n behind its prefix."""
+    return F.ceil(3 * n / F.lit(4.0)) - 1
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,21 +274,17 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         members.groupBy("high", "low").agg(F.max("n").alias("n"), first.alias("first"), F.count(F.lit(1)).alias("copies"))
         .withColumns({"cid": F.monotonically_increasing_id(), "_none": F.col("first").isNull(),
                       "_id": F.coalesce(F.col("first").cast("string"), F.lit(""))}), "join-classes")
-    once = _prefixes(docs, text, heavy).groupBy("high", "low").agg(F.first("prefix").alias("prefix"))
-    tokens = once.join(classes.select("high", "low", "cid", "n"), ["high", "low"]).select(
-        "cid", "n", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
-    shared = W.partitionBy("token")
-    hub = F.min(F.struct("cid", "n", "at")).over(shared)
-    entries = materialize(
-        tokens.withColumns({"hub": hub, "df": F.count(F.lit(1)).over(shared)}).where("df > 1").select(
-            "token", "cid", "n", "at", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")),
-        "join-tokens")
-    stars = entries.where("cid <> hub").select(
-        F.col("hub").alias("x"), F.col("hub_n").alias("nx"), F.col("hub_at").alias("atx"),
-        F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty")).where(_fits(F.col("nx"), F.col("ny")))
-    links = _checked(_bounded(stars), docs, key, text, classes)
+    once = _prefixes(docs, text, heavy).groupBy("high", "low").agg(*[F.first(c).alias(c) for c in ("prefix", "late", "last", "other", "sketch")])
+    named = materialize(once.join(classes.select("high", "low", "cid", "n"), ["high", "low"]).drop("high", "low"), "join-prefixes")
+    ends = materialize(
+        named.select("cid", "n", "late", "last", "other", "sketch"), "join-ends")
+    tokens = named.select("cid", "n", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
+    holders = F.count(F.lit(1)).over(W.partitionBy("token"))
+    entries = materialize(tokens.withColumn("df", holders).where("df > 1").select("token", "cid", "n", "at"), "join-tokens")
+    discard(named)
+    links = _checked(_proposals(entries, ends), docs, key, text, classes)
     groups = components(links).withColumnRenamed("node", "cid")
-    more = _checked(_open_groups(entries.select("token", "cid", "n", "at"), groups), docs, key, text, classes)
+    more = _checked(_open_groups(entries, groups, ends), docs, key, text, classes)
     whole = components(links.unionByName(more)).withColumnRenamed("node", "cid")
     named = classes.join(whole, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
