@@ -285,8 +285,13 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = _checked(_proposals(entries, ends), docs, key, text, classes)
     groups = components(links).withColumnRenamed("node", "cid")
     more = _checked(_open_groups(entries, groups, ends), docs, key, text, classes)
-    whole = components(links.unionByName(more)).withColumnRenamed("node", "cid")
-    named = classes.join(whole, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    # only links between groups are left to follow, so the groups are the nodes
+    for c in ("x", "y"):
+        more = more.join(groups.select(F.col("cid").alias(c), F.col("component").alias("_group")), c, "left").withColumn(
+            c, F.coalesce("_group", c)).drop("_group")
+    tops = components(more.where("x <> y").select("x", "y").distinct())
+    grouped = classes.join(groups, "cid", "left").withColumn("group", F.coalesce("component", "cid")).drop("component")
+    named = grouped.join(tops.withColumnRenamed("node", "group"), "group", "left").withColumn("component", F.coalesce("component", "group"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     answer = materialize(
         named.join(least, "component").where("n > 0").select("high", "low", "component_id", F.col("copies").alias("class_size")), "join-answer")
