@@ -13,8 +13,8 @@ Two documents link when 100 |x and y| >= 75 |x or y|, that is 7 |x and y| >= 3 (
    to step 5.
 4. Token-group matrix: per group, the union of its classes' prefix shingles with
    the sizes behind them.  The prefix of a class outside the group is looked up
-   in it, which bounds its overlap with any member by
-   matches + (n - position of the last match).
+   in it, which bounds its overlap with any member by the matches and what the
+   one of the two prefixes that ends first has behind it.
 5. Only groups whose bound reaches the threshold are opened: their members that
    share a shingle with the query are bounded pair by pair and checked on whole
    sets.  Pairs within one group are never formed.
@@ -52,6 +52,8 @@ HEAVY_SHARE = 1_000
 _LOCAL = 4
 SKETCH = 16
 PROPOSALS = 3
+#: unseen(s) - need(n, s) grows by 9/28 for each s, its two ceilings add less than 5 * 9/28 to a smaller s
+_LOOSEST = 5
 _COUNTED_ROWS = 3_000
 _SLICE_ROWS = 512
 
@@ -220,21 +222,21 @@ def _open_groups(entries: DataFrame, groups: DataFrame, ends: DataFrame) -> Data
 def _qualifying(met: DataFrame) -> DataFrame:
     """Queries and groups whose bound leaves room for a link with some member.
 
-    A member's overlap is at most the matches and what the query has behind the
-    last of them.  And of the prefixes of query and member the one that ends
-    first is matched in full, so it is at most the matches and what that one has
-    behind its prefix; the first case is loosest for the smallest member, the
-    second for the largest.
+    Of the prefixes of query and member the one that ends first is matched in
+    full, so the overlap is at most the matches and what that one has behind its
+    prefix.  If the query's ends first, this is loosest for the smallest member;
+    if the member's does, for one of the ``_LOOSEST`` largest sizes.  Where the
+    matches end says nothing here: they belong to different members.
     """
     groups = met.groupBy("cid", "other").agg(
-        F.count(F.lit(1)).alias("common"), F.max("n").alias("n"), F.max("at").alias("at"), F.min("low").alias("low"), F.max("high").alias("high"))
+        F.count(F.lit(1)).alias("common"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     n, common = F.col("n"), F.col("common")
     small = F.greatest(F.col("low"), F.ceil(3 * n / F.lit(4.0)))
     large = F.least(F.col("high"), F.floor(4 * n / F.lit(3.0)))
-    behind = common + n - F.col("at") >= _need(n, small)
     query_ends = common + _unseen(n) >= _need(n, small)
-    member_ends = common + _unseen(large) >= _need(n, large)
-    return groups.where(behind & (query_ends | member_ends)).select("cid", "other")
+    sizes = [F.greatest(small, large - i) for i in range(_LOOSEST)]
+    member_ends = common + F.greatest(*[_unseen(size) - _need(n, size) for size in sizes]) >= 0
+    return groups.where(query_ends | member_ends).select("cid", "other")
 
 
 def _bounded(met: DataFrame, ends: DataFrame) -> DataFrame:

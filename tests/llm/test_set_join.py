@@ -78,6 +78,43 @@ def test_without_broadcasts_and_with_other_orders(spark, monkeypatch):
     assert answer(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute(rows)
 
 
+def linked_without_bound(pairs):
+    """(cid, other) of the linked ones among (query, group), by their whole sets."""
+    return {(q, g) for q, query, g, group in pairs if any(7 * len(query & x) >= 3 * (len(query) + len(x)) for x in group)}
+
+
+def matrix_rows(pairs):
+    """What ``_qualifying`` is given: the matches of each query's prefix in its group; shingles order as numbers."""
+    size = lambda x: len(x) - (3 * len(x) + 3) // 4 + 1
+    for q, query, g, group in pairs:
+        for at, token in enumerate(sorted(query)[: size(query)]):
+            held = [len(x) for x in group if token in sorted(x)[: size(x)]]
+            n = len(query)
+            if held and 4 * max(held) >= 3 * n and 4 * n >= 3 * min(held):
+                yield q, g, token, n, at + 1, min(held), max(held)
+
+
+def test_no_group_with_a_link_is_closed(spark):
+    rnd = random.Random(5)
+    # the query lies in the first member as a whole; the second one's last match says nothing about it
+    pairs = [(0, {2, 3, 4, 5, 6, 8, 9, 10, 11}, 0, [{0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11}, {1, 2, *range(4, 12)}])]
+    # the ceilings make the member of 71, which links, looser than the one of 72, which does not
+    shared = {15, 16, 17, *range(100, 153)}
+    pairs += [(1, shared | {200, 201, 202}, 1, [shared | set(range(15)), {17, *range(1000, 1071)}])]
+    for i in range(len(pairs), 4000):
+        query = set(rnd.sample(range(60), rnd.randint(3, 40)))
+        group = []
+        for _ in range(rnd.randint(1, 4)):
+            member = {x for x in query if rnd.random() < 0.95} | set(rnd.sample(range(60), rnd.randint(0, 8)))
+            group.append(member or {1})
+        pairs.append((i, query, i, group))
+    met = spark.createDataFrame(list(matrix_rows(pairs)), "cid long, other long, token long, n long, at long, low long, high long")
+    opened = {tuple(r) for r in set_join._qualifying(met).collect()}
+    want = linked_without_bound(pairs)
+    assert {(0, 0), (1, 1)} <= want and len(want) > 1000
+    assert want <= opened and len(opened) < len(pairs)
+
+
 def test_odd_rows(spark, odd_docs):
     rows = [*odd_docs, (None, "null id text of six words", "x", "y"), (None, None, "x", "y")]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA + ", n_shingles string, cid int")
