@@ -224,7 +224,7 @@ def op8_reply_order(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every removed unit with its offsets and the unit that is kept."""
-    return unit_dedup.repeated_units(table(spark, folder, "documents"))
+    return unit_dedup.repeated_units(table(spark, folder, "documents"), whole=True)
 
 
 @query(r"""

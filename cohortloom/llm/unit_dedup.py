@@ -1,10 +1,13 @@
 """Line hashing: repeated units of text are kept once in the corpus.
 
-Units are lines, cut further at sentence ends so that a passage inside a longer
+Units are paragraphs (lines between blank ones) and lines, of any length, and as
+a finer level the lines cut at sentence ends, so that a passage inside a longer
 line is found too.  A unit is normalised (lower case, white space as one space)
-and hashed to 128 bits; units of fewer than ``min_words`` words stay out.  For
-every digest the earliest unit by (document key, row, offset) is kept, all
-others are removed, with their offsets in the original text retained.
+and hashed to 128 bits; only sentence pieces of fewer than ``min_words`` words
+stay out.  For every digest, whatever its level, the earliest unit by (document
+key, row, offset) is kept, all others are removed, with their offsets in the
+original text retained.  A removed unit inside another removed one is not named.
+Without ``whole`` only the sentence pieces are units.
 
 Digests are grouped with partial aggregation, so a line that is everywhere
 moves once per task.  The way back joins on the digest: the few digests that
@@ -23,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from cohortloom.storage import materialize
 
@@ -45,9 +48,38 @@ def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int,
             yield start, found.start() + len(raw.rstrip()), len(words), hashlib.blake2b(body, digest_size=16).digest()
 
 
-def hash_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the paragraphs and lines with a word, without the white space around them."""
+    at, first, last, lines = 0, 0, 0, 0
+    for line in text.split("\n"):
+        body = line.strip()
+        if body:
+            start = at + len(line) - len(line.lstrip())
+            first, last, lines = start if not lines else first, start + len(body), lines + 1
+            yield start, last
+        elif lines:
+            if lines > 1:
+                yield first, last
+            lines = 0
+        at += len(line) + 1
+    if lines > 1:
+        yield first, last
+
+
+def all_units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
+    """As ``units_of``, with all lines and paragraphs besides; every place once."""
+    named = set()
+    for start, end in _blocks(text):
+        words = text[start:end].lower().split()
+        body = " ".join(words).encode("utf-8", "surrogatepass")
+        named.add((start, end))
+        yield start, end, len(words), hashlib.blake2b(body, digest_size=16).digest()
+    yield from (unit for unit in units_of(text, min_words) if unit[:2] not in named)
+
+
+def hash_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """``key``, ``row``, ``start``, ``end``, ``words`` and the digest as two numbers, one row per unit."""
-    kind = docs.schema[key].dataType
+    kind, cut = docs.schema[key].dataType, all_units_of if whole else units_of
     schema = T.StructType([
         T.StructField("key", kind), T.StructField("row", T.LongType()), T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()), T.StructField("words", T.IntegerType()),
@@ -63,7 +95,7 @@ def hash_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
                 part = batch.slice(at, _SLICE_ROWS)
                 place, columns, digests = [], ([], [], []), []
                 for i, body in enumerate(part.column(2).to_pylist()):
-                    for start, end, words, digest in units_of(body or "", min_words):
+                    for start, end, words, digest in cut(body or "", min_words):
                         place.append(i)
                         columns[0].append(start)
                         columns[1].append(end)
@@ -81,9 +113,9 @@ def hash_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     return numbered.mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """One row per removed unit: its place, and the place and copies of the one that is kept."""
-    units = materialize(hash_units(docs, key, text, min_words), "line-units")
+    units = materialize(hash_units(docs, key, text, min_words, whole), "line-units")
     rank = F.struct("key", "row", "start")
     found = units.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = materialize(found.where("copies > 1"), "line-firsts")
@@ -91,6 +123,10 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     hot = F.col("copies") * HOT_SHARE >= max(total, HOT_SHARE * 2)
     sides = [units.join(F.broadcast(firsts.where(hot)), ["high", "low"]), units.join(firsts.where(~hot), ["high", "low"])]
     joined = sides[0].unionByName(sides[1]).where(~rank.eqNullSafe(F.col("first")))
+    if whole:
+        # the units of one document either lie apart or one holds the other
+        before = W.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+        joined = joined.withColumn("_until", F.max("end").over(before)).where("_until is null or _until < end")
     return joined.select(
         F.col("key").alias(key), "start", "end", "words", F.col("first.key").alias(f"kept_{key}"),
         F.col("first.start").alias("kept_start"), "copies")

@@ -64,6 +64,39 @@ def test_a_passage_inside_longer_lines_is_found(spark):
     assert {r.doc_id for r in got} == {1, 2} and sum(r.words for r in got if r.doc_id == 1) > 50
 
 
+def brute_all_units(rows):
+    """Removed (doc_id, start, end) with lines and paragraphs of any length, without those inside another."""
+    seen, out = set(), []
+    for key, text, *_ in rows:
+        text, found = text or "", set()
+        for pattern, least in ((r"[^\n]*\S[^\n]*", 1), (r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*", 1)):
+            found |= {(m.start() + len(m.group()) - len(m.group().lstrip()), m.start() + len(m.group().rstrip())) for m in re.finditer(pattern, text)}
+        found |= {u[:2] for u in unit_dedup.units_of(text)}
+        bodies = {place: " ".join(text[slice(*place)].lower().split()) for place in found}
+        gone = []
+        for place in sorted(found):
+            if bodies[place] in seen or any(bodies[p] == bodies[place] for p in found if p < place):
+                gone.append(place)
+        seen |= set(bodies.values())
+        out += [(key, *p) for p in gone if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in gone)]
+    return sorted(out)
+
+
+def test_short_lines_and_whole_paragraphs_are_units(spark):
+    docs = catalog.table(spark, SMALL, "documents").select("doc_id", "text").orderBy("doc_id")
+    shouts = " ".join(f"Go {i}!! Now {i}!!" for i in range(30))
+    extra = [(10**9 + i, text) for i, text in enumerate([
+        f"Read more\nown words of one\n{shouts}", f"{shouts}\nother words\n  READ  more ", "A b.\nC d.\n\nTail one", "Start here\n\nA b. C d.\n \nend", "A b.\nC d.\n\n\nTail two", "---\n\n---", ""])]
+    rows = [*map(tuple, docs.collect()), *extra]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = unit_dedup.repeated_units(frame, whole=True)
+    got = sorted((r.doc_id, r.start, r.end) for r in removed.collect())
+    assert got == brute_all_units(rows)
+    left = {r.doc_id - 10**9: r.text.strip() for r in unit_dedup.remove_units(frame, removed).where(f"doc_id >= {10**9}").collect()}
+    assert left[0] == extra[0][1] and left[1] == "other words" and left[4] == "Tail two" and left[5] == "---"
+    assert left[3].split() == ["Start", "here", "end"]
+
+
 # ---- importance resampling -------------------------------------------------------
 
 def test_held_out_labels_are_told_apart(spark):
