@@ -117,13 +117,13 @@ def omics_classifier_metrics(spark, folder):
 
 @query()
 def marker_score_models(spark, folder):
-    w = wide_measure(spark, folder, 3).withColumn("grp", (F.col("sample") % 2).cast("string")).withColumn("age", (F.col("sample") % 50).cast("double"))
+    w = wide_measure(spark, folder).withColumn("grp", (F.col("sample") % 2).cast("string")).withColumn("age", (F.col("sample") % 50).cast("double"))
     return markers.marker_score_by_group(w, "sample", "features", "y", "grp", ["0", "1"], ["age"])["models"]
 
 
 @query()
 def marker_score_over_time(spark, folder):
-    w = wide_measure(spark, folder, 3).withColumn("subject", F.col("sample") % 97).withColumn("years", F.col("visit") / 2.0)
+    w = wide_measure(spark, folder).withColumn("subject", F.col("sample") % 97).withColumn("years", F.col("visit") / 2.0)
     return markers.score_over_time(w, "subject", "features", "years", "y").table(spark)
 
 

@@ -585,6 +585,21 @@ def baseline_component_projection(spark, folder):
     return out.select("sample", F.col("visit").cast("long").alias("visit"), real("pc1").alias("pc1"))
 
 
+@query()
+def first_component_all(spark, folder):
+    w = wide_measure(spark, folder)
+    scored = pca.project(pca.fit_components(w, "features"), w, "features")
+    return rounded(pca.orient_by_group(scored, "pc1", "y"), ["sample"], ["pc1"])
+
+
+@query()
+def baseline_component_projection_all(spark, folder):
+    w = wide_measure(spark, folder)
+    scored = pca.project(pca.fit_components(w.where("visit = 1"), "features"), w, "features")
+    out = pca.orient_by_group(scored, "pc1", "y")
+    return out.select("sample", F.col("visit").cast("long").alias("visit"), real("pc1").alias("pc1"))
+
+
 @query(f"""with {SUBJECTS_SQL}, t as (select subject, balance, site, case when covar_pop(balance, site) over () * -1 < 0 then -balance else balance end as v from subjects) select subject, {sql_real('v', 2)} as balance from t""")
 def score_orientation(spark, folder):
     return rounded(pca.orient_by_outcome(subjects(spark, folder), "balance", "site"), ["subject"], ["balance"], 2)

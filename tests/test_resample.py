@@ -141,3 +141,28 @@ def test_robustness_checks_find_a_strong_effect(spark):
     assert lin["odds_ratio"].low > 1
     perm = {r.check: r for r in out["permutations"].collect()}
     assert perm["linear"].p_value == 0 and perm["logistic"].p_value == 0
+
+
+def test_component_queries_read_the_whole_vector(spark):
+    from study.catalog import QUERIES
+    from study.views import wide_measure
+
+    folder = "/root/testdata/sf0.001"
+    w = wide_measure(spark, folder).toPandas().sort_values("sample")
+    x, y, visit = np.stack(w.features.to_numpy()), w.y.to_numpy(), w.visit.to_numpy()
+    assert x.shape[1] == 64
+
+    def scores(fitted, rows, labels):
+        centre, spread = fitted.mean(axis=0), fitted.std(axis=0, ddof=1)
+        loadings = np.linalg.svd((fitted - centre) / spread, full_matrices=False)[2][0]
+        pc = (rows - centre) / spread @ loadings
+        return pc if pc[labels == 1].mean() >= pc[labels == 0].mean() else -pc
+
+    for name, fitted in (("first_component_all", x), ("baseline_component_projection_all", x[visit == 1])):
+        got = QUERIES[name](spark, folder).toPandas().sort_values("sample").pc1.to_numpy()
+        assert np.allclose(got, scores(fitted, x, y), atol=2e-6)
+    models = QUERIES["marker_score_models"](spark, folder).where("term = 'y'").toPandas().set_index("grp").estimate
+    for g in (0, 1):
+        at = w["sample"].to_numpy() % 2 == g
+        pc, design = scores(x[at], x[at], y[at]), np.column_stack([np.ones(at.sum()), y[at], w["sample"].to_numpy()[at] % 50])
+        assert models[str(g)] == pytest.approx(np.linalg.lstsq(design, pc, rcond=None)[0][1], rel=1e-6)
