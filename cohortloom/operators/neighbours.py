@@ -2,12 +2,16 @@
 
 Rows are put in the cell of their nearest pivot, and cells are cut into blocks
 of bounded size.  A search inside the own block bounds each row's k-th
-distance; the triangle inequality then rules out whole blocks.  Rows visit only
+distance; the triangle inequality then rules out whole cells, by the radius of
+each pivot, and in a join by cell the blocks of the others.  Rows visit only
 the blocks that are left, in bounded chunks, and each visit returns k rows.
+Pivots, and their radii, are the only list that tasks hold as a whole: about the
+square root of the number of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortloom.storage import materialize
 
-MAX_PIVOTS = 64
+LEAST_PIVOTS = 64
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -25,15 +29,18 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: int = 2048,
-                     pivots: int = MAX_PIVOTS) -> DataFrame:
+                     pivots: int | None = None) -> DataFrame:
     """The k nearest other rows of every row: (key, rank, neighbour, distance).
 
+    ``pivots``: by default the square root of the number of rows, 64 at least.
     Ties are broken by the neighbour's key.  Vectors must have equal length.
     """
     key_type = df.schema[key].dataType
     rows = df.select(key, F.col(vector).cast("array<double>").alias("_v"))
-    # pivots: at most 64 vectors, picked by hash
-    sample = rows.orderBy(F.xxhash64(key), key).limit(min(pivots, MAX_PIVOTS)).select("_v").collect()
+    if pivots is None:
+        pivots = max(LEAST_PIVOTS, math.isqrt(rows.count()))
+    # picked by hash
+    sample = rows.orderBy(F.xxhash64(key), key).limit(pivots).select("_v").collect()
     if not sample:
         return df.sparkSession.createDataFrame([], T.StructType([
             T.StructField(key, key_type), T.StructField("rank", T.IntegerType()),
@@ -45,10 +52,10 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: i
             if not len(pdf):
                 continue
             d = _distances(np.stack(pdf["_v"].to_numpy()), centers)
-            yield pdf.assign(_cell=d.argmin(axis=1).astype("int32"), _d=list(d))
+            yield pdf.assign(_cell=d.argmin(axis=1).astype("int32"), _d=d.min(axis=1))
 
     placed_schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType()),
-                                  T.StructField("_d", T.ArrayType(T.DoubleType()))])
+                                  T.StructField("_d", T.DoubleType())])
     placed = rows.mapInPandas(place, placed_schema)
     sizes = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))  # one row per pivot
     split = F.ceil(F.col("_n") / F.lit(block_rows))
@@ -58,8 +65,7 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: i
         ).drop("_n"), "knn-blocks",
     )
     blocks = blocked.groupBy("_cell", "_block").agg(
-        F.max(F.element_at("_d", F.col("_cell") + 1)).alias("_radius"), F.count(F.lit(1)).alias("_rows")
-    )
+        F.max("_d").alias("_radius"))
 
     near_schema = T.StructType([T.StructField(key, key_type), T.StructField("neighbour", key_type),
                                 T.StructField("distance", T.DoubleType())])
@@ -87,18 +93,30 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: i
     )
     # rows alone in their block have no neighbour yet
     seekers = blocked.join(reach, key, "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
-    # the block list is one small struct per block_rows rows: 8 MB at a billion rows
-    targets = blocks.select(F.struct(F.col("_cell").alias("cell"), F.col("_block").alias("block"),
-                                     F.col("_radius").alias("radius")).alias("_t"))
-    listed = targets.agg(F.collect_list("_t").alias("_targets"))
-    keep = F.filter("_targets", lambda t: (
-        (F.element_at("_d", t["cell"] + 1) - t["radius"] <= F.col("_reach") * (1 + 1e-9) + 1e-12)
-        & ~((t["cell"] == F.col("_cell")) & (t["block"] == F.col("_block")))
-    ))
+    radii = np.full(len(centers), -np.inf)
+    for cell, radius in blocked.groupBy("_cell").agg(F.max("_d")).collect():  # one row per pivot
+        radii[cell] = radius
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d = _distances(np.stack(pdf["_v"].to_numpy()), centers)
+            most = pdf["_reach"].to_numpy() * (1 + 1e-9) + 1e-12
+            at, cell = np.nonzero(d - radii <= most[:, None])
+            for i in range(0, len(at), 4 * block_rows):
+                part = slice(i, i + 4 * block_rows)
+                yield pd.DataFrame({key: pdf[key].to_numpy()[at[part]], "_most": most[at[part]], "_cell": cell[part].astype("int32"),
+                                    "_d": d[at[part], cell[part]]})
+
+    asked = seekers.select(key, "_v", "_reach").mapInPandas(cells, T.StructType([
+        T.StructField(key, key_type), T.StructField("_most", T.DoubleType()),
+        T.StructField("_cell", T.IntegerType()), T.StructField("_d", T.DoubleType())]))
+    own_place = blocked.select(key, "_v", F.col("_cell").alias("_own_cell"), F.col("_block").alias("_own_block"))
     visits = (
-        seekers.crossJoin(F.broadcast(listed))  # one row holding the block list
-        .select(key, "_v", F.explode(keep).alias("_t"))
-        .select(key, "_v", F.col("_t.cell").alias("_cell"), F.col("_t.block").alias("_block"))
+        asked.join(blocks, "_cell").where(F.col("_d") - F.col("_radius") <= F.col("_most")).select(key, "_cell", "_block")
+        .join(own_place, key).where((F.col("_cell") != F.col("_own_cell")) | (F.col("_block") != F.col("_own_block")))
+        .select(key, "_v", "_cell", "_block")
     )
     load = visits.groupBy("_cell", "_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * block_rows)).cast("int").alias("_chunks"))
     visits = visits.join(load, ["_cell", "_block"]).withColumn(

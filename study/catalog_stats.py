@@ -497,6 +497,12 @@ def nearest_neighbours(spark, folder):
     return n.select("vec_id", "neighbour", F.col("rank").cast("long").alias("rank"), real("distance").alias("distance"))
 
 
+@query(f"with {_KNN.replace(' where label = 5', '')} select vec_id, neighbour, rank, {sql_real('distance')} as distance from knn")
+def nearest_neighbours_all(spark, folder):
+    n = neighbours.exact_neighbours(_minority(spark, folder), "vec_id", "v", 5)
+    return n.select("vec_id", "neighbour", F.col("rank").cast("long").alias("rank"), real("distance").alias("distance"))
+
+
 _U = [f"(('0x' || substr(d, {1 + 8 * s}, 8))::ubigint / 4294967296.0::double)" for s in (0, 1)]
 
 

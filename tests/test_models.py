@@ -191,3 +191,29 @@ def test_infinite_prior_pools_the_variances(spark):
 
 def test_chi_square_with_many_degrees_of_freedom():
     assert float(dist.chi2_upper(np.array([1e6]), np.array([1e6]))[0]) == pytest.approx(0.499812, abs=2e-6)
+
+
+def test_pivots_are_not_cut_and_all_vectors_are_asked(spark, monkeypatch):
+    from study.catalog import ORACLES, QUERIES
+
+    rng = np.random.default_rng(8)
+    v = np.vstack([rng.normal(c, 0.3, size=(150, 3)) for c in range(0, 30, 5)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id int, v array<double>")
+    seen, whole = set(), neighbours.materialize
+
+    def spied(table, name):
+        out = whole(table, name)
+        if name == "knn-blocks":
+            seen.update(r[0] for r in out.select("_cell").distinct().collect())
+        return out
+
+    monkeypatch.setattr(neighbours, "materialize", spied)
+    got = neighbours.exact_neighbours(df, "id", "v", 3, block_rows=10, pivots=100).orderBy("id", "rank").toPandas()
+    assert len(seen) == 100
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert (got.neighbour.to_numpy().reshape(-1, 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/embeddings.parquet").count()
+    assert "label" not in ORACLES["nearest_neighbours_all"]
+    assert QUERIES["nearest_neighbours_all"](spark, folder).count() == 5 * n
