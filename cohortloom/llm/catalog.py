@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortloom.llm import (
-    contamination, host_rules, importance, set_join, source_mix, threads, token_counts, token_file,
-    unit_dedup, url_reputation,
+    collocations, contamination, host_rules, importance, set_join, sharding, source_mix, threads, token_counts,
+    token_file, unit_dedup, url_reputation, whitening,
 )
 from cohortloom.llm.common import word_count
 from cohortloom.storage import materialize
@@ -258,3 +258,48 @@ def op10_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("host_rate", 9).alias("host_rate"))
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened value of every vector on each of the first components."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query()
+def op12_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document, read back from the written shards."""
+    docs = table(spark, folder, "documents")
+    path = sharding.default_path(spark)
+    sharding.write(docs, path)
+    body = F.coalesce("text", F.lit(""))
+    return sharding.read(spark, path, docs.schema).select(
+        "doc_id", (F.octet_length(body) + sharding.RECORD_BYTES).cast("long").alias("size"),
+        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(r"""
+with d as (
+  select coalesce(lang, 'und') as lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
+w as (select lang, regexp_extract_all(pieces[i], '[^\x20\x09]+') as w from d, generate_series(1, len(pieces)) g(i)),
+f as (
+  select lang, m, w[i:i + m - 1] as p, count(*)::bigint as f from w, (values (1), (2), (3)) x(m), generate_series(1, len(w) - m + 1) g(i)
+  group by lang, m, w[i:i + m - 1]),
+c as (select lang, m, p, f as a from f where m > 1 and f >= 10),
+cuts as (
+  select c.lang, c.m, c.p, a, k, l.f as l, r.f as r, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint as score
+  from c, generate_series(1, c.m - 1) g(k) join f l on l.lang = c.lang and l.p = c.p[1:k] join f r on r.lang = c.lang and r.p = c.p[k + 1:c.m]),
+best as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+longer as (
+  select lang, q, max(a) as a from (select lang, p[1:2] as q, a from c where m = 3 union all select lang, p[2:3], a from c where m = 3) group by lang, q),
+kept as (select b.* from best b left join longer x on b.lang = x.lang and b.p = x.q where x.a is null or 100 * x.a < 50 * b.a),
+named as (select lang, array_to_string(p, ' ') as phrase, a, l, r, score from kept),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from named)
+select lang, rank, phrase, a, l, r, n, score from ranked join (select lang, sum(f)::bigint as n from f where m = 1 group by lang) using (lang)
+where rank <= 2000
+""")
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations.mine(table(spark, folder, "documents"))

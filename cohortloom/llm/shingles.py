@@ -41,7 +41,7 @@ def _hash_words(data: np.ndarray) -> np.ndarray:
     """Hash of every run of bytes other than spaces."""
     word = data != 32
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    return _hash_runs(data, edges[0::2], edges[1::2])
+    return hash_runs(data, edges[0::2], edges[1::2])
 
 
 def _hash_terms(data: np.ndarray) -> np.ndarray:
@@ -49,10 +49,10 @@ def _hash_terms(data: np.ndarray) -> np.ndarray:
     kind = _KIND[data]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1, [len(data)]])
     start = edges[:-1][kind[edges[:-1]] > 0] if len(data) else edges[:0]
-    return _hash_runs(data, start, edges[np.searchsorted(edges, start) + 1])
+    return hash_runs(data, start, edges[np.searchsorted(edges, start) + 1])
 
 
-def _hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])])
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
