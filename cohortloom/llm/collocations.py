@@ -51,9 +51,9 @@ BITS = 1 << 26
 _END, _REST = 0, 1  # entries of a stripe that are no word
 _SPACE, _CUT = 32, 10
 _FOLD = bytes(_SPACE if b == 9 else _CUT if b in b".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_PART = 1 << 20
+_PART = 1 << 19
 #: Words that a task counts at once; codes of three of them fit 63 bits.
-_WORDS = 1 << 20
+_WORDS = 1 << 18
 _SHIFT = 13
 
 
