@@ -4,20 +4,30 @@ Two documents link when 100 |x and y| >= 75 |x or y|, that is 7 |x and y| >= 3 (
 
 1. Equal sets form a class (128-bit digest); all further work is on classes.
 2. Shingles take one global order: those that many documents hold last, the
-   rest by hash.  A class's first n - ceil(3n/4) + 1 shingles are its prefix;
-   linked classes share a prefix shingle, whatever the order is.
+   rest by hash.  Of two linked classes the larger one has a shingle of the
+   smaller one's short prefix (its first n - ceil(6n/7) + 1 shingles) in its own
+   long prefix (its first n - ceil(3n/4) + 1), whatever the order is.
 3. Groups of similar classes: the classes that share a prefix shingle are put in
    two orders in which similar sets tend to be neighbours (by two min-hashes,
-   then size); neighbours whose short sketches agree are checked on whole sets,
-   and linked classes form a group.  This only proposes: what it misses is left
-   to step 5.
-4. Token-group matrix: per group, the union of its classes' prefix shingles with
-   the sizes behind them.  The prefix of a class outside the group is looked up
-   in it, which bounds its overlap with any member by the matches and what the
-   one of the two prefixes that ends first has behind it.
+   then size), and besides meet the most ordinary one among them; pairs whose
+   parity bits agree are checked on whole sets, and linked classes form a group.  This only proposes: what it misses is left to
+   step 5.
+4. Token-group matrix: per group, the union of its classes' short prefixes with
+   the sizes and the first place behind each shingle.  The long prefix of a class
+   outside the group is looked up in it.  The matches, and the places at which
+   they stand, bound its overlap with any member that is not larger.
 5. Only groups whose bound reaches the threshold are opened: their members that
-   share a shingle with the query are bounded pair by pair and checked on whole
-   sets.  Pairs within one group are never formed.
+   share a shingle with the query are bounded pair by pair, by places and by
+   parity bits, and checked on whole sets.  Pairs within one group are never formed.
+
+The parity bits of a set say for each of 256 buckets whether it holds an odd
+number of the set's shingles.  Every bucket in which two sets differ stands for
+at least one shingle that only one of them has, so their number is at most the
+size of the symmetric difference, which a link limits to (|x| + |y|) / 7.
+
+In a family of near copies the shingles that all copies share come last in the
+order, so a copy with enough shingles of its own has none of the shared ones in
+its short prefix: copies that are too far apart to link do not meet.
 
 Steps 3 and 5 miss no link between groups, so the components of all checked
 links are those of the whole relation.  The shingles held last are found by
@@ -44,16 +54,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from cohortloom.llm.common import BROADCAST_ROWS, join_small, join_weighted
 from cohortloom.llm.components import components
 from cohortloom.llm.shingles import mixed, shingle_set
+from cohortloom.operators.ranks import SLICE, number_rows, slice_groups
 from cohortloom.storage import discard, materialize
 
 HEAVY = 1 << 16
 #: A shingle is held last if it was seen in at least one of so many documents.
 HEAVY_SHARE = 1_000
 _LOCAL = 4
-SKETCH = 16
 PROPOSALS = 3
-#: unseen(s) - need(n, s) grows by 9/28 for each s, its two ceilings add less than 5 * 9/28 to a smaller s
-_LOOSEST = 5
+_PARITIES = 256
+_BITS = ["b0", "b1", "b2", "b3"]
 _COUNTED_ROWS = 3_000
 _SLICE_ROWS = 512
 
@@ -98,14 +108,14 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
-    """Digest and ordered prefix of every document with a set."""
+    """Digest, ordered long prefix, a second min-hash and the parity bits of every document with a set."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # HEAVY numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):
-                digests, prefixes, over, other, sketches = [], [], [], [], []
+                digests, prefixes, first, other, core, bits = [], [], [], [], [], []
                 for body in batch.slice(at, _SLICE_ROWS).column(0).to_pylist():
                     own = shingle_set(body)
                     n = len(own)
@@ -115,22 +125,23 @@ def _prefixes(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
                     late = np.isin(own, last, assume_unique=True)
                     size = n - (3 * n + 3) // 4 + 1
                     prefixes.append(np.concatenate([own[~late], own[late]])[:size])
-                    over.append(n - int(late.sum()) < size)
+                    first.append(int(own[:1].view(np.int64)[0]))
                     other.append(int(mixed(own).min().view(np.int64)))
-                    sketches.append(own[:SKETCH].view(np.int64))
+                    core.append(4 * int(late.sum()) - 3 * n)
+                    odd = np.bincount((own & np.uint64(_PARITIES - 1)).astype(np.int64), minlength=_PARITIES) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 if digests:
                     high, low = _halves(digests)
                     ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                    flat = np.concatenate(prefixes)
-                    # the last shingle as a signed number that orders like the unsigned hash
-                    ending = (flat[ends[1:] - 1] ^ np.uint64(1 << 63)).view(np.int64)
+                    parities = np.array(bits)
                     yield pa.RecordBatch.from_arrays([
-                        high, low, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
-                        pa.array(over), pa.array(ending), pa.array(other, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
-                        names=["high", "low", "prefix", "late", "last", "other", "sketch"])
+                        high, low, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64))),
+                        pa.array(first, pa.int64()), pa.array(other, pa.int64()), pa.array(core, pa.int64()),
+                        *[pa.array(parities[:, i]) for i in range(len(_BITS))]],
+                        names=["high", "low", "prefix", "first", "other", "core", *_BITS])
 
-    return docs.select(F.col(text)).mapInArrow(
-        run, "high long, low long, prefix array<long>, late boolean, last long, other long, sketch array<long>")
+    schema = "high long, low long, prefix array<long>, first long, other long, core long, " + ", ".join(f"{b} long" for b in _BITS)
+    return docs.select(F.col(text)).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -187,80 +198,106 @@ def _fits(x, y):
     return (4 * x >= 3 * y) & (4 * y >= 3 * x)
 
 
+def _short(n):
+    """Length of the short prefix of a set of n."""
+    return n - F.ceil(6 * n / F.lit(7.0)) + 1
+
+
+def _unlike(x: str, y: str):
+    """Parity bits in which two sets differ, from the columns of their bits with these endings."""
+    return sum((F.bit_count(F.col(f"{b}{x}").bitwiseXOR(F.col(f"{b}{y}"))) for b in _BITS), F.lit(0))
+
+
 def _proposals(entries: DataFrame, ends: DataFrame) -> DataFrame:
-    """Neighbouring classes of every shared shingle, in two orders, whose sketches agree by half."""
-    first = F.element_at("sketch", 1)
-    keyed = entries.select("token", "cid").join(ends.select("cid", "n", first.alias("first"), "other"), "cid")
-    before = {f"_{c}": F.lag("cid").over(W.partitionBy("token").orderBy(c, "n", "cid")) for c in ("first", "other")}
-    pairs = (
-        keyed.withColumns(before).select("cid", F.explode(F.array(*before)).alias("prev")).where("prev is not null")
-        .select(F.least("cid", "prev").alias("x"), F.greatest("cid", "prev").alias("y")).distinct()
-    )
-    for c in ("x", "y"):
-        pairs = pairs.join(ends.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-    same = F.size(F.array_intersect("sx", "sy"))
-    alike = pairs.where(_fits(F.col("nx"), F.col("ny")) & (2 * same >= F.least(F.size("sx"), F.size("sy")))).select("x", "y", same.alias("same"))
-    # the best few of each class are enough to propose a group
-    best = F.row_number().over(W.partitionBy("y").orderBy(F.desc("same"), "x"))
-    return alike.withColumn("_best", best).where(F.col("_best") <= PROPOSALS).select("x", "y")
+    """Pairs of classes of a shared shingle that their sizes and parity bits allow to link.
+
+    A class is paired with its neighbours in two orders, and with the class that
+    has most of the shingles held by many and fewest others: in a family of near
+    copies that is a text near their common origin.
+    """
+    keyed = entries.select("token", "cid").join(ends, "cid")
+    own = F.struct("core", "cid", "n", *_BITS)
+    orders = {c: [c, "n", "cid"] for c in ("first", "other")}
+    sliced = {c: slice_groups(keyed, ["token"], order) for c, order in orders.items()}
+
+    def met(df: DataFrame, keys: list[str], chosen: list[str]) -> DataFrame:
+        place = W.partitionBy(*keys)
+        near = [F.lag(own).over(place.orderBy(*orders[c])) for c in chosen] + [F.max(own).over(place)]
+        return df.withColumn("_met", F.array(*near)).select(F.explode("_met").alias("_p"), "cid", "n", *_BITS).where(F.col("_p.cid") != F.col("cid"))
+
+    if None in sliced.values():
+        found = met(keyed, ["token"], list(orders))
+    else:
+        found = met(sliced["first"], ["token", SLICE], ["first"]).unionByName(met(sliced["other"], ["token", SLICE], ["other"]))
+    found = found.select("cid", "n", *_BITS, F.col("_p.cid").alias("prev"), F.col("_p.n").alias("m"), *[F.col(f"_p.{b}").alias(f"{b}p") for b in _BITS])
+    unlike = _unlike("", "p")
+    alike = found.where(_fits(F.col("n"), F.col("m")) & (7 * unlike <= F.col("n") + F.col("m")))
+    pairs = alike.select("cid", "prev", unlike.alias("unlike")).distinct()
+    # the best few that each class has met are enough to propose a group
+    best = F.row_number().over(W.partitionBy("cid").orderBy("unlike", "prev"))
+    chosen = pairs.withColumn("_best", best).where(F.col("_best") <= PROPOSALS)
+    return chosen.select(F.least("cid", "prev").alias("x"), F.greatest("cid", "prev").alias("y")).distinct()
 
 
 def _open_groups(entries: DataFrame, groups: DataFrame, ends: DataFrame) -> DataFrame:
     """Candidate pairs between groups: matrix look-up, bound, and opening of the groups that qualify."""
     rows = materialize(join_small(entries, groups, ["cid"], "left").withColumn("group", F.coalesce("component", "cid")).drop("component"), "join-entries")
-    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    held = rows.where(F.col("at") <= _short(F.col("n")))
+    matrix = held.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("first"))
     crossed = rows.join(matrix.withColumnRenamed("group", "other"), "token").where(
-        (F.col("group") > F.col("other")) & (4 * F.col("high") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("low")))
-    met = materialize(crossed.select("cid", "other", "token", "n", "at", "low", "high"), "join-met")
+        (F.col("group") != F.col("other")) & (4 * F.col("high") >= 3 * F.col("n")) & (F.col("low") <= F.col("n")))
+    met = materialize(crossed.select("cid", "other", "token", "n", "at", "low", "high", "first"), "join-met")
     opened = materialize(_qualifying(met), "join-opened")
-    asking = met.join(opened, ["cid", "other"]).select(
+    asking = met.join(opened, ["cid", "other"]).where(_passing()).select(
         "token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("other").alias("group"))
-    members = rows.select("token", "group", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"))
-    return _bounded(asking.join(members, ["token", "group"]).where(_fits(F.col("nx"), F.col("ny"))), ends)
+    asking = materialize(_with_bits(asking, ends, "y"), "join-asking")
+    members = held.select("token", "group", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"))
+    members = _with_bits(members.join(asking.select("token", "group").distinct(), ["token", "group"], "left_semi"), ends, "x")
+    nx, ny = F.col("nx"), F.col("ny")
+    smaller = (nx < ny) | ((nx == ny) & (F.col("x") < F.col("y")))
+    reach = F.least(nx - F.col("atx"), ny - F.col("aty")) + 1 >= _need(nx, ny)
+    near = asking.join(members, ["token", "group"]).where(
+        smaller & _fits(nx, ny) & reach & (7 * _unlike("x", "y") <= nx + ny))
+    return near.select("x", "y").distinct()
 
 
-def _qualifying(met: DataFrame) -> DataFrame:
-    """Queries and groups whose bound leaves room for a link with some member.
+def _with_bits(rows: DataFrame, ends: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the parity bits of the class in the column ``name``, ending in that name."""
+    return rows.join(ends.select(F.col("cid").alias(name), *[F.col(b).alias(f"{b}{name}") for b in _BITS]), name)
 
-    Of the prefixes of query and member the one that ends first is matched in
-    full, so the overlap is at most the matches and what that one has behind its
-    prefix.  If the query's ends first, this is loosest for the smallest member;
-    if the member's does, for one of the ``_LOOSEST`` largest sizes.  Where the
-    matches end says nothing here: they belong to different members.
+
+def _passing():
+    """Matches that can be the first common shingle of the query and a member.
+
+    What the two share stands from there on, in both of them.  On the query's
+    side this is loosest for the smallest member, on the members' side for the
+    largest one that the query's size admits.
     """
-    groups = met.groupBy("cid", "other").agg(
-        F.count(F.lit(1)).alias("common"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    n, common = F.col("n"), F.col("common")
+    n = F.col("n")
     small = F.greatest(F.col("low"), F.ceil(3 * n / F.lit(4.0)))
-    large = F.least(F.col("high"), F.floor(4 * n / F.lit(3.0)))
-    query_ends = common + _unseen(n) >= _need(n, small)
-    sizes = [F.greatest(small, large - i) for i in range(_LOOSEST)]
-    member_ends = common + F.greatest(*[_unseen(size) - _need(n, size) for size in sizes]) >= 0
-    return groups.where(query_ends | member_ends).select("cid", "other")
+    large = F.least(F.col("high"), n)
+    return (n - F.col("at") + 1 >= _need(n, small)) & (large - F.col("first") + 1 >= _need(n, large))
 
 
-def _bounded(met: DataFrame, ends: DataFrame) -> DataFrame:
-    """Pairs that can still reach the overlap of a link.
+def _qualifying(met: DataFrame) -> DataFrame:
+    """Queries and groups whose bound leaves room for a link with some member that is not larger.
 
-    Two bounds on the overlap: the matches and what stands behind the last of
-    them; and, as all shared shingles up to the end of the prefix that ends
-    first are among the matches, the matches and what that class has behind its
-    prefix.
+    If the query's long prefix ends before the member's short one, the overlap is
+    at most the matches and what the query has behind its prefix, which is
+    loosest for the smallest member.  If the member's ends first, the same holds
+    with what the member has behind it, which is loosest for the largest one.
+    Which case a member is in is not known here, so either bound may open the group.
     """
-    count = F.count(F.lit(1)).alias("common")
-    pairs = met.groupBy("x", "y").agg(count, *[F.max(c).alias(c) for c in ("nx", "ny", "atx", "aty")])
-    behind = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
-    near = pairs.where(F.col("common") + behind >= _need(F.col("nx"), F.col("ny")))
-    for c in ("x", "y"):
-        own = ends.select(F.col("cid").alias(c), F.struct("late", "last").alias(f"end_{c}"))
-        near = near.join(own, c)
-    rest = F.when(F.col("end_x") <= F.col("end_y"), _unseen(F.col("nx"))).otherwise(_unseen(F.col("ny")))
-    return near.where(F.col("common") + rest >= _need(F.col("nx"), F.col("ny"))).select("x", "y")
-
-
-def _unseen(n):
-    """Shingles of a class of n behind its prefix."""
-    return F.ceil(3 * n / F.lit(4.0)) - 1
+    n = F.col("n")
+    groups = met.groupBy("cid", "other").agg(
+        F.count(F.lit(1)).alias("common"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.max(_passing()).alias("first"))
+    small = F.greatest(F.col("low"), F.ceil(3 * n / F.lit(4.0)))
+    large = F.least(F.col("high"), n)
+    query_ends = F.col("common") + F.ceil(3 * n / F.lit(4.0)) - 1 >= _need(n, small)
+    # the room behind a short prefix grows with the member as fast as the need, up to two ceilings
+    member_ends = F.col("common") + F.ceil(6 * large / F.lit(7.0)) >= _need(n, large)
+    return groups.where(F.col("first") & (query_ends | member_ends)).select("cid", "other")
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,13 +313,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         members.groupBy("high", "low").agg(F.max("n").alias("n"), first.alias("first"), F.count(F.lit(1)).alias("copies"))
         .withColumns({"cid": F.monotonically_increasing_id(), "_none": F.col("first").isNull(),
                       "_id": F.coalesce(F.col("first").cast("string"), F.lit(""))}), "join-classes")
-    once = _prefixes(docs, text, heavy).groupBy("high", "low").agg(*[F.first(c).alias(c) for c in ("prefix", "late", "last", "other", "sketch")])
+    once = _prefixes(docs, text, heavy).groupBy("high", "low").agg(*[F.first(c).alias(c) for c in ("prefix", "first", "other", "core", *_BITS)])
     named = materialize(once.join(classes.select("high", "low", "cid", "n"), ["high", "low"]).drop("high", "low"), "join-prefixes")
-    ends = materialize(
-        named.select("cid", "n", "late", "last", "other", "sketch"), "join-ends")
+    ends = materialize(named.select("cid", "n", "first", "other", "core", *_BITS), "join-ends")
     tokens = named.select("cid", "n", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
-    holders = F.count(F.lit(1)).over(W.partitionBy("token"))
-    entries = materialize(tokens.withColumn("df", holders).where("df > 1").select("token", "cid", "n", "at"), "join-tokens")
+    numbered = number_rows(tokens, ["token"], ["cid"], "_row", total="df")
+    entries = materialize(numbered.where("df > 1").select("token", "cid", "n", "at"), "join-tokens")
     discard(named)
     links = _checked(_proposals(entries, ends), docs, key, text, classes)
     groups = components(links).withColumnRenamed("node", "cid")

@@ -79,28 +79,29 @@ def test_without_broadcasts_and_with_other_orders(spark, monkeypatch):
 
 
 def linked_without_bound(pairs):
-    """(cid, other) of the linked ones among (query, group), by their whole sets."""
-    return {(q, g) for q, query, g, group in pairs if any(7 * len(query & x) >= 3 * (len(query) + len(x)) for x in group)}
+    """(cid, other) where some member that is not larger links with the query, by their whole sets."""
+    return {(q, g) for q, query, g, group in pairs if any(len(x) <= len(query) and 7 * len(query & x) >= 3 * (len(query) + len(x)) for x in group)}
 
 
 def matrix_rows(pairs):
-    """What ``_qualifying`` is given: the matches of each query's prefix in its group; shingles order as numbers."""
-    size = lambda x: len(x) - (3 * len(x) + 3) // 4 + 1
+    """What ``_qualifying`` is given: the matches of each query's long prefix in its group; shingles order as numbers."""
+    long = lambda x: sorted(x)[: len(x) - (3 * len(x) + 3) // 4 + 1]
+    short = lambda x: sorted(x)[: len(x) - (6 * len(x) + 6) // 7 + 1]
     for q, query, g, group in pairs:
-        for at, token in enumerate(sorted(query)[: size(query)]):
-            held = [len(x) for x in group if token in sorted(x)[: size(x)]]
+        for at, token in enumerate(long(query)):
+            held = [(len(x), short(x).index(token) + 1) for x in group if token in short(x)]
             n = len(query)
-            if held and 4 * max(held) >= 3 * n and 4 * n >= 3 * min(held):
-                yield q, g, token, n, at + 1, min(held), max(held)
+            if held and 4 * max(held)[0] >= 3 * n and min(held)[0] <= n:
+                yield q, g, token, n, at + 1, min(held)[0], max(held)[0], min(place for _, place in held)
 
 
 def test_no_group_with_a_link_is_closed(spark):
     rnd = random.Random(5)
-    # the query lies in the first member as a whole; the second one's last match says nothing about it
-    pairs = [(0, {2, 3, 4, 5, 6, 8, 9, 10, 11}, 0, [{0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11}, {1, 2, *range(4, 12)}])]
-    # the ceilings make the member of 71, which links, looser than the one of 72, which does not
-    shared = {15, 16, 17, *range(100, 153)}
-    pairs += [(1, shared | {200, 201, 202}, 1, [shared | set(range(15)), {17, *range(1000, 1071)}])]
+    # the first member lies in the query as a whole; the second one's first match says nothing about it
+    pairs = [(0, {0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11}, 0, [{2, 3, 4, 5, 6, 8, 9, 10, 11}, {1, 2, *range(4, 12)}])]
+    # a query far larger than one member and as large as the other
+    shared = set(range(100, 157))
+    pairs += [(1, shared | set(range(15)), 1, [shared, {14, *range(1000, 1071)}])]
     for i in range(len(pairs), 4000):
         query = set(rnd.sample(range(60), rnd.randint(3, 40)))
         group = []
@@ -108,13 +109,54 @@ def test_no_group_with_a_link_is_closed(spark):
             member = {x for x in query if rnd.random() < 0.95} | set(rnd.sample(range(60), rnd.randint(0, 8)))
             group.append(member or {1})
         pairs.append((i, query, i, group))
-    met = spark.createDataFrame(list(matrix_rows(pairs)), "cid long, other long, token long, n long, at long, low long, high long")
+    met = spark.createDataFrame(list(matrix_rows(pairs)), "cid long, other long, token long, n long, at long, low long, high long, first long")
     opened = {tuple(r) for r in set_join._qualifying(met).collect()}
     want = linked_without_bound(pairs)
     assert {(0, 0), (1, 1)} <= want and len(want) > 1000
     assert want <= opened and len(opened) < len(pairs)
 
 
+def family(n, words, changes, seed):
+    """``n`` near copies of one text with up to ``changes`` of its words changed."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rnd.randint(0, changes)):
+            copy[rnd.randrange(words)] = f"c{rnd.randint(0, 10**6)}"
+        out.append((i, " ".join(copy), "x", "y"))
+    return out
+
+
+@pytest.mark.parametrize("words,changes", [(80, 3), (80, 6), (15, 2)])
+def test_large_family_against_all_pairs(spark, words, changes):
+    rows = family(250, words, changes, words + changes) + [(1000 + i, t, a, b) for i, t, a, b in noisy(7)]
+    assert answer(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute(rows)
+
+
+def test_work_on_a_family_grows_in_proportion(spark, monkeypatch):
+    """Rows of the written steps for four times as many near copies."""
+
+    def steps(n):
+        sizes = {}
+
+        def counting(df, name="stage"):
+            out = plain(df, name)
+            sizes[name] = max(sizes.get(name, 0), out.count())
+            return out
+
+        monkeypatch.setattr(set_join, "materialize", counting)
+        rows = family(n, 80, 3, 1) + [(10_000 + i, " ".join(f"r{i}x{k}" for k in range(60)), "x", "y") for i in range(600)]
+        set_join.link_components(spark.createDataFrame(rows, SCHEMA).repartition(4)).count()
+        return sizes
+
+    plain = set_join.materialize
+    small, large = steps(150), steps(600)
+    for name in ("join-met", "join-asking", "join-pairs"):
+        assert large[name] <= 7 * max(small[name], 200), (name, small, large)
+
+
 def test_odd_rows(spark, odd_docs):
     rows = [*odd_docs, (None, "null id text of six words", "x", "y"), (None, None, "x", "y")]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA + ", n_shingles string, cid int")
