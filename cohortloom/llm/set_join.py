@@ -9,8 +9,8 @@ Two documents link when 100 |x and y| >= 75 |x or y|, that is 7 |x and y| >= 3 (
    long prefix (its first n - ceil(3n/4) + 1), whatever the order is.
 3. Groups of similar classes: the classes that share a prefix shingle are put in
    two orders in which similar sets tend to be neighbours (by two min-hashes,
-   then size), and besides meet the most ordinary one among them; pairs whose
-   parity bits agree are checked on whole sets, and linked classes form a group.  This only proposes: what it misses is left to
+   then size), and besides meet the most ordinary one among them; pairs that agree
+   in a min-hash are checked on whole sets, and linked classes form a group.  This only proposes: what it misses is left to
    step 5.
 4. Token-group matrix: per group, the union of its classes' short prefixes with
    the sizes and the first place behind each shingle.  The long prefix of a class
@@ -209,32 +209,32 @@ def _unlike(x: str, y: str):
 
 
 def _proposals(entries: DataFrame, ends: DataFrame) -> DataFrame:
-    """Pairs of classes of a shared shingle that their sizes and parity bits allow to link.
+    """Pairs of classes of a shared shingle that agree in a min-hash and whose sizes allow a link.
 
     A class is paired with its neighbours in two orders, and with the class that
     has most of the shingles held by many and fewest others: in a family of near
     copies that is a text near their common origin.
     """
-    keyed = entries.select("token", "cid").join(ends, "cid")
-    own = F.struct("core", "cid", "n", *_BITS)
+    keyed = entries.select("token", "cid").join(ends.select("cid", "n", "first", "other", "core"), "cid")
+    own = F.struct("core", "cid", "n", "first", "other")
     orders = {c: [c, "n", "cid"] for c in ("first", "other")}
     sliced = {c: slice_groups(keyed, ["token"], order) for c, order in orders.items()}
 
     def met(df: DataFrame, keys: list[str], chosen: list[str]) -> DataFrame:
         place = W.partitionBy(*keys)
         near = [F.lag(own).over(place.orderBy(*orders[c])) for c in chosen] + [F.max(own).over(place)]
-        return df.withColumn("_met", F.array(*near)).select(F.explode("_met").alias("_p"), "cid", "n", *_BITS).where(F.col("_p.cid") != F.col("cid"))
+        return df.withColumn("_met", F.array(*near)).select(F.explode("_met").alias("_p"), "cid", "n", "first", "other")
 
     if None in sliced.values():
         found = met(keyed, ["token"], list(orders))
     else:
         found = met(sliced["first"], ["token", SLICE], ["first"]).unionByName(met(sliced["other"], ["token", SLICE], ["other"]))
-    found = found.select("cid", "n", *_BITS, F.col("_p.cid").alias("prev"), F.col("_p.n").alias("m"), *[F.col(f"_p.{b}").alias(f"{b}p") for b in _BITS])
-    unlike = _unlike("", "p")
-    alike = found.where(_fits(F.col("n"), F.col("m")) & (7 * unlike <= F.col("n") + F.col("m")))
-    pairs = alike.select("cid", "prev", unlike.alias("unlike")).distinct()
+    agree = (F.col("first") == F.col("_p.first")).cast("int") + (F.col("other") == F.col("_p.other")).cast("int")
+    alike = found.where((F.col("_p.cid") != F.col("cid")) & _fits(F.col("n"), F.col("_p.n"))).select(
+        "cid", F.col("_p.cid").alias("prev"), agree.alias("agree"), F.abs(F.col("n") - F.col("_p.n")).alias("gap"))
+    pairs = alike.where("agree > 0").distinct()
     # the best few that each class has met are enough to propose a group
-    best = F.row_number().over(W.partitionBy("cid").orderBy("unlike", "prev"))
+    best = F.row_number().over(W.partitionBy("cid").orderBy(F.desc("agree"), "gap", "prev"))
     chosen = pairs.withColumn("_best", best).where(F.col("_best") <= PROPOSALS)
     return chosen.select(F.least("cid", "prev").alias("x"), F.greatest("cid", "prev").alias("y")).distinct()
 
