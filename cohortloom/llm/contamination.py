@@ -7,9 +7,15 @@ word it knows the longest item passage that ends there, and through its suffix
 links the windows that end there and the items they belong to.
 
 The items are read in blocks of at most ``BLOCK_WORDS`` words, whose size is
-counted before anything is brought to the driver.  One block is the usual case.
-With more, documents get row numbers in a written table, every block is walked
-over all of them, and the blocks' findings are joined by row number.
+counted before anything is brought to the driver; an item longer than that is
+read in parts that overlap by a window less one word.  One block is the usual
+case.  With more, documents get row numbers in a written table, every block is
+walked over all of them, written, and let go before the next one, and the
+blocks' findings, without the texts, are joined by row number.
+
+``decontaminate`` acts on what was found: a document of which at least one word in
+``share`` is hit exceeds the coverage limit and goes as a whole; from every other one
+the spans of at least ``min_span`` hit words are cut, and what stands between stays.
 
 Defined cases: a NULL or empty text has no words and no hits; an item without
 words matches nothing; items with equal ids count once, an item without id as
@@ -19,14 +25,18 @@ empty result or no hits; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cohortloom.llm.common import ascii_lower
+from cohortloom.operators.ranks import prefix_sums
 from cohortloom.storage import materialize
 
 WINDOW = 13
@@ -163,10 +173,11 @@ def merged(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()),
           T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", _SPANS)]
-_AUTOMATA: dict[int, SuffixAutomaton] = {}
+_AUTOMATA: dict[str, SuffixAutomaton] = {}
+_NUMBERS = (uuid.uuid4().hex for _ in itertools.count())
 
 
-def _walk(docs: DataFrame, keep: Sequence[str], text: str, shared, number: int, window: int) -> DataFrame:
+def _walk(docs: DataFrame, keep: Sequence[str], text: str, shared, number: str, window: int) -> DataFrame:
     """Findings of one block of items in every document."""
     sent = list(keep) if text in keep else [*keep, text]
     schema = T.StructType([docs.schema[c] for c in keep] + _FOUND)
@@ -209,27 +220,57 @@ def find(docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",), t
     keep = [c for c in keep if c not in ("n_words", "n_hit", "longest", "item_ids", "spans")]
     count = F.regexp_count(ascii_lower(F.col(item_text)), F.lit(_SQL_WORD))
     named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"),
-                         F.col(item_text).alias("text"), F.coalesce(count, F.lit(0)).alias("n"))
+                         F.col(item_text).alias("text"), F.coalesce(count, F.lit(0)).cast("long").alias("n"))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_blocks = 1 if total <= block_words else -(-2 * total // block_words)
-    if n_blocks > 1:
-        rows = materialize(docs.select(*dict.fromkeys([*keep, text])).withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
-        carried = [*keep, "_row"]
+    if total <= block_words:
+        held = [(r.id, words_of(r.text)) for r in named.where("n > 0").select("id", "text").collect()]  # block_words bounded
+        found = _walk(docs, list(keep), text, *_shared(spark, held), window)
     else:
-        rows, carried = docs, list(keep)
-    found = None
-    for block in range(n_blocks):
-        mine = named.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else named
-        held = [(r.id, words_of(r.text)) for r in mine.where("n > 0").select("id", "text").collect()]  # block_words bounded
-        shared = spark.sparkContext.broadcast(([i for i, _ in held], [w for _, w in held]))
-        one = _walk(rows, carried, text, shared, shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else block, window)
-        found = one if found is None else found.unionByName(one)
-    if n_blocks > 1:
-        found = _join_blocks(found, carried)
+        found = _walk_blocks(docs, keep, text, named, window, block_words)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     return found.select(*keep, "n_words", size.alias("n_hit"), "longest", "item_ids", "spans")
 
 
+def _shared(spark: SparkSession, held: list[tuple[str, list[bytes]]]) -> tuple:
+    """The items as a broadcast, and a number that tells this broadcast from others."""
+    shared = spark.sparkContext.broadcast(([i for i, _ in held], [w for _, w in held]))
+    return shared, next(_NUMBERS)
+
+
+def _walk_blocks(docs: DataFrame, keep: Sequence[str], text: str, named: DataFrame, window: int, block_words: int) -> DataFrame:
+    """Findings over more items than one block holds."""
+    spark = docs.sparkSession
+    own = list(dict.fromkeys([*keep, text]))
+    # the caller's columns travel as one, so that no name can clash
+    rows = materialize(docs.select(F.struct(*own).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "bench-rows")
+    part = max(2 * window, block_words // 2)
+    step = part - window + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(body)
+                pieces = [b" ".join(words[a : a + part]) for a in range(0, max(1, len(words) - window + 1), step)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * len(pieces)), pa.array([p.decode("utf-8", "surrogatepass") for p in pieces]),
+                     pa.array([len(p.split()) for p in pieces], pa.int64())], names=["id", "text", "n"])
+
+    parts = materialize(named.where("n > 0").select("id", "text").mapInArrow(cut, "id string, text string, n long"), "bench-parts")
+    placed = materialize(prefix_sums(parts.withColumn("_at", F.monotonically_increasing_id()), [], ["_at"], {"_before": "n"}), "bench-blocks")
+    block = F.floor(F.col("_before") / F.lit(part))
+    last = placed.agg(F.max(block)).first()[0]
+    found = None
+    for number in range(last + 1):
+        held = [(r.id, words_of(r.text)) for r in placed.where(block == number).select("id", "text").collect()]  # two parts at most
+        if held:
+            shared, name = _shared(spark, held)
+            one = materialize(_walk(rows, ["row"], "text", shared, name, window), "bench-found")
+            shared.destroy()
+            found = one if found is None else found.unionByName(one)
+    return rows.join(_join_blocks(found, ["row"]), "row").select(
+        *[F.col("doc")[c].alias(c) for c in keep], "n_words", "longest", "item_ids", "spans")
+
+
 def _join_blocks(found: DataFrame, carried: Sequence[str]) -> DataFrame:
     """One row per document from one row per document and block."""
     grouped = found.groupBy(*carried).agg(
@@ -252,6 +293,28 @@ def verdict(found: DataFrame, share: int = 20) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  window: int = WINDOW, min_span: int | None = None, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without contaminated documents and, in the others, without spans of at least ``min_span`` hit words.
+
+    ``min_span`` is the window by default, which leaves hits by shorter items in place.
+    """
+    least = window if min_span is None else min_span
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
+    found = verdict(find(own, items, ["doc", "text"], "text", item_id, item_text, window, block_words), share)
+    kept = found.where(~F.col("contaminated")).withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= least))
+
+    @F.pandas_udf("string")
+    def cut(bodies: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([remove_spans(b, [(s["start"], s["end"]) for s in own]) for b, own in zip(bodies, spans)], dtype=object)
+
+    clean, hit = kept.where(F.size("spans") == 0), kept.where(F.size("spans") > 0)
+    rest = [c for c in docs.columns if c != text]
+    whole = clean.select("doc.*")
+    changed = hit.select(*[F.col("doc")[c].alias(c) for c in rest], cut("text", "spans").alias(text)).select(*docs.columns)
+    return whole.unionByName(changed)
+
+
 def remove_spans(text: str, spans: Sequence[tuple[int, int]]) -> str:
     """A text without the words of the spans; what stands between the words stays."""
     raw = text.encode("utf-8", "surrogatepass")

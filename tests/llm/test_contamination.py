@@ -78,3 +78,29 @@ def test_automaton_knows_longest_matches():
 def test_spans_are_cut_from_the_text():
     text = "One, two  THREE-four five."
     assert re.sub(r"\s+", " ", remove_spans(text, [(1, 3)])) == "One, -four five."
+
+
+def test_a_huge_item_is_read_in_parts(spark):
+    rnd = random.Random(4)
+    item = [f"i{rnd.randint(0, 50)}" for _ in range(600)]
+    docs = [(i, " ".join(item[a : a + n]), "x", "y") for i, (a, n) in enumerate([(0, 20), (90, 30), (95, 13), (300, 200), (580, 20), (10, 12), (0, 600)])]
+    items = [(1, " ".join(item)), (2, "alone here")]
+    assert answer(spark, docs, items, block_words=200) == brute(docs, items)
+
+
+def test_spans_and_documents_go_by_length_and_coverage(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    own = " ".join(f"own{i}" for i in range(600))
+    docs = [(1, f"{own}. {item}, {own}", "x", "y"), (2, f"{item} {item}", "x", "y"), (3, own, "x", "y"), (None, None, "x", "y"),
+            (4, f"{own} {own} two words", "x", "y"), (5, "", "x", "y"), (1, f"{item} {own}", "x", "y")]
+    frame = spark.createDataFrame([(*d, 7, "s", [1]) for d in docs], DOCS + ", n_words int, doc string, spans array<int>")
+    bench = spark.createDataFrame([(1, item), (2, "two words")], "item_id long, text string")
+    for blocks in (contamination.BLOCK_WORDS, 18):
+        got = contamination.decontaminate(frame, bench, block_words=blocks)
+        assert got.columns == frame.columns
+        rows = sorted(((r.doc_id, " ".join((r.text or "").split()), r.n_words, r.doc) for r in got.collect()), key=repr)
+        assert rows == sorted([(1, f"{own}. , {own}", 7, "s"), (1, own, 7, "s"), (3, own, 7, "s"), (None, "", 7, "s"),
+                               (4, f"{own} {own} two words", 7, "s"), (5, "", 7, "s")], key=repr)
+    short = contamination.decontaminate(frame.where("doc_id = 4"), bench, min_span=1).first()
+    assert " ".join(short.text.split()) == f"{own} {own}"
+    assert contamination.decontaminate(frame.where("false"), bench).count() == 0
