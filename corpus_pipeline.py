@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents.  All but the
-last return the columns they were given; rows are dropped or repeated, never changed.
+last return the columns they were given; rows are dropped or repeated, and only the
+third stage changes texts, from which it cuts benchmark passages.
 """
 
 from __future__ import annotations
@@ -27,22 +28,31 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Rows without doc_id stay.  If ids repeat, rows equal in all columns are one document.
+    Where ids are missing or repeat, rows are judged one by one by a written row
+    number: the first row with the smallest id stays, one without id only if no other has one.
     """
-    found = materialize(set_join.link_components(docs), "pipeline-components")
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
+    ids = docs.groupBy("doc_id").count()
+    if not ids.where("doc_id is null or count > 1").limit(1).count():
+        found = materialize(set_join.link_components(docs), "pipeline-components")
+        return _without(docs, found, "doc_id")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.monotonically_increasing_id().alias("row"))
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("doc"), "text", place.alias("place")), "pipeline-rows")
+    found = materialize(set_join.link_components(rows, "place"), "pipeline-components")
+    return _without(rows, found, "place").select("doc.*")
+
+
+def _without(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the keys that are not the first of their component."""
+    gone = materialize(found.where(F.col("component_id") != F.col(key)).select(key), "pipeline-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates() if again else kept
+    return docs.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents of which at least one word in twenty is benchmark text."""
+    """Drop the documents of which at least one word in twenty is benchmark text, cut longer passages from the others."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination.find(docs, items, keep=docs.columns)
-    return contamination.verdict(found).where(~F.col("contaminated")).select(*docs.columns)
+    return contamination.decontaminate(docs, items)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
