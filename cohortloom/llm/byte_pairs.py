@@ -3,9 +3,11 @@
 The library splits a text into pre-tokens before it merges, and no pre-token
 reaches over a place where white space follows other characters, or where a
 run of letters and digits meets a run of ASCII punctuation.  Texts are cut
-at such places only; each distinct piece is encoded by the library once and
-kept.  Texts with a special string, and tokenizers with another set-up, are
-encoded whole.
+at such places only; each distinct piece is encoded once and kept.  A new piece of
+ASCII and Latin letters is cut into its pre-tokens, of which there are fewer
+different ones, and the library's model merges each of these once; any other
+piece is encoded by the library as it is.  Texts with a special string, and tokenizers with another
+set-up, are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,6 +24,21 @@ _ALNUM = "A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _PUNCT = re.escape('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 _PIECES = re.compile(
     f"[{_WHITE}]*(?:[{_ALNUM}]+(?=[{_PUNCT}{_WHITE}]|\\Z)|[{_PUNCT}]+(?=[{_ALNUM}{_WHITE}]|\\Z)|[^{_WHITE}]+)|[{_WHITE}]+")
+# the pre-tokens of the byte-level set-up, for ASCII and the letters up to Latin Extended-B
+_LATIN = "\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_KNOWN = re.compile(f"[\0-\x7f{_LATIN}]*")
+_TOKENS = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9{_LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
+
+def _alphabet() -> dict[int, str]:
+    """The characters of the byte-level alphabet: printable bytes are themselves, all others follow 255 in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_ALPHABET = _alphabet()
+_SPACE = _ALPHABET[32]
 #: Pieces kept at most in a worker; the memo starts anew beyond, results stay the same.
 MEMO_SIZE = 500_000
 
@@ -35,13 +52,38 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Tokens(dict):
+    """Ids of pre-tokens, merged by the library's model."""
+
+    def __init__(self, merge, code):
+        super().__init__()
+        self.merge, self.code = merge, code
+
+    def __missing__(self, token: str) -> bytes:
+        if token.isascii() and token.isprintable():
+            letters = token.replace(" ", _SPACE)
+        else:
+            letters = token.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+        out = self[token] = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
+        return out
+
+
 class _Memo(dict):
-    def __init__(self, encode, code):
+    """Ids of pieces."""
+
+    def __init__(self, encode, code, tokens: _Tokens | None):
         super().__init__()
-        self.encode, self.code = encode, code
+        self.encode, self.code, self.tokens = encode, code, tokens
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = array(self.code, self.encode(piece, add_special_tokens=False).ids).tobytes()
+        if self.tokens is not None and (piece.isascii() or _KNOWN.fullmatch(piece)):
+            out = b"".join(map(self.tokens.__getitem__, _TOKENS.findall(piece)))
+        else:
+            out = self.whole(piece)
+        self[piece] = out
         return out
 
 
@@ -66,14 +108,19 @@ class Encoder:
         )
         code = "H" if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = "<u2" if code == "H" else "<u4"
-        self.memo = _Memo(library.encode, code)
+        model = setup.get("model") or {}
+        plain = self.divisible and model.get("type") == "BPE" and not model.get("dropout") and not any(
+            model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        self.memo = _Memo(library.encode, code, _Tokens(library.model.tokenize, code) if plain else None)
 
     def encode(self, text: str) -> bytes:
         memo = self.memo
         if not self.divisible or any(s in text for s in self.special):
-            return memo.__class__.__missing__(_Memo(memo.encode, memo.code), text)
+            return memo.whole(text)
         if len(memo) > MEMO_SIZE:
             memo.clear()
+            if memo.tokens is not None:
+                memo.tokens.clear()
         return b"".join(map(memo.__getitem__, _PIECES.findall(text)))
 
 
