@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortloom.storage import materialize
+from cohortloom.storage import discard, materialize
 
 
 def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -26,6 +26,8 @@ def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
             lower.join(top, "_new").select(
                 "node", F.least("_new", "_top").alias("component"), (F.least("_new", "_top") < F.col("component")).alias("changed")),
             "labels")
+        discard(labels)
         labels = moved.select("node", "component")
         if not moved.where("changed").limit(1).count():
+            discard(edges)
             return labels

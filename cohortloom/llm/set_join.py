@@ -208,14 +208,14 @@ def _unlike(x: str, y: str):
     return sum((F.bit_count(F.col(f"{b}{x}").bitwiseXOR(F.col(f"{b}{y}"))) for b in _BITS), F.lit(0))
 
 
-def _proposals(entries: DataFrame, ends: DataFrame) -> DataFrame:
+def _proposals(entries: DataFrame) -> DataFrame:
     """Pairs of classes of a shared shingle that agree in a min-hash and whose sizes allow a link.
 
     A class is paired with its neighbours in two orders, and with the class that
     has most of the shingles held by many and fewest others: in a family of near
     copies that is a text near their common origin.
     """
-    keyed = entries.select("token", "cid").join(ends.select("cid", "n", "first", "other", "core"), "cid")
+    keyed = entries.select("token", "cid", "n", "first", "other", "core")
     own = F.struct("core", "cid", "n", "first", "other")
     orders = {c: [c, "n", "cid"] for c in ("first", "other")}
     sliced = {c: slice_groups(keyed, ["token"], order) for c, order in orders.items()}
@@ -241,14 +241,18 @@ def _proposals(entries: DataFrame, ends: DataFrame) -> DataFrame:
 
 def _open_groups(entries: DataFrame, groups: DataFrame, ends: DataFrame) -> DataFrame:
     """Candidate pairs between groups: matrix look-up, bound, and opening of the groups that qualify."""
-    rows = materialize(join_small(entries, groups, ["cid"], "left").withColumn("group", F.coalesce("component", "cid")).drop("component"), "join-entries")
+    grouped = join_small(entries.select("token", "cid", "n", "at"), groups, ["cid"], "left").withColumn("group", F.coalesce("component", "cid")).drop("component")
+    # a shingle that one group alone holds bounds nothing
+    several = grouped.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("token")
+    rows = materialize(grouped.join(several, "token", "left_semi"), "join-rows")
+    discard(entries)
     held = rows.where(F.col("at") <= _short(F.col("n")))
     matrix = held.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("first"))
     crossed = rows.join(matrix.withColumnRenamed("group", "other"), "token").where(
         (F.col("group") != F.col("other")) & (4 * F.col("high") >= 3 * F.col("n")) & (F.col("low") <= F.col("n")))
     met = materialize(crossed.select("cid", "other", "token", "n", "at", "low", "high", "first"), "join-met")
     opened = materialize(_qualifying(met), "join-opened")
-    asking = met.join(opened, ["cid", "other"]).where(_passing()).select(
+    asking = met.join(F.broadcast(opened) if opened.count() <= BROADCAST_ROWS else opened, ["cid", "other"]).where(_passing()).select(
         "token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("other").alias("group"))
     asking = materialize(_with_bits(asking, ends, "y"), "join-asking")
     members = held.select("token", "group", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"))
@@ -258,7 +262,10 @@ def _open_groups(entries: DataFrame, groups: DataFrame, ends: DataFrame) -> Data
     reach = F.least(nx - F.col("atx"), ny - F.col("aty")) + 1 >= _need(nx, ny)
     near = asking.join(members, ["token", "group"]).where(
         smaller & _fits(nx, ny) & reach & (7 * _unlike("x", "y") <= nx + ny))
-    return near.select("x", "y").distinct()
+    pairs = materialize(near.select("x", "y").distinct(), "join-candidates")
+    for table in (rows, met, opened, asking):
+        discard(table)
+    return pairs
 
 
 def _with_bits(rows: DataFrame, ends: DataFrame, name: str) -> DataFrame:
@@ -316,11 +323,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     once = _prefixes(docs, text, heavy).groupBy("high", "low").agg(*[F.first(c).alias(c) for c in ("prefix", "first", "other", "core", *_BITS)])
     named = materialize(once.join(classes.select("high", "low", "cid", "n"), ["high", "low"]).drop("high", "low"), "join-prefixes")
     ends = materialize(named.select("cid", "n", "first", "other", "core", *_BITS), "join-ends")
-    tokens = named.select("cid", "n", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
-    numbered = number_rows(tokens, ["token"], ["cid"], "_row", total="df")
-    entries = materialize(numbered.where("df > 1").select("token", "cid", "n", "at"), "join-tokens")
+    tokens = named.select("cid", F.posexplode("prefix").alias("at", "token"))
+    shared = materialize(number_rows(tokens, ["token"], ["cid"], "_row", total="df").where("df > 1").select("token", "cid", "at"), "join-tokens")
     discard(named)
-    links = _checked(_proposals(entries, ends), docs, key, text, classes)
+    entries = materialize(shared.withColumn("at", F.col("at") + 1).join(ends.select("cid", "n", "first", "other", "core"), "cid"), "join-entries")
+    discard(shared)
+    links = _checked(_proposals(entries), docs, key, text, classes)
     groups = components(links).withColumnRenamed("node", "cid")
     more = _checked(_open_groups(entries, groups, ends), docs, key, text, classes)
     # only links between groups are left to follow, so the groups are the nodes
