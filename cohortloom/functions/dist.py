@@ -72,8 +72,9 @@ def inverse_trigamma(value: float) -> float:
     return math.sqrt(low * high)
 
 
-def _beta_fraction(a, b, x, rounds=300):
-    # modified Lentz evaluation of the continued fraction
+def _beta_fraction(a, b, x):
+    # modified Lentz evaluation of the continued fraction, which settles after a few times sqrt(max(a, b)) terms
+    rounds = 300 + int(20 * math.sqrt(float(np.max(np.maximum(a, b), initial=1.0))))
     tiny = 1e-300
     guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
     c = np.ones_like(x)
@@ -147,6 +148,25 @@ def t_two_sided(t, df):
     return regularized_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
+def t_upper_quantile(p, df):
+    """t >= 0 whose two-sided tail probability is p, by bisection to rounding; infinite for p <= 0."""
+    p, df = np.asarray(p, dtype=float), np.asarray(df, dtype=float)
+    low, high = np.zeros(p.shape), np.ones(p.shape)
+    for _ in range(1100):  # doubling reaches every double
+        short = (t_two_sided(high, df) > p) & np.isfinite(high)
+        if not short.any():
+            break
+        with np.errstate(over="ignore"):
+            high = np.where(short, 2 * high, high)
+    while True:
+        middle = (low + high) / 2
+        open_ = (middle > low) & (middle < high)
+        if not open_.any():
+            return np.where(p <= 0, np.inf, middle)
+        above = t_two_sided(middle, df) > p
+        low, high = np.where(open_ & above, middle, low), np.where(open_ & ~above, middle, high)
+
+
 def f_upper(f, df1, df2):
     f = np.asarray(f, dtype=float)
     return regularized_beta(np.asarray(df2) / 2.0, np.asarray(df1) / 2.0, df2 / (df2 + df1 * f))
@@ -195,6 +215,17 @@ def t_p_value(t: Column, df: Column) -> Column:
     return p(t.cast("double"), df.cast("double"))
 
 
+def t_quantile(p: Column, df: Column) -> Column:
+    """t >= 0 with two-sided tail probability p; NULL where p is not above 0."""
+    run = _batchwise(lambda p, df: np.where((p > 0) & (df > 0), t_upper_quantile(np.clip(p, 1e-300, 1.0), np.where(df > 0, df, 1.0)), np.nan))
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series, df: pd.Series) -> pd.Series:
+        return run(p, df)
+
+    return quantile(p.cast("double"), df.cast("double"))
+
+
 def f_p_value(f: Column, df1: Column, df2: Column) -> Column:
     run = _batchwise(_positive_df(f_upper))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 DRAWS_PER_DIGEST = 4
 _SCALE = 4294967296.0
@@ -63,3 +63,69 @@ def poisson_weight(word: Column) -> Column:
         below = word < F.lit(format(limit, "08x"))
         weight = F.when(below, count) if weight is None else weight.when(below, count)
     return weight.otherwise(count)
+
+
+# ---- keyed permutations -------------------------------------------------------
+
+#: Rounds of the permutation, each with a 32-bit key of its own; modulus and multipliers of the round function.
+ROUNDS = 6
+_PRIME, _FIRST, _SECOND = 2147483647, 48271, 69621
+
+
+def sides(n: int) -> tuple[int, int]:
+    """A rectangle of at least n places, its sides near the square root of n and its surplus as small as can be."""
+    root = math.isqrt(max(n, 1))
+    best = min(range(max(1, root), 2 * root + 2), key=lambda a: (a * -(-n // a) - n, a))
+    return best, -(-n // best)
+
+
+def round_keys(seed: int, replicate: Column) -> Column:
+    """The keys of a replicate's permutation, an array of ``ROUNDS`` numbers."""
+    digests = [digest(seed, replicate * 2 + i) for i in range(-(-ROUNDS // DRAWS_PER_DIGEST))]
+    word = lambda d, s: F.conv(F.substring(d, 1 + 8 * s, 8), 16, 10).cast("long")
+    return F.array(*[word(digests[r // DRAWS_PER_DIGEST], r % DRAWS_PER_DIGEST) for r in range(ROUNDS)])
+
+
+def _scrambled(value: Column, key: Column) -> Column:
+    first = F.pmod(F.pmod(value + key, F.lit(_PRIME)) * _FIRST, F.lit(_PRIME))
+    return F.pmod(first.bitwiseXOR(F.shiftright(first, 15)) * _SECOND, F.lit(_PRIME))
+
+
+def permuted(place: Column, keys: Column, n: int) -> Column:
+    """Where a keyed bijection of the places 0 .. n - 1 sends ``place``.
+
+    The place is a point of a rectangle; in turn one coordinate is shifted by a
+    keyed function of the other, which can be undone whatever the function is.
+    A point that lands in the rectangle's surplus is sent on until it is below
+    n; the surplus bounds how often that can happen.
+    """
+    a, b = sides(n)
+
+    def once(at: Column) -> Column:
+        state = F.struct(F.floor(at / b).cast("long").alias("l"), F.pmod(at, F.lit(b)).cast("long").alias("r"))
+
+        def turn(s: Column, r: Column) -> Column:
+            key = F.element_at(keys, (r + 1).cast("int"))
+            left = F.pmod(s["l"] + _scrambled(s["r"], key), F.lit(a))
+            right = F.pmod(s["r"] + _scrambled(s["l"], key), F.lit(b))
+            even = r % 2 == 0
+            return F.struct(F.when(even, left).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(right).alias("r"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, turn, lambda s: s["l"] * b + s["r"])
+
+    steps = F.sequence(F.lit(0), F.lit(a * b - n))
+    return F.aggregate(steps, place.cast("long"), lambda at, i: F.when((i == 0) | (at >= n), once(at)).otherwise(at))
+
+
+def permute(df: DataFrame, place: str, keys: str, n: int, out: str) -> DataFrame:
+    """``df`` with ``out``, the place to which ``permuted`` sends ``place``, as one generated step a round."""
+    a, b = sides(n)
+    turned = df.withColumns({"_l": F.floor(F.col(place) / F.lit(b)).cast("long"), "_r": F.pmod(F.col(place), F.lit(b)).cast("long")})
+    for r in range(ROUNDS):
+        moved, other, side = ("_l", "_r", a) if r % 2 == 0 else ("_r", "_l", b)
+        turned = turned.withColumn("_f", _scrambled(F.col(other), F.col(keys)[r]))
+        turned = turned.withColumn(moved, F.pmod(F.col(moved) + F.col("_f"), F.lit(side)))
+    landed = F.col("_l") * b + F.col("_r")
+    if a * b > n:
+        landed = F.when(landed < n, landed).otherwise(permuted(F.col(place), F.col(keys), n))
+    return turned.withColumn(out, landed).drop("_l", "_r", "_f")

@@ -188,16 +188,18 @@ def resampled_information(df: DataFrame, sample: str, feature: str, value: str,
     """Mutual information of every feature in every Poisson bootstrap of the samples.
 
     ``rebin=True`` cuts the bins anew in each resample: rows are shuffled once
-    per digest block of four replicates and expanded after that.  With
+    per digest block of four replicates and expanded after that, unless a feature
+    has more rows than one task may sort.  With
     ``rebin=False`` bins are cut once and the expansion is reduced map-side to
     bin counts, the choice for very large tables.
     """
     if rebin:
         rows = _replicate_blocks(df.select(sample, feature, value, y), n, seed, sample)
-        placed = rows.repartition(feature, "_block")
-        spread = _expand_slots(placed, n, [feature, value, y])
         # a resample has no more distinct values than the data: one check for all
         small = slice_groups(df.select(feature, value, sample), [feature], [value, sample]) is None
+        # a feature that one task can't hold is spread by its values, after the expansion
+        placed = rows.repartition(feature, "_block") if small else rows
+        spread = _expand_slots(placed, n, [feature, value, y])
         return mutual_information(
             spread, [feature, "_block", "b"], value, y, bins, "w", small_groups=small
         ).drop("_block")

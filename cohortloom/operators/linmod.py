@@ -7,6 +7,7 @@ rows (one per model) reach NumPy for the small solves.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortloom.functions import dist
-from cohortloom.operators.ranks import adjust_fdr, exact_quantiles, prefix_sums
+from cohortloom.operators.ranks import adjust_fdr, exact_quantiles, number_rows, prefix_sums
 from cohortloom.storage import materialize
 
 INTERCEPT = "intercept"
@@ -61,8 +62,37 @@ def centered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.drop(*[f"_mean_{c}" for c in columns])
 
 
+#: A regressor is left out when those before it explain all but this share of its variance.
+COLLINEAR = 1e-10
+
+
+def _pivoted_inverse(corr: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse of each correlation matrix over its independent columns, and which these are.
+
+    The columns are swept in their order; one whose remaining variance is below
+    ``COLLINEAR`` depends on those before it and is passed over, so only that term is
+    lost.  Rows and columns of such a term are zero in the inverse.
+    """
+    rows, p, _ = corr.shape
+    swept, kept = np.where(usable[:, None, None], corr, 0.0), np.zeros((rows, p), bool)
+    for j in range(p):
+        pivot = swept[:, j, j]
+        take = usable & (pivot > COLLINEAR)
+        kept[:, j] = take
+        if not take.any():
+            continue
+        part, d = swept[take], pivot[take][:, None]
+        row, column = part[:, j, :] / d, part[:, :, j].copy()
+        part -= column[:, :, None] * row[:, None, :]
+        part[:, j, :], part[:, :, j] = row, column / d
+        part[:, j, j] = -1 / d[:, 0]
+        swept[take] = part
+    both = kept[:, :, None] & kept[:, None, :]
+    return np.where(both, -swept, 0.0), kept
+
+
 def _solve_batch(pdf: pd.DataFrame, y: str, xs: Sequence[str]):
-    """Coefficients, standard errors and residual df for a batch of moment rows."""
+    """Coefficients, standard errors, residual df, variance and r2 for a batch of moment rows."""
     names = [y, *xs]
     rows, p = len(pdf), len(xs)
     cov = np.empty((rows, p + 1, p + 1))
@@ -71,40 +101,46 @@ def _solve_batch(pdf: pd.DataFrame, y: str, xs: Sequence[str]):
     mean = np.stack([pdf[f"m_{c}"].to_numpy(float) for c in names], axis=1)
     n = pdf["n"].to_numpy(float)
     sxx, sxy, syy = cov[:, 1:, 1:], cov[:, 1:, 0], cov[:, 0, 0]
-    scale = np.sqrt(np.einsum("bii->bi", sxx))
+    scale = np.sqrt(np.maximum(np.einsum("bii->bi", sxx), 0.0))
     safe = np.where(scale > 0, scale, 1.0)
     corr = sxx / safe[:, :, None] / safe[:, None, :]
-    usable = np.isfinite(corr).all(axis=(1, 2)) & (scale > 0).all(axis=1) & (n >= p + 1)
-    if p:
-        usable &= np.where(usable, np.linalg.cond(np.where(usable[:, None, None], corr, np.eye(p))), np.inf) < 1e12
-    inverse = np.full((rows, p, p), np.nan)
-    if usable.any():
-        inverse[usable] = np.linalg.inv(corr[usable])
-        inverse[usable] /= (safe[:, :, None] * safe[:, None, :])[usable]
-    beta = np.einsum("bij,bj->bi", inverse, sxy)
-    dof = n - p - 1
+    usable = np.isfinite(cov).all(axis=(1, 2)) & (n >= 1)
+    inverse, kept = _pivoted_inverse(corr, usable)
+    inverse /= safe[:, :, None] * safe[:, None, :]
+    rank = kept.sum(axis=1)
+    usable &= n >= rank + 1
+    beta = np.einsum("bij,bj->bi", inverse, np.where(usable[:, None], sxy, 0.0))
+    dof = n - rank - 1
     rss = np.maximum(n * (syy - np.einsum("bi,bi->b", beta, sxy)), 0.0)
     sigma2 = rss / np.where(dof > 0, dof, np.nan)
-    se = np.sqrt(sigma2[:, None] * np.einsum("bii->bi", inverse) / n[:, None])
+    variance = np.einsum("bii->bi", inverse) / n[:, None]
+    se = np.sqrt(sigma2[:, None] * variance)
     b0 = mean[:, 0] - np.einsum("bi,bi->b", beta, mean[:, 1:])
     spread0 = 1 / n + np.einsum("bi,bij,bj->b", mean[:, 1:], inverse, mean[:, 1:]) / n
-    coef = np.column_stack([b0, beta])
-    errors = np.column_stack([np.sqrt(sigma2 * spread0), se])
+    coef = np.column_stack([b0, np.where(kept, beta, np.nan)])
+    errors = np.column_stack([np.sqrt(sigma2 * spread0), np.where(kept, se, np.nan)])
+    coef[~usable], errors[~usable] = np.nan, np.nan
+    unscaled = np.column_stack([spread0, np.where(kept, variance, np.nan)])
     with np.errstate(invalid="ignore", divide="ignore"):
         r2 = 1 - rss / (n * syy)
-    return coef, errors, dof, sigma2, r2
+    return coef, errors, dof, sigma2, r2, unscaled, mean[:, 0]
+
+
+_FIT = ("estimate", "std_error", "statistic", "df", "p_value", "sigma2", "r2", "n", "unscaled", "level")
 
 
 def solve_moments(stats: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """Term table of one least-squares model per moment row.
 
-    A model that cannot be fitted (a constant or collinear regressor, too few
-    rows) has NULL estimates.
+    A term that depends on those before it (a constant or collinear regressor)
+    has a NULL estimate and counts for no degree of freedom; the others are
+    fitted without it.  A model with too few rows has NULL estimates.
+    ``unscaled`` is the estimate's variance over sigma2, ``level`` the mean of y.
     """
     fields = [stats.schema[c] for c in by]
     fields += [T.StructField("term", T.StringType())]
     fields += [T.StructField(c, T.DoubleType())
-               for c in ("estimate", "std_error", "statistic", "df", "p_value", "sigma2", "r2", "n")]
+               for c in _FIT]
     terms = [INTERCEPT, *xs]
     by, xs = list(by), list(xs)
 
@@ -112,7 +148,7 @@ def solve_moments(stats: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]
         for pdf in batches:
             if not len(pdf):
                 continue
-            coef, se, dof, sigma2, r2 = _solve_batch(pdf, y, xs)
+            coef, se, dof, sigma2, r2, unscaled, level = _solve_batch(pdf, y, xs)
             width = len(terms)
             out = pdf[by].loc[pdf.index.repeat(width)].reset_index(drop=True)
             out["term"] = np.tile(terms, len(pdf))
@@ -126,11 +162,11 @@ def solve_moments(stats: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]
             out["p_value"] = p
             out["sigma2"], out["r2"] = np.repeat(sigma2, width), np.repeat(r2, width)
             out["n"] = np.repeat(pdf["n"].to_numpy(float), width)
+            out["unscaled"], out["level"] = unscaled.ravel(), np.repeat(level, width)
             yield out
 
     solved = stats.mapInPandas(solve, T.StructType(fields))
-    numeric = ("estimate", "std_error", "statistic", "df", "p_value", "sigma2", "r2", "n")
-    return solved.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in numeric})
+    return solved.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in _FIT})
 
 
 def fit_ols(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -211,14 +247,12 @@ def fit_features(df: DataFrame, feature: str, value: str, xs: Sequence[str], ter
     """Per-feature fit on a shared design; one row per feature for one coefficient.
 
     Columns: coefficient, its unscaled variance, residual variance and df,
-    mean level.
+    mean level over the rows with all regressors.  All come from one scan.
     """
     fits = fit_ols(df, [feature], value, xs).where(F.col("term") == term)
-    unscaled = F.try_divide(F.pow("std_error", 2), F.col("sigma2"))
-    level = df.groupBy(feature).agg(F.avg(value).alias("ave_expr"))
     return fits.select(
-        feature, F.col("estimate").alias("log_fc"), unscaled.alias("unscaled_var"), "sigma2", "df"
-    ).join(level, feature)
+        feature, F.col("estimate").alias("log_fc"), F.col("unscaled").alias("unscaled_var"), "sigma2", "df",
+        F.col("level").alias("ave_expr"))
 
 
 def variance_prior(fits: DataFrame) -> tuple[float, float]:
@@ -259,8 +293,10 @@ def moderate(fits: DataFrame, d0: float, s0_squared: float) -> DataFrame:
     """Posterior variance and moderated t for a given prior.
 
     The degrees of freedom of t are those of the residuals and the prior, at
-    most all residual degrees of freedom of the table together.
+    most all residual degrees of freedom of the table together.  The fits are
+    written once, as both the sum and the rows are read from them.
     """
+    fits = materialize(fits, "feature-fits")
     pooled = fits.agg(F.sum("df").cast("double").alias("_pooled"))
     if np.isinf(d0):
         posterior, dof = F.lit(float(s0_squared)), F.col("_pooled")
@@ -290,34 +326,25 @@ def effect_variance(table: DataFrame, feature: str, s0_squared: float, share: fl
     The top ``share/2`` of the statistics are compared with the normal scores
     expected for their rank, in units of each unscaled variance.  The share is at
     least that of the statistics looked at, and the result is held between the
-    ``bounds``, squared, over the prior variance ``s0_squared``.
+    ``bounds``, squared, over the prior variance ``s0_squared``.  Ranks, scores and
+    quantiles are columns; one mean comes back.
     """
     n = table.count()
+    if not n:
+        return float("nan")
     keep = max(1, int(np.ceil(n * share / 2)))
-    share = max(share, keep / n) if n else share
-    top = (
-        table.select(F.abs("t").alias("t"), "total_df", "unscaled_var")
-        .orderBy(F.desc_nulls_last("t")).limit(keep)
-    )
+    share = max(share, keep / n)
     low, high = bounds[0] ** 2 / s0_squared, bounds[1] ** 2 / s0_squared
-    stats = top.toPandas().sort_values("t", ascending=False)  # the top share/2 of the features
-    t = stats["t"].to_numpy(float)
-    rank = np.arange(1, len(t) + 1)
-    p0 = dist.t_two_sided(t, stats["total_df"].to_numpy(float))
-    target = ((rank - 0.5) / n - (1 - share) * p0) / share
-    valid = target > p0
-    if not valid.any():
-        return float(low)
-    # two-sided t quantile by bisection
-    lo, hi = np.zeros(valid.sum()), np.full(valid.sum(), 1e6)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        above = dist.t_two_sided(mid, stats["total_df"].to_numpy(float)[valid]) > target[valid]
-        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-    v = stats["unscaled_var"].to_numpy(float)[valid] * ((t[valid] / lo) ** 2 - 1)
-    full = np.zeros(len(t))
-    full[valid] = np.clip(v, 0, None)
-    return float(np.clip(full, low, high).mean())
+    sized = table.select(feature, F.abs("t").alias("_t"), "total_df", "unscaled_var").where(F.col("_t").isNotNull())
+    ranked = number_rows(sized.withColumn("_down", -F.col("_t")), [], ["_down", feature], "_rank").where(F.col("_rank") <= keep)
+    p0 = dist.t_p_value(F.col("_t"), F.col("total_df"))
+    target = ((F.col("_rank") - 0.5) / n - (1 - share) * p0) / share
+    scored = ranked.withColumns({"_p0": p0, "_target": target})
+    quantile = dist.t_quantile(F.col("_target"), F.col("total_df"))
+    own = F.greatest(F.lit(0.0), F.col("unscaled_var") * (F.pow(F.col("_t") / quantile, 2) - 1))
+    held = F.least(F.lit(high), F.greatest(F.lit(low), F.when(F.col("_target") > F.col("_p0"), own).otherwise(F.lit(0.0))))
+    result = scored.select(held.alias("_v")).agg(F.avg("_v")).first()[0]
+    return float(low if result is None else result)
 
 
 def ranked_table(fits: DataFrame, feature: str, alpha: float = 0.05) -> DataFrame:
@@ -337,13 +364,14 @@ def ranked_table(fits: DataFrame, feature: str, alpha: float = 0.05) -> DataFram
 # ---- logistic regression, many replicates in lock-step -------------------
 
 def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
-                 weight: str | None = None, rounds: int = 25, tol: float = 1e-8,
+                 weight: str | None = None, rounds: int = 100, tol: float = 1e-8,
                  z: float = 1.96) -> DataFrame:
     """Logistic fits for all groups together by iterated weighted least squares.
 
-    Each round is a single grouped aggregate over the data, whatever the number
+    Rows that are equal in a group are counted once, before the first round.  Each
+    round is a single grouped aggregate over these counts, whatever the number
     of groups; the current coefficients (one small row per group) travel by
-    join.  Groups whose classes can be separated do not converge: ``converged`` is
+    join, and groups that have settled drop out.  Groups whose classes can be separated do not converge: ``converged`` is
     false and their figures are NULL.
     """
     by, xs = list(by), list(xs)
@@ -352,8 +380,10 @@ def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
     spark = df.sparkSession
     used = df.dropna(subset=[y, *xs])
     w0 = F.col(weight).cast("double") if weight else F.lit(1.0)
-    base = used.select(*by, F.col(y).cast("double").alias("_y"), w0.alias("_w"),
-                       F.array(F.lit(1.0), *[F.col(x).cast("double") for x in xs]).alias("_x"))
+    # equal rows are counted first: replicates of a few regressors come down to a few rows each
+    counted = used.groupBy(*by, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate([y, *xs])]).agg(F.sum(w0).alias("_w"))
+    base = materialize(counted.where("_w > 0").select(
+        *by, F.col("_c0").alias("_y"), "_w", F.array(F.lit(1.0), *[F.col(f"_c{i + 1}") for i in range(p - 1)]).alias("_x")), "logistic-rows")
     key_fields = [base.schema[c] for c in by]
     state = base.select(*by).distinct() if by else spark.range(1).select()
     state = state.select(*by, F.array(*[F.lit(0.0)] * p).alias("_beta"), F.lit(float("inf")).alias("_step"))
@@ -386,6 +416,7 @@ def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
             out["_se"], out["_n"] = list(se), pdf["_n"].to_numpy(float)
             yield out
 
+    settled: list[DataFrame] = []
     for _ in range(rounds):
         # coefficients are a stored table of known size: Spark broadcasts it while it is small
         carried = state.select(*by, "_beta")
@@ -397,11 +428,16 @@ def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
         sums = [F.sum(curve * x(i) * x(j)).alias(f"h{i}_{j}") for i, j in pairs]
         sums += [F.sum(F.col("_w") * (F.col("_y") - F.col("_mu")) * x(i)).alias(f"g{i}") for i in range(p)]
         sums += [F.sum("_w").alias("_n"), F.first("_beta").alias("_beta")]
-        state = materialize(rows.groupBy(*by).agg(*sums).mapInPandas(newton, schema), "logistic")
-        open_groups = state.where((F.col("_step") > tol) & (F.col("_step") < 1e3)).limit(1).count()
-        if not open_groups:
+        after = materialize(rows.groupBy(*by).agg(*sums).mapInPandas(newton, schema), "logistic")
+        running = (F.col("_step") > tol) & (F.col("_step") < 1e3)
+        settled.append(after.where(~F.coalesce(running, F.lit(False))))  # a group that has settled takes no more part
+        state = after.where(running)
+        if not state.limit(1).count():
             break
-    ok = F.col("_step") <= tol  # false for NaN as well: Spark sorts NaN above all numbers
+    else:
+        settled.append(state)
+    state = functools.reduce(DataFrame.unionByName, settled)
+    ok = F.coalesce(F.col("_step") <= tol, F.lit(False))  # a step that is no number has not settled either
     long = state.select(*by, "_step", "_n", F.posexplode(F.arrays_zip("_beta", "_se")).alias("_i", "_v"))
     long = long.select(*by, "_step", F.col("_n").alias("n"),
                        F.element_at(F.array(*map(F.lit, terms)), F.col("_i") + 1).alias("term"),

@@ -34,6 +34,7 @@ class MixedFit:
     n_rows: int
     means: dict[str, float]
     beta_centered: np.ndarray
+    converged: bool = True
 
     def table(self, spark) -> DataFrame:
         """Fixed effects as rows (term, estimate, std_error, statistic)."""
@@ -153,25 +154,28 @@ class SubjectTable:
         for (i, u), (j, v) in itertools.combinations_with_replacement(list(enumerate(self.fixed)), 2):
             a[i, j] = a[j, i] = sums[_name(u, v)]
         b = np.array([sums[_name(self.y, u)] for u in self.fixed])
-        beta = np.linalg.solve(a, b)
+        try:
+            beta, inverse = np.linalg.solve(a, b), np.linalg.inv(a)
+        except np.linalg.LinAlgError:  # so far out that the intercept's share is lost to rounding
+            return math.inf, np.full(p, np.nan), np.full((p, p), np.nan), math.nan
         dof = self.n_rows - p
         rss = max(sums[_name(self.y, self.y)] - float(b @ beta), 1e-300)
         logdet_a = float(np.linalg.slogdet(a)[1])
         deviance = sums["logdet"] + logdet_a + dof * (1 + math.log(2 * math.pi * rss / dof))
-        return deviance, beta, np.linalg.inv(a) * rss / dof, rss / dof
+        return deviance, beta, inverse * rss / dof, rss / dof
 
     def evaluate(self, thetas: Sequence[Sequence[float]]):
         found = self.sums(thetas)
         return [self.profile(found[i]) for i in range(len(thetas))]
 
-    def finish(self, theta: Sequence[float]) -> MixedFit:
+    def finish(self, theta: Sequence[float], converged: bool = True) -> MixedFit:
         deviance, beta, cov, sigma2 = self.evaluate([theta])[0]
         back = np.eye(len(beta))
         back[0, 1:] = [-self.means[x] for x in self.xs]
         original = back @ beta
         original[0] += self.means[self.y]
         return MixedFit([INTERCEPT, *self.xs], original, back @ cov @ back.T, tuple(map(float, theta)),
-                        sigma2, deviance, self.n_rows, self.means, beta)
+                        sigma2, deviance, self.n_rows, self.means, beta, converged)
 
 
 def reml_deviance(df: DataFrame, subject: str, y: str, xs: Sequence[str],
@@ -183,9 +187,20 @@ def reml_deviance(df: DataFrame, subject: str, y: str, xs: Sequence[str],
 
 def fit_random_intercept(df: DataFrame, subject: str, y: str, xs: Sequence[str],
                          tol: float = 1e-6) -> tuple[MixedFit, SubjectTable]:
-    """Random-intercept model: grids of the single parameter, narrowed around the best."""
+    """Random-intercept model: grids of the single parameter, narrowed around the best.
+
+    While the last point is the best, the grid goes on beyond it.  A deviance that
+    still falls at 1e12 has no minimum that numbers can show: ``converged`` is false.
+    """
     table = SubjectTable(df, subject, y, xs, None)
     grid = [0.0, *np.geomspace(1e-3, 1e3, 24)]
+    while True:
+        dev = [r[0] for r in table.evaluate([[t] for t in grid])]
+        if int(np.argmin(dev)) < len(grid) - 1:
+            break
+        if grid[-1] >= 1e12:
+            return table.finish([grid[int(np.argmin(dev))]], False), table
+        grid = [grid[-2], *np.geomspace(grid[-1], grid[-1] * 1e3, 24)]
     while True:
         dev = [r[0] for r in table.evaluate([[t] for t in grid])]
         best = int(np.argmin(dev))
@@ -197,11 +212,13 @@ def fit_random_intercept(df: DataFrame, subject: str, y: str, xs: Sequence[str],
 
 
 def fit_random_slope(df: DataFrame, subject: str, y: str, xs: Sequence[str], slope: str,
-                     rounds: int = 40, tol: float = 1e-7) -> tuple[MixedFit, SubjectTable]:
+                     rounds: int = 200, tol: float = 1e-7) -> tuple[MixedFit, SubjectTable]:
     """Random intercept and slope.
 
     Every round evaluates, in one aggregate, finite-difference stencils around
-    several step lengths of the last Newton step, keeps the best and steps on.
+    several step lengths of the last Newton step, keeps the best and steps on until
+    neither step nor gain is above its tolerance; ``converged`` tells whether that
+    was reached within ``rounds``.
     """
     table = SubjectTable(df, subject, y, xs, slope)
     # start: best of a coarse grid of standard-deviation ratios
@@ -212,7 +229,7 @@ def fit_random_slope(df: DataFrame, subject: str, y: str, xs: Sequence[str], slo
     steps = [np.zeros(3)]
     axes = np.eye(3)
     cross = list(itertools.combinations(range(3), 2))
-    radius = 0.3
+    radius, converged = 0.3, False
     for _ in range(rounds):
         h = np.maximum(np.abs(center), 0.02) * min(1e-2, max(radius * 0.05, 1e-4))
         points, owners = [], []
@@ -238,6 +255,7 @@ def fit_random_slope(df: DataFrame, subject: str, y: str, xs: Sequence[str], slo
         newton = -vecs @ ((vecs.T @ grad) / np.maximum(np.abs(vals), 1e-8 * max(1.0, np.abs(vals).max())))
         size = float(np.abs(newton).max())
         if len(steps) > 1 and size < 1e-4 * max(1.0, np.abs(center).max()) and abs(gained) < tol:
+            converged = True
             break
         limit = min(1.0, 2.0 * max(np.abs(center).max(), 0.1) / max(size, 1e-300))
         newton = newton * limit
@@ -247,7 +265,7 @@ def fit_random_slope(df: DataFrame, subject: str, y: str, xs: Sequence[str], slo
     theta = center.copy()
     theta[0], theta[1] = (theta[0], theta[1]) if theta[0] >= 0 else (-theta[0], -theta[1])
     theta[2] = abs(theta[2])
-    return table.finish(tuple(theta)), table
+    return table.finish(tuple(theta), converged), table
 
 
 def predicted_deviations(fit: MixedFit, table: SubjectTable) -> DataFrame:

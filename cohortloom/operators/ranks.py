@@ -144,6 +144,24 @@ def later_minimum(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return scanned.withColumn(name, F.least(name, "_later")).drop(SLICE, "_later")
 
 
+def last_seen(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """The last value that is not NULL among this row and the earlier ones of its group."""
+    by, order = list(by), list(order)
+    sliced = slice_groups(df, by, order)
+    keys = by + [SLICE] if sliced is not None else by
+    source = sliced if sliced is not None else df
+    upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = source.withColumn(name, F.last(value, ignorenulls=True).over(upto))
+    if sliced is None:
+        return local
+    held = source.where(F.col(value).isNotNull())
+    ends = source.select(*keys).distinct().join(
+        held.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("_end")), keys, "left")
+    before = W.partitionBy(*by).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    return _null_safe_join(local, carried, keys).withColumn(name, F.coalesce(name, "_carry")).drop(SLICE, "_carry")
+
+
 def adjust_fdr(df: DataFrame, by: Sequence[str], p: str, key: Sequence[str], name: str) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values within each group.
 

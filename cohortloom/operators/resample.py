@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from cohortloom.functions import draws
 from cohortloom.operators.neighbours import exact_neighbours
 from cohortloom.operators.ranks import number_rows
+from cohortloom.storage import materialize
+
+_BROADCAST_OUTCOMES = 1_000_000
 
 
 def _blocks(n: int) -> int:
@@ -39,16 +42,21 @@ def permuted_outcome(df: DataFrame, n: int, seed: int, key: Sequence[str], outco
                      replicate: str = "b") -> DataFrame:
     """Every row n times, each replicate with the outcome shuffled among the rows.
 
-    Rows of a replicate are ordered by a hash of (seed, replicate, key); the row
-    at position i takes the outcome of the i-th row by key.
+    The rows are numbered once, by key.  In every replicate the row at a place
+    takes the outcome of the row at the place to which the replicate's keyed
+    bijection sends it, so the rows times n are neither sorted nor numbered; the
+    outcomes by place are broadcast if they were counted to be few, and joined
+    by a hash of the place beyond.
     """
-    keys = [F.col(k) for k in key]
-    source = number_rows(df.select(*key, outcome), [], list(key), "_position")
-    source = source.select("_position", F.col(outcome))
-    copies = df.drop(outcome).withColumn(replicate, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    hashed = copies.withColumn("_order", draws.digest(seed, F.col(replicate), *keys))
-    shuffled = number_rows(hashed, [replicate], ["_order", *key], "_position")
-    return shuffled.join(source, "_position").drop("_position", "_order")
+    numbered = materialize(number_rows(df, [], list(key), "_position"), "permutation-rows")
+    total = numbered.count()
+    source = numbered.select((F.col("_position") - 1).alias("_from"), F.col(outcome))
+    source = F.broadcast(source) if total <= _BROADCAST_OUTCOMES else source.hint("shuffle_hash")
+    spark = df.sparkSession
+    replicates = spark.range(n).select(F.col("id").cast("int").alias(replicate)).withColumn("_keys", draws.round_keys(seed, F.col(replicate)))
+    copies = numbered.drop(outcome).crossJoin(F.broadcast(replicates))  # n rows, a parameter
+    sent = draws.permute(copies.withColumn("_position", F.col("_position") - 1), "_position", "_keys", max(total, 1), "_from")
+    return sent.drop("_keys", "_position").join(source, "_from").drop("_from")
 
 
 def stratified_split(df: DataFrame, stratum: str, key: Sequence[str], share: float, seed: int,
@@ -129,13 +137,18 @@ def smote(df: DataFrame, key: str, vector: str, y: str, k: int, seed: int) -> Da
 
 
 def permutation_p(observed: DataFrame, permuted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Two-sided permutation p-value: share of replicates at least as extreme."""
+    """Two-sided permutation p-value: share of replicates at least as extreme.
+
+    ``n_permutations`` are all replicates; those without a value (fits that did not
+    settle) count as extreme, so that they can only make the test more cautious,
+    and ``n_settled`` tells how many had one.
+    """
     obs = observed.select(*by, F.col(value).alias("_observed"))
     joined = permuted.join(obs, list(by)) if by else permuted.crossJoin(F.broadcast(obs))  # one row
     return joined.groupBy(*by).agg(
         F.max("_observed").alias("observed"),
-        F.count(F.lit(1)).alias("n_permutations"),
-        F.avg((F.abs(value) >= F.abs("_observed")).cast("double")).alias("p_value"),
+        F.count(F.lit(1)).alias("n_permutations"), F.count(value).alias("n_settled"),
+        F.avg(F.coalesce(F.abs(value) >= F.abs("_observed"), F.lit(True)).cast("double")).alias("p_value"),
     )
 
 
@@ -144,11 +157,12 @@ def bootstrap_interval(replicates: DataFrame, by: Sequence[str], value: str,
     """Percentile interval, median and share above the null value.
 
     A group holds one value per replicate, so the built-in exact percentile is
-    bounded by the number of replicates.
+    bounded by the number of replicates.  ``n_replicates`` counts the replicates with
+    a value and ``n_all`` all of them.
     """
     tail = (1 - level) / 2
     q = F.percentile(value, F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
-    return replicates.groupBy(*by).agg(q.alias("_q"), F.count(value).alias("n_replicates"), F.avg(
+    return replicates.groupBy(*by).agg(q.alias("_q"), F.count(value).alias("n_replicates"), F.count(F.lit(1)).alias("n_all"), F.avg(
         (F.col(value) > null_value).cast("double")).alias("share_above")).select(
-        *by, "n_replicates", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("median"),
+        *by, "n_replicates", "n_all", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("median"),
         F.col("_q")[2].alias("high"), "share_above")

@@ -75,6 +75,7 @@ def robustness_checks(table: DataFrame, key: str, outcome: str, score: str, cova
     """Fast against slow tertiles, then bootstrap and permutation of both models.
 
     One formula serves the observed and the resampled fits of each model.
+    Replicates whose logistic fit does not settle stay in the count ``n_all``.
     """
     xs = [score, *covariates]
     rows = materialize(table.select(key, outcome, *xs).dropna(), "robustness")
@@ -97,7 +98,7 @@ def robustness_checks(table: DataFrame, key: str, outcome: str, score: str, cova
     observed_log = logit(extremes, [])
     tag = lambda d, name: d.withColumn("check", F.lit(name))
     intervals = tag(resample.bootstrap_interval(boot, [], "estimate"), "linear").unionByName(
-        tag(resample.bootstrap_interval(boot_log.where("estimate is not null"), [], "odds_ratio", null_value=1.0), "odds_ratio"))
+        tag(resample.bootstrap_interval(boot_log, [], "odds_ratio", null_value=1.0), "odds_ratio"))
     permutations = tag(resample.permutation_p(linear(whole(flat), []), linear(shuffled, ["b"]), [], "estimate"), "linear").unionByName(
         tag(resample.permutation_p(observed_log.where(F.col("term") == score),
                                    logit(shuffled_log, ["b"]).where(F.col("term") == score), [], "estimate"), "logistic"))

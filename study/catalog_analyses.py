@@ -9,7 +9,7 @@ from cohortloom.operators import classify, information, tables, visits as vis
 from cohortloom.plans import cohort, markers, progression
 from study.catalog_tables import _GENO, genotypes
 from study.registry import query
-from study.views import counts, measure, real, sql_real, subjects, table, visits, wide_measure
+from study.views import MEASURE_SQL, counts, measure, real, sql_real, subjects, table, visits, wide_measure
 
 SMALL_FOREST = dict(grid=("sqrt",), folds=2, repeats=1, n_trees=10, balance=("up",))
 
@@ -177,12 +177,12 @@ def _subject_table(spark, folder):
 
 @query()
 def robustness_intervals(spark, folder):
-    return progression.robustness_checks(_subject_table(spark, folder), "subject", "slope", "pc1", ["carrier"], replicates=40)["intervals"]
+    return progression.robustness_checks(_subject_table(spark, folder), "subject", "slope", "pc1", ["carrier"])["intervals"]
 
 
 @query()
 def robustness_permutations(spark, folder):
-    return progression.robustness_checks(_subject_table(spark, folder), "subject", "slope", "pc1", ["carrier"], replicates=20)["permutations"]
+    return progression.robustness_checks(_subject_table(spark, folder), "subject", "slope", "pc1", ["carrier"])["permutations"]
 
 
 @query()
@@ -191,10 +191,12 @@ def hit_frequency(spark, folder):
     timed = measures.join(series.select("subject", "visit", "years"), ["subject", "visit"]).withColumn("value", scalars.safe_log2(F.col("value")))
     slopes = progression.feature_slopes(timed, "subject", "feature", "value", "years").where("feature_slope is not null")
     joined = slopes.join(_subject_table(spark, folder).select("subject", "slope"), "subject")
-    return progression.hit_frequency(joined, "subject", "feature", "feature_slope", "slope", replicates=20)
+    return progression.hit_frequency(joined, "subject", "feature", "feature_slope", "slope")
 
 
-@query()
+@query(f"""with {MEASURE_SQL}, e as (select feature, visit, avg(case when y = 1 then value end) - avg(case when y = 0 then value end) as est from measure group by all),
+s as (select feature, greatest(avg((est > 0)::int), avg((est < 0)::int)) as share from e where est is not null group by 1)
+select count(*) as n_features, count_if(share = 1) as n_all_same, count_if(share >= 0.8) as n_mostly_same from s""")
 def effect_stability_summary(spark, folder):
     return progression.effect_stability(measure(spark, folder), "feature", "value", "y", "visit", [1, 2, 3, 4, 5])["consistent"]
 

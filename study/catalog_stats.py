@@ -8,13 +8,18 @@ from cohortloom.functions import dist, draws
 from cohortloom.operators import (
     classify, information, intervals, linmod, mixed, neighbours, normalize, pca, ranks, resample, tables, visits as vis,
 )
+from cohortloom.plans import progression
 from study.registry import query
 from study.views import (
     COUNTS_SQL, MEASURE_SQL, SUBJECTS_SQL, VISITS_SQL, counts, measure, real, sql_digest, sql_poisson, sql_real,
-    sql_uniform, subjects, table, visits, wide_measure,
+    sql_permuted, sql_uniform, subjects, table, visits, wide_measure,
 )
 
 
+#: Resamples of the registered bootstraps and permutations.
+REPLICATES = 2000
+
+
 def rounded(df, keys, columns, digits=6):
     return df.select(*keys, *[real(c, digits).alias(c) for c in columns])
 
@@ -46,6 +51,36 @@ def stabilized_counts(spark, folder):
     return n.select("sample", "feature", real(normalize.stabilized(F.col("q"), 0.05, 2.0)).alias("value"))
 
 
+def _sql_likelihood(source):
+    """Adjusted profile log likelihood of the log dispersions of a table (feature, x)."""
+    return f"""select feature, x, sum(lgamma(k + exp(-x)) - lgamma(exp(-x)) - k * ln(mu + exp(-x)) - exp(-x) * ln(1 + mu * exp(x))) - ln(sum(mu / (1 + mu * exp(x)))) / 2 as ll
+ from expected join {source} using (feature) group by feature, x"""
+
+
+def _sql_refined(source, name, step):
+    return f"""{name}_x as (select feature, x + i * {step}::double as x from {source}, (select unnest(range(-25, 26)) as i)), {name} as (select feature, max_by(x, ll) as x, max(ll) as ll from ({_sql_likelihood(name + '_x')}) group by 1)"""
+
+
+_DISPERSION = f"""{COUNTS_SQL}, n as (select count(distinct sample) as n from counts),
+geo as (select feature, avg(ln(value)) as g from counts where value > 0 group by 1 having count(*) = (select n from n)),
+sf as (select sample, exp(quantile_cont(ln(value) - g, 0.5)) as s from counts join geo using (feature) where value > 0 group by 1),
+grid as (select feature, sample, s, coalesce(value, 0)::double as k from (select distinct feature from counts) cross join sf left join counts using (feature, sample)),
+expected as (select feature, k, s * avg(k / s) over (partition by feature) as mu from grid),
+start as (select distinct feature, -8.0::double as x from expected), {_sql_refined('start', 'l1', 0.4)}, {_sql_refined('l1', 'l2', 0.02)}, {_sql_refined('l2', 'l3', 0.001)}, {_sql_refined('l3', 'l4', 0.00005)}"""
+
+
+@query(f"with {_DISPERSION} select feature, {sql_real('ll', 3)} as log_likelihood, true as converged from l4")
+def dispersion_optimum(spark, folder):
+    """The likelihood at every feature's fitted dispersion, against the best of nested grids."""
+    rows = counts(spark, folder)
+    factors = normalize.size_factors(rows, "sample", "feature", "value")
+    expected = normalize.expected_counts(rows, factors, "sample", "feature", "value")
+    fits = normalize.likelihood_dispersions(expected, "feature", factors.count())
+    at = fits.select("feature", F.log("dispersion").alias("log_dispersion"), "converged")
+    found = normalize.dispersion_likelihood(expected, at.drop("converged"), "feature")
+    return found.join(at, "feature").select("feature", real("log_likelihood", 3).alias("log_likelihood"), "converged")
+
+
 @query()
 def variance_stabilization(spark, folder):
     return normalize.variance_stabilize(counts(spark, folder), "sample", "feature", "value")
@@ -65,11 +100,14 @@ def batch_removal(spark, folder):
     return rounded(out, ["sample", "feature"], ["adjusted"])
 
 
-@query()
+@query(f"""with {_BATCHED}, b as (select feature, batch, avg(v) as mv, avg(y) as my from shifted group by all),
+w as (select feature, sum((v - mv) * (y - my)) / sum((y - my) * (y - my)) as beta from shifted join b using (feature, batch) group by 1),
+e as (select feature, batch, mv - beta * my as level from b join w using (feature)), c as (select feature, avg(level) as c from e group by 1)
+select sample, feature, {sql_real('v - level + c')} as adjusted from shifted join e using (feature, batch) join c using (feature)""")
 def batch_removal_with_design(spark, folder):
     coded = _batched(spark, folder).withColumns(tables.sum_contrasts("batch", [0, 1, 2, 3], "batch_"))
     out = normalize.remove_batch(coded, "feature", "v", ["y"], ["batch_1", "batch_2", "batch_3"])
-    return out.select("sample", "feature", "adjusted")
+    return rounded(out, ["sample", "feature"], ["adjusted"])
 
 
 @query(f"""with {MEASURE_SQL}, s as (select feature, avg(value) as m, stddev_samp(value) as sd from measure where visit = 1 group by 1)
@@ -126,6 +164,16 @@ def feature_models_interaction(spark, folder):
     return ranks.adjust_fdr(fits, [], "p_value", ["feature"], "adj_p").select("feature", "estimate", "std_error", "p_value", "adj_p")
 
 
+@query(f"""with {MEASURE_SQL}, g as (select feature, y, count(*)::double as n, var_pop(value) as vv, var_pop(visit) as xx, covar_pop(value, visit) as vx from measure group by all),
+s as (select feature, max(case when y = 1 then vx / xx end) - max(case when y = 0 then vx / xx end) as est, sum(n * (vv - vx * vx / xx)) / (sum(n) - 4) as s2, sum(1 / (n * xx)) as u from g group by 1)
+select feature, {sql_real('est')} as estimate, {sql_real('sqrt(s2 * u)')} as std_error, {sql_real('est / sqrt(s2 * u)', 4)} as statistic from s""")
+def interaction_terms(spark, folder):
+    """The interaction of class and visit, from a design in which a copy of the visit is left out as collinear."""
+    m = measure(spark, folder).withColumns({"y_x_visit": F.col("y") * F.col("visit"), "copied": F.col("visit") * 2 + 1})
+    fits = linmod.fit_ols(m, ["feature"], "value", ["y", "visit", "copied", "y_x_visit"]).where("term = 'y_x_visit'")
+    return fits.select("feature", real("estimate").alias("estimate"), real("std_error").alias("std_error"), real("statistic", 4).alias("statistic"))
+
+
 @query(f"""with {MEASURE_SQL}, g as (select feature, visit, count_if(y = 1) as a, count_if(y = 0) as b, avg(case when y = 1 then value end) as p, avg(case when y = 0 then value end) as q,
  var_pop(case when y = 1 then value end) as vp, var_pop(case when y = 0 then value end) as vq from measure group by all),
 s as (select *, p - q as est, sqrt((a * vp + b * vq) / (a + b - 2) * (1.0::double / a + 1.0::double / b)) as se from g)
@@ -352,18 +400,18 @@ def sql_resampled(n, seed, source="measure", tag=""):
 rs{tag} as (select feature, b, value, sum(w * y)::bigint p, sum(w * (1 - y))::bigint n from {source} join wt{tag} using (sample) where w > 0 group by all),
 rb{tag} as (select feature, b, p, n, floor(coalesce(sum(p + n) over (partition by feature, b order by value rows between unbounded preceding and 1 preceding), 0) * 5 / sum(p + n) over (partition by feature, b))::bigint + 1 as bin from rs{tag}),
 """ + sql_mi(f"rb{tag}", "feature, b").replace("ct as", f"ct{tag} as").replace("from ct)", f"from ct{tag})").replace("mg as", f"mg{tag} as").replace("from mg group", f"from mg{tag} group").replace("mi as (select", f"mi{tag} as (select", 1) + f""",
-st{tag} as (select feature, median(mi) mi_median, avg(mi) mi_mean, stddev_samp(mi) mi_sd, avg(sel) sel_freq from (select *, (row_number() over (partition by b order by mi desc, feature) <= 10)::int sel from mi{tag}) group by 1)"""
+st{tag} as (select feature, median(mi) mi_median, avg(mi) mi_mean, stddev_samp(mi) mi_sd, avg(sel) sel_freq from (select *, (row_number() over (partition by b order by mi desc, feature) <= 100)::int sel from mi{tag}) group by 1)"""
 
 
-@query(f"with {MEASURE_SQL}, {sql_resampled(20, 1)} select feature, {', '.join(sql_real(c) + ' as ' + c for c in ('mi_median', 'mi_mean', 'mi_sd', 'sel_freq'))} from st")
+@query(f"with {MEASURE_SQL}, {sql_resampled(100, 1)} select feature, {', '.join(sql_real(c) + ' as ' + c for c in ('mi_median', 'mi_mean', 'mi_sd', 'sel_freq'))} from st")
 def information_stability(spark, folder):
-    s = information.information_stability(measure(spark, folder), "sample", "feature", "value", "y", n=20, top_k=10, seed=1)
+    s = information.information_stability(measure(spark, folder), "sample", "feature", "value", "y", n=100, top_k=100, seed=1)
     return rounded(s, ["feature"], ["mi_median", "mi_mean", "mi_sd", "sel_freq"])
 
 
 _GROUPS = ("ctrl", "case", "other")
 _GROUP_MI = ", ".join(
-    f"m_{g} as (select * from measure where sample % 3 = {i}), {sql_resampled(8, 1, f'm_{g}', f'_{g}')}"
+    f"m_{g} as (select * from measure where sample % 3 = {i}), {sql_resampled(100, 1, f'm_{g}', f'_{g}')}"
     for i, g in enumerate(_GROUPS)
 )
 _LIMITS = ", ".join(f"lim_{g} as (select quantile_cont(mi_median, 0.8) as lim from st_{g})" for g in _GROUPS)
@@ -378,13 +426,8 @@ case when {_H1} and {_H2} and {_H3} then 'shared' when {_H1} and not {_H2} and n
  when {_H3} and not {_H1} and not {_H2} then 'only_other' else 'low_or_nonspecific' end as category
 from st_ctrl full join st_case using (feature) full join st_other using (feature) cross join lim_ctrl cross join lim_case cross join lim_other""")
 def group_comparison(spark, folder):
-    from cohortloom.storage import materialize
-
-    m = measure(spark, folder)
-    part = {g: m.where(F.col("sample") % 3 == i) for i, g in enumerate(_GROUPS)}
-    stab = {g: materialize(information.information_stability(d, "sample", "feature", "value", "y", n=8, top_k=10, seed=1)) for g, d in part.items()}
-    full = {g: information.mutual_information(d, ["feature"], "value", "y") for g, d in part.items()}
-    out = information.compare_groups(stab, full, "feature", ("shared", "only_ctrl", "only_case", "only_other", "low_or_nonspecific"))
+    m = measure(spark, folder).withColumn("grp", F.element_at(F.array(*map(F.lit, _GROUPS)), (F.col("sample") % 3 + 1).cast("int")))
+    out = progression.feature_stability(m, "sample", "feature", "value", "y", "grp", _GROUPS, ("shared", "only_ctrl", "only_case", "only_other", "low_or_nonspecific"))
     cols = [f"{c}_{g}" for g in _GROUPS for c in ("mi_median", "sel_freq")] + ["delta_mi_median"]
     return out.select("feature", *[real(c).alias(c) for c in cols], "category")
 
@@ -406,14 +449,14 @@ def _subject_features(spark, folder):
     return s.join(subjects(spark, folder).select("subject", "balance", "carrier"), "subject")
 
 
-_BOOT = f"""{_SUBJ_SLOPE}, bt as (select b, slope, balance, {sql_poisson(sql_uniform(1, 'b', 'subject'))} as w from f cross join (select unnest(range(40)) as b)),
+_BOOT = f"""{_SUBJ_SLOPE}, bt as (select b, slope, balance, {sql_poisson(sql_uniform(1, 'b', 'subject'))} as w from f cross join (select unnest(range(2000)) as b)),
 co as (select b, sum(w)::double n, sum(w * balance) sx, sum(w * slope) sy, sum(w * balance * balance) sxx, sum(w * balance * slope) sxy from bt group by 1),
 be as (select b, n, (sxy - sx * sy / n) / (sxx - sx * sx / n) * 1000 as beta from co)"""
 
 
 def _bootstrap(spark, folder):
     f = linmod.centered(_subject_features(spark, folder), ["slope", "balance"])
-    rows = resample.bootstrap_rows(f, 40, 1, ["subject"])
+    rows = resample.bootstrap_rows(f, REPLICATES, 1, ["subject"])
     stats = linmod.weighted_moments(rows, ["b"], ["slope", "balance"], "w")
     return linmod.solve_moments(stats, ["b"], "slope", ["balance"]).where("term = 'balance'")
 
@@ -429,13 +472,12 @@ def bootstrap_interval(spark, folder):
     return rounded(resample.bootstrap_interval(b, [], "beta"), ["n_replicates"], ["low", "median", "high", "share_above"])
 
 
-@query(f"""with {_SUBJ_SLOPE}, pos as (select row_number() over (order by subject) as i, slope from f),
-pm as (select b, balance, row_number() over (partition by b order by {sql_digest(3, 'b', 'subject')}, subject) as i from f cross join (select unnest(range(20)) as b)),
-be as (select b, regr_slope(pos.slope, balance) * 1000 as beta from pm join pos using (i) group by b), ob as (select regr_slope(slope, balance) * 1000 as o from f)
+@query(f"""with {_SUBJ_SLOPE}, pos as (select row_number() over (order by subject) - 1 as i, slope, balance from f), {sql_permuted(3, 2000, 'pos')},
+be as (select b, regr_slope(o.slope, p.balance) * 1000 as beta from sent join pos p on p.i = sent.i join pos o on o.i = sent.at group by b), ob as (select regr_slope(slope, balance) * 1000 as o from f)
 select {sql_real('any_value(o)')} as observed, count(*) as n_permutations, {sql_real('avg((abs(beta) >= abs(o))::int)')} as p_value, {sql_real('sum(beta)', 5)} as total from be cross join ob""")
 def permutation_test(spark, folder):
     f = _subject_features(spark, folder)
-    shuffled = resample.permuted_outcome(f, 20, 3, ["subject"], "slope")
+    shuffled = resample.permuted_outcome(f, REPLICATES, 3, ["subject"], "slope")
     fit = lambda d, by: vis.slopes(d, by, "slope", "balance").withColumn("beta", F.col("slope") * 1000)
     per_b = fit(shuffled, ["b"])
     p = resample.permutation_p(fit(f, []), per_b, [], "beta")
@@ -444,12 +486,12 @@ def permutation_test(spark, folder):
 
 
 @query(f"""with {SUBJECTS_SQL}, d as (select subject, (balance > 4500)::int as hit, carrier from subjects),
-r as (select b, hit, carrier, {sql_poisson(sql_uniform(2, 'b', 'subject'))} as w from d cross join (select unnest(range(12)) as b)),
+r as (select b, hit, carrier, {sql_poisson(sql_uniform(2, 'b', 'subject'))} as w from d cross join (select unnest(range(2000)) as b)),
 c as (select b, sum(case when hit = 1 and carrier = 1 then w else 0 end)::double a, sum(case when hit = 0 and carrier = 1 then w else 0 end)::double e, sum(case when hit = 1 and carrier = 0 then w else 0 end)::double c, sum(case when hit = 0 and carrier = 0 then w else 0 end)::double f from r group by b)
 select b, {sql_real('ln(a * f / (e * c))', 5)} as estimate, {sql_real('sqrt(1 / a + 1 / e + 1 / c + 1 / f)', 5)} as std_error from c""")
 def logistic_bootstrap(spark, folder):
     s = subjects(spark, folder).select("subject", "carrier", (F.col("balance") > 4500).cast("int").alias("hit"))
-    rows = resample.bootstrap_rows(s, 12, 2, ["subject"])
+    rows = resample.bootstrap_rows(s, REPLICATES, 2, ["subject"])
     f = linmod.fit_logistic(rows, ["b"], "hit", ["carrier"], weight="w").where("term = 'carrier'")
     return rounded(f, [F.col("b").cast("long").alias("b")], ["estimate", "std_error"], 5)
 
@@ -516,13 +558,13 @@ def minority_synthesis(spark, folder):
                     real(F.col("v")[0]).alias("v1"), real(F.col("v")[63]).alias("v64"))
 
 
-@query(f"""with {_SUBJ_SLOPE}, x as (select b, subject, slope, carrier, {sql_poisson(sql_uniform(5, 'b', 'subject'))} as w from f cross join (select unnest(range(24)) as b)),
+@query(f"""with {_SUBJ_SLOPE}, x as (select b, subject, slope, carrier, {sql_poisson(sql_uniform(5, 'b', 'subject'))} as w from f cross join (select unnest(range(1000)) as b)),
 m as (select b, subject % 9 as block, sum(w)::double n, sum(w * carrier) sx, sum(w * slope) sy, sum(w * carrier * carrier) sxx, sum(w * carrier * slope) sxy from x group by all),
 e as (select b, block, abs((sxy - sx * sy / n) / (sxx - sx * sx / n)) as eff from m), k as (select *, row_number() over (partition by b order by eff desc, block) <= 3 as hit from e)
 select block, {sql_real('avg(hit::int)')} as sel_freq from k group by 1""")
 def selection_frequency(spark, folder):
     f = linmod.centered(_subject_features(spark, folder).withColumn("block", F.col("subject") % 9), ["slope"])
-    rows = resample.bootstrap_rows(f, 24, 5, ["subject"])
+    rows = resample.bootstrap_rows(f, 1000, 5, ["subject"])
     fits = linmod.solve_moments(linmod.weighted_moments(rows, ["block", "b"], ["slope", "carrier"], "w"), ["block", "b"], "slope", ["carrier"])
     effects = fits.where("term = 'carrier'").withColumn("eff", F.abs("estimate"))
     top = information.top_per_replicate(effects, "b", "block", "eff", 3)
@@ -623,13 +665,13 @@ def events_nearby(spark, folder):
 
 
 @query(f"""with l as (select event_id, user_id, epoch_us(ts) t from events where event_type = 'purchase'), r as (select event_id as other, user_id, epoch_us(ts) t from events where event_type = 'view'),
-j as (select l.event_id, r.other, abs(l.t - r.t) as gap from l join r using (user_id) where abs(l.t - r.t) <= 86400000000)
-select event_id, other as nearest, {sql_real('gap / 1e6', 3)} as seconds from j qualify row_number() over (partition by event_id order by gap, other) = 1""")
+j as (select l.event_id, r.other, abs(l.t - r.t) as gap from l join r using (user_id))
+select l.event_id, other as nearest, {sql_real('gap / 1e6', 3)} as seconds from l left join (select * from j qualify row_number() over (partition by event_id order by gap, other) = 1) b on b.event_id = l.event_id""")
 def nearest_event(spark, folder):
     e = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     left = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("at").alias("a"), F.col("at").alias("z"))
     right = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("nearest"), F.col("at").alias("p"))
-    n = intervals.nearest_point(left, right, "user_id", "event_id", "a", "z", "p", "nearest", 86400e6)
+    n = intervals.nearest_point(left, right, "user_id", "event_id", "a", "z", "p", "nearest")
     return n.select("event_id", "nearest", real(F.col("distance") / 1e6, 3).alias("seconds"))
 
 

@@ -145,3 +145,30 @@ def sql_digest(seed: int, block: str, key: str) -> str:
 
 def sql_poisson(u: str) -> str:
     return "(" + " + ".join(f"({u} >= {t!r})::int" for t in poisson_thresholds()) + ")"
+
+
+def sql_permuted(seed: int, replicates: int, source: str) -> str:
+    """CTEs that end in ``sent`` (b, i, at): the library's keyed bijection of the places 0 .. n - 1 of ``source``."""
+    from cohortloom.functions.draws import ROUNDS
+
+    word = lambda r: f"('0x' || substr(md5('{seed}|' || (b * 2 + {r // 4})::varchar), {1 + 8 * (r % 4)}, 8))::ubigint::bigint"
+    scrambled = lambda v, r: f"((((({v} + k{r}) % 2147483647) * 48271) % 2147483647))"
+    steps, last = [], "l0, r0"
+    turn = ""
+    for r in range(ROUNDS):
+        moved, other = ("l", "r") if r % 2 == 0 else ("r", "l")
+        first = scrambled(f"{other}{r}", r)
+        side = "a" if r % 2 == 0 else "c"
+        new = f"({moved}{r} + (xor({first}, {first} >> 15) * 69621) % 2147483647) % {side}"
+        turn += f", ({new}) as {moved}{r + 1}, {other}{r} as {other}{r + 1}"
+    return f"""size as (select count(*)::bigint as n from {source}),
+box as (select n, a, (n + a - 1) // a as c from size, (select unnest(range(1, 200001))::bigint as a) where a between greatest(1, floor(sqrt(n))::bigint) and 2 * floor(sqrt(n))::bigint + 1
+ qualify row_number() over (order by a * ((n + a - 1) // a) - n, a) = 1),
+keys as (select b, {', '.join(f'{word(r)} as k{r}' for r in range(ROUNDS))} from (select unnest(range({replicates})) as b)),
+sent as (with recursive walk as (
+ select b, i, i as x, 0 as step from {source}, keys
+ union all
+ select b, i, l{ROUNDS} * c + r{ROUNDS} as x, step + 1 from (
+  select *{turn} from (select w.b, w.i, w.step, n, a, c, {', '.join(f'k{r}' for r in range(ROUNDS))}, w.x // c as l0, w.x % c as r0
+   from walk w join keys on keys.b = w.b, box where w.step = 0 or w.x >= n)))
+ select b, i, x as at from walk, size where step > 0 and x < n)"""
