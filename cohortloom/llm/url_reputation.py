@@ -65,11 +65,42 @@ def domain_columns(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -
     return F.when(number, bare).when(long, three).otherwise(two), suffix
 
 
+def suffix_domains(hosts: DataFrame, suffixes: DataFrame, suffix: str = "suffix") -> DataFrame:
+    """``hosts`` (one row for each ``host``) with ``_domain`` and ``_suffix`` by the longest suffix of a table.
+
+    The tails of a host, at most as many as the table's longest suffix has
+    labels, are joined to the table; the registered domain has one label more
+    than the longest that is found, or is the suffix itself.  Hosts without a
+    suffix of the table, addresses in numbers and an empty table fall back to
+    the last label.  NULL and repeated suffixes change nothing.
+    """
+    domain, last = domain_columns(F.col("host"), ())
+    known = suffixes.select(ascii_lower(F.col(suffix)).alias("_tail")).where("_tail <> ''").distinct()
+    known = materialize(known, "url-suffixes")
+    most = known.agg(F.max(F.size(F.split("_tail", r"\."))).alias("m")).first()["m"]
+    plain = hosts.withColumns({"_domain": domain, "_suffix": last})
+    if most is None:
+        return plain
+    bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":[0-9]*$", "")
+    named = plain.where("_suffix <> '#'").select("host", bare.alias("_bare"))
+    tails = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.struct(k.alias("k"), F.call_function("substring_index", F.col("_bare"), F.lit("."), -k).alias("t")))
+    looked = named.select("host", "_bare", F.explode(tails).alias("_x")).select("host", "_bare", F.col("_x.k").alias("_k"), F.col("_x.t").alias("_tail"))
+    best = join_small(looked, known, ["_tail"], "inner").groupBy("host").agg(F.max(F.struct("_k", "_tail", "_bare")).alias("_b"))
+    found = materialize(best.select(
+        "host", F.col("_b._tail").alias("_own"), F.call_function("substring_index", F.col("_b._bare"), F.lit("."), -(F.col("_b._k") + 1)).alias("_wide")), "url-domains")
+    return join_small(plain, found, ["host"], "left").withColumns(
+        {"_domain": F.coalesce("_wide", "_domain"), "_suffix": F.coalesce("_own", "_suffix")}).drop("_own", "_wide")
+
+
 def host_reputation(counts: DataFrame, max_bad: float = 0.5, z: float = 1.645,
-                    long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
-    """``host``, n labelled pages, f bad ones -> posterior rate, its lower bound, ``_blocked``."""
+                    long_suffixes: Sequence[str] = LONG_SUFFIXES, suffixes: DataFrame | None = None) -> DataFrame:
+    """``host``, n labelled pages, f bad ones -> posterior rate, its lower bound, ``_blocked``.
+
+    ``suffixes`` is a table of public suffixes, which takes the place of ``long_suffixes``.
+    """
     domain, suffix = domain_columns(F.col("host"), long_suffixes)
-    hosts = materialize(counts.withColumns({"_domain": domain, "_suffix": suffix}), "url-hosts")
+    placed = counts.withColumns({"_domain": domain, "_suffix": suffix}) if suffixes is None else suffix_domains(counts, suffixes)
+    hosts = materialize(placed, "url-hosts")
     whole = hosts.agg(F.coalesce(F.try_divide(F.sum("f"), F.sum("n")), F.lit(0.0)).alias("_prior"))
     suffixes = shrink(
         hosts.groupBy("_suffix").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).crossJoin(F.broadcast(whole)),
@@ -87,8 +118,8 @@ def host_reputation(counts: DataFrame, max_bad: float = 0.5, z: float = 1.645,
 
 def judge(pages: DataFrame, outcomes: DataFrame, page: str = "page_id", url: str = "url",
           rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = 0.5, z: float = 1.645,
-          long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
-    """Verdict of every page.  ``outcomes`` has ``page_id`` and ``bad`` (0 or 1)."""
+          long_suffixes: Sequence[str] = LONG_SUFFIXES, suffixes: DataFrame | None = None) -> DataFrame:
+    """Verdict of every page.  ``outcomes`` has ``page_id`` and ``bad`` (0 or 1), ``suffixes`` a column ``suffix``."""
     host, path = split_url(F.col(url))
     parts = pages.select(F.col(page).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
@@ -97,7 +128,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, page: str = "page_id", url: str
         parts.select("page_id", "host").join(known, "page_id", "left").groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("f"))
     )
-    rated = materialize(host_reputation(counts, max_bad, z, long_suffixes), "url-reputation")
+    rated = materialize(host_reputation(counts, max_bad, z, long_suffixes, suffixes), "url-reputation")
     own = F.when(F.col("_blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return join_small(parts, rated, ["host"], "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate")

@@ -110,3 +110,23 @@ def test_reputation_shrinks_towards_the_domain(spark):
     got = url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"))
     verdicts = {r.host: r.verdict for r in got.collect()}
     assert verdicts == {"spam.example.org": "block", "fine.example.org": "allow", "new.spam.info": "block", "old.spam.info": "block"}
+
+
+def test_registered_domains_by_the_longest_suffix_of_a_table(spark):
+    from cohortloom.llm import url_reputation
+
+    table = spark.createDataFrame([("com",), ("UK",), ("co.uk",), ("city.kawasaki.jp",), ("jp",), (None,), ("co.uk",), ("",)], "suffix string")
+    want = {
+        "a.b.example.com": ("example.com", "com"), "x.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "u@www.one.city.kawasaki.jp:80": ("one.city.kawasaki.jp", "city.kawasaki.jp"), "kawasaki.jp": ("kawasaki.jp", "jp"),
+        "a.b.unknown": ("b.unknown", "unknown"), "10.0.0.1": ("10.0.0.1", "#"), "": ("", ""), "single": ("single", "single"),
+        "com": ("com", "com"), ".".join("l" * 500) + ".com": ("l.com", "com"),
+    }
+    hosts = spark.createDataFrame([(h, 1, 0, "c") for h in want], "host string, n long, f long, extra string")
+    got = {r.host: (r._domain, r._suffix) for r in url_reputation.suffix_domains(hosts, table).collect()}
+    assert got == want
+    assert url_reputation.suffix_domains(hosts, table.where("false")).count() == len(want)
+    pages = spark.createDataFrame([(i, f"http://p{i % 4}.bad.co.uk/x", "c") for i in range(40)] + [(100 + i, f"http://p{i}.good.co.uk/", "c") for i in range(20)], "page_id long, url string, host string")
+    bad = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(20)], "page_id long, bad int")
+    rates = {r.host: r.bad_rate for r in url_reputation.judge(pages, bad, rules=(), suffixes=table).collect()}
+    assert rates["p0.bad.co.uk"] > 0.9 and rates["p3.good.co.uk"] < 0.1
