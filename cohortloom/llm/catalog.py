@@ -201,10 +201,19 @@ l as (
 x as (
   select conv_id, n, i, line, length(regexp_replace(marks, '[^>]', '', 'g')) as level,
     trim(regexp_replace(translate(regexp_replace(line, '^(?:[ \t]?>)+[ \t]?', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from l),
-origins as (select conv_id, norm, min(n) as origin from x where level = 0 and norm <> '' group by conv_id, norm),
+islands as (select *, i - row_number() over (partition by conv_id, n, level order by i) as run from x where level > 0),
+passages as (select conv_id, n, level, list(norm order by i) as w from islands where norm <> '' group by conv_id, n, level, run),
+lengths as (select 1 << j as k from generate_series(0, 30) g(j) where 1 << j <= (select max(len(w)) from passages)),
+asked as (
+  select distinct conv_id, n, level, k, array_to_string(w[i:i + k - 1], chr(10)) as run
+  from passages, lengths, generate_series(1, len(w) - k + 1) g(i)),
+said as (select conv_id, n, list(norm order by i) as w from x where level = 0 and norm <> '' group by conv_id, n),
+origins as (
+  select conv_id, k, array_to_string(w[i:i + k - 1], chr(10)) as run, min(n) as origin
+  from said, lengths, generate_series(1, len(w) - k + 1) g(i) group by all),
 links as (
-  select q.conv_id, q.n, (max(struct_pack(l := -level, o := origin))).o as origin
-  from x q join origins o on q.conv_id is not distinct from o.conv_id and q.norm = o.norm where level > 0 and origin < q.n group by q.conv_id, q.n),
+  select q.conv_id, q.n, (max(struct_pack(l := -level, k := q.k, o := origin))).o as origin
+  from asked q join origins o on q.conv_id is not distinct from o.conv_id and q.k = o.k and q.run = o.run where origin < q.n group by q.conv_id, q.n),
 own as (
   select conv_id, n, coalesce(string_agg(case when level = 0 then line end, chr(10) order by i), '') as text, count(*) filter (level > 0) as n_quoted from x group by conv_id, n),
 t as (

@@ -2,9 +2,10 @@
 
 Target text (labelled good) and raw text (all documents) each get a generative
 model of hashed word n-grams: a bucket's share of all n-grams.  A document's
-log weight is ``TEMPERATURE`` times the mean log ratio of the two models over its
-n-grams, Gumbel noise drawn from its key is added, and the top k documents are
-kept.  k is the share of good labels times the number of documents.
+weight is the ratio of its likelihoods under the two models, so its log weight
+is the sum of the log ratios of all its n-grams.  Gumbel noise drawn from its
+key is added, and the top k documents are kept.  k is the share of good labels
+times the number of documents.
 
 N-grams are words (runs of letters and digits, or of other signs) and pairs of
 neighbouring words; a word that repeats the one before gives one common bucket.
@@ -35,7 +36,6 @@ from cohortloom.storage import materialize
 BUCKETS = 1 << 15
 MAX_LABELS = 200_000
 SMOOTHING = 10.0
-TEMPERATURE = 100.0
 _SLICE_ROWS = 512
 _BINS = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +110,7 @@ def score(docs: DataFrame, ratios: np.ndarray, keep: Sequence[str] = ("doc_id",)
                 for body in part.column(sent.index(text)).to_pylist():
                     own = features(body)
                     sizes.append(len(own))
-                    weights.append(TEMPERATURE * float(table[own].mean()) if len(own) else 0.0)
+                    weights.append(float(table[own].sum()))
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], schema=arrow)
 

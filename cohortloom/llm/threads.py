@@ -1,10 +1,14 @@
 """Quotation linking: reply-ordered conversations without their quotes.
 
 A line that starts with ``>`` marks is quoted; the number of marks is its level.
-Quoted lines are normalised, hashed and joined to the earliest message of the
-conversation that has the line as its own.  A message replies to the origin of
-its least nested quote, of several to the latest; without a linked quote it
-goes on from the message before it.
+A quoted passage is a run of lines that follow each other at one level; its
+normalised lines (blank ones left out) are hashed in runs of 1, 2, 4, ... lines
+at every place, and these hashes are joined to the earliest message of the
+conversation that has the same lines in a row among its own.  So a passage falls
+back to shorter runs of it, and a common line decides only where no longer run
+is found.  A message replies to the origin of the longest run found at its least
+nested linked level, of several to the latest; without a linked quote it goes
+on from the message before it.
 
 Order: the reply tree read depth first, children by time.  Runs of messages that
 each go on from the one before are one segment; a segment that starts elsewhere
@@ -23,7 +27,7 @@ without a link; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortloom.llm.common import ascii_lower
 from cohortloom.operators.ranks import number_rows, prefix_sums
@@ -46,7 +50,7 @@ def quote_level(line: Column) -> Column:
 
 
 def read_messages(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """One row per message: own text, hashes of its own lines, level and hash of its quoted lines."""
+    """One row per message: own text, hashes of its own lines; place, level and hash (NULL if blank) of its quoted lines."""
     quoted = lambda line: F.rlike(line, F.lit(_MARKS))
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     shaped = rows.select(
@@ -58,20 +62,48 @@ def read_messages(rows: DataFrame, conv: str, turn: str, role: str, text: str) -
         *_CONV, "conv_id", "turn", "role", "_turn", "_row",
         F.array_join(F.filter("_lines", lambda x: ~quoted(x)), "\n").alias("text"),
         F.transform(F.filter("_lines", lambda x: ~quoted(x) & (normalised(x) != "")), lambda x: F.md5(normalised(x))).alias("_own"),
-        F.transform(F.filter("_lines", lambda x: quoted(x) & (normalised(x) != "")),
-                    lambda x: F.struct(quote_level(x).alias("level"), F.md5(normalised(x)).alias("hash"))).alias("_quoted"),
+        F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), quote_level(x).alias("level"), F.when(
+            quoted(x) & (normalised(x) != ""), F.md5(normalised(x))).alias("hash"))), lambda x: x["level"] > 0).alias("_quoted"),
         F.size(F.filter("_lines", quoted)).cast("long").alias("n_quoted"))
 
 
+def passages(messages: DataFrame) -> DataFrame:
+    """One row per quoted passage: the message's columns, ``level`` and ``hashes`` of its lines, blank ones left out."""
+    lines = messages.select(*_CONV, "n", "_row", F.explode("_quoted").alias("q")).select(*_CONV, "n", "_row", "q.*")
+    # lines of one level follow each other where place and number grow alike
+    run = F.col("at") - F.row_number().over(Window.partitionBy("_row", "level").orderBy("at"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("at", "hash"))))
+    grouped = lines.withColumn("_run", run).groupBy(*_CONV, "n", "_row", "level", "_run").agg(ordered.alias("_lines"))
+    return grouped.where(F.size("_lines") > 0).select(*_CONV, "n", "_row", "level", F.col("_lines.hash").alias("hashes"))
+
+
+def line_runs(rows: DataFrame, hashes: str, doublings: int) -> DataFrame:
+    """``rows`` without ``hashes``, once for each different run of 1, 2, 4, ... 2^doublings lines: ``lines``, ``hash``.
+
+    A run's hash is that of its two halves' hashes, so each doubling is one pass over the array.
+    """
+    others = [c for c in rows.columns if c != hashes]
+    out = rows.withColumn("_runs0", F.col(hashes))
+    for step in range(1, doublings + 1):
+        shorter, half = F.col(f"_runs{step - 1}"), 1 << step - 1
+        firsts = F.slice(shorter, 1, F.greatest(F.size(shorter) - half, F.lit(0)))
+        out = out.withColumn(f"_runs{step}", F.transform(firsts, lambda x, i: F.md5(F.concat(x, F.get(shorter, i + half)))))
+    sized = [F.transform(F.array_distinct(f"_runs{step}"), lambda x: F.struct(F.lit(1 << step).alias("lines"), x.alias("hash")))
+             for step in range(doublings + 1)]
+    return out.select(*others, F.explode(F.concat(*sized)).alias("_r")).select(*others, "_r.*")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """``_row`` of each message with a linked quote and the place (n) of its origin."""
-    quotes = messages.select(*_CONV, "n", "_row", F.explode(F.array_distinct("_quoted")).alias("q")).select(
-        *_CONV, "n", "_row", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
-    asked = quotes.select(*_CONV, "hash").distinct()
-    own = messages.select(*_CONV, "n", F.explode(F.array_distinct("_own")).alias("hash"))
-    origins = own.join(asked, [*_CONV, "hash"], "left_semi").groupBy(*_CONV, "hash").agg(F.min("n").alias("origin"))
-    linked = quotes.join(origins, [*_CONV, "hash"]).where(F.col("origin") < F.col("n"))
-    best = F.max(F.struct((-F.col("level")).alias("l"), "origin"))
+    quoted = materialize(passages(messages.where(F.size("_quoted") > 0)), "thread-passages")
+    longest = quoted.agg(F.max(F.size("hashes"))).first()[0] or 1
+    doublings = longest.bit_length() - 1
+    key = [*_CONV, "lines", "hash"]
+    asked = line_runs(quoted, "hashes", doublings)
+    own = line_runs(messages.where(F.size("_own") > 0).select(*_CONV, "n", "_own"), "_own", doublings)
+    origins = own.join(asked.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min("n").alias("origin"))
+    linked = asked.join(origins, key).where(F.col("origin") < F.col("n"))
+    best = F.max(F.struct((-F.col("level")).alias("l"), "lines", "origin"))
     return linked.groupBy("_row").agg(best.alias("b")).select("_row", F.col("b.origin").alias("_origin"))
 
 

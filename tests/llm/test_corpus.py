@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cohortloom.functions import draws
 from cohortloom.llm import catalog, importance, unit_dedup
 
 MEDIUM, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -164,11 +165,34 @@ def test_weights_against_plain_counts(spark):
     ratios = importance.fit(frame, sample)
     assert np.allclose(ratios, want)
     scored = {r.doc_id: r for r in importance.score(frame, ratios).collect()}
-    assert scored[1].log_weight == pytest.approx(importance.TEMPERATURE * want[importance.features(docs[0][1])].mean())
+    assert scored[1].log_weight == pytest.approx(want[importance.features(docs[0][1])].sum())
     assert scored[4].log_weight == scored[5].log_weight == 0.0 and scored[1].log_weight > scored[3].log_weight
     assert importance.features("x x")[2] == 0
 
 
+def test_kept_documents_are_the_top_k_by_likelihood_ratio_and_noise(spark):
+    """Both models, the weights, the noise and the k-th place, all by plain counts."""
+    docs, labels = catalog.table(spark, SMALL, "documents"), catalog.table(spark, SMALL, "labels")
+    rows = docs.select("doc_id", "text").collect()
+    good = {}
+    for key, quality in labels.select("doc_id", "quality").collect():
+        if key is not None and quality is not None:
+            good[key] = min(good.get(key, 1), int(quality == 1))
+    grams = {key: importance.features(text) for key, text in rows}
+    raw = np.bincount(np.concatenate(list(grams.values())), minlength=importance.BUCKETS).astype(float)
+    target = np.bincount(np.concatenate([g for key, g in grams.items() if good.get(key)]), minlength=importance.BUCKETS).astype(float)
+    less = importance.SMOOTHING * target.sum() / raw.sum()
+    ratio = np.log((target + less) / (target + less).sum()) - np.log((raw + importance.SMOOTHING) / (raw + importance.SMOOTHING).sum())
+    noise = {r.doc_id: -np.log(-np.log((r.u * 4294967296.0 + 0.5) / 4294967296.0))
+             for r in docs.select("doc_id", draws.uniform(7, F.lit(0), F.col("doc_id")).alias("u")).collect()}
+    place = {key: ratio[g].sum() + noise[key] for key, g in grams.items()}
+    k = round(np.mean(list(good.values())) * len(rows))
+    want = set(sorted(place, key=place.get, reverse=True)[:k])
+    got = importance.classify(docs, labels, F.col("quality") == 1).collect()
+    assert {r.doc_id for r in got if r.kept} == want
+    assert all(r.gumbel_key == pytest.approx(place[r.doc_id]) for r in got)
+
+
 def test_classifier_on_odd_rows(spark, odd_docs):
     rows = [*odd_docs, (None, "no id", "en", "s1")]
     docs = spark.createDataFrame([(*r, 1.0, "x") for r in rows], SCHEMA + ", log_weight double, kept string")
