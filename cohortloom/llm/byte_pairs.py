@@ -4,9 +4,9 @@ The library splits a text into pre-tokens before it merges, and no pre-token
 reaches over a place where white space follows other characters, or where a
 run of letters and digits meets a run of ASCII punctuation.  Texts are cut
 at such places only; each distinct piece is encoded once and kept.  A new piece of
-ASCII and Latin letters is cut into its pre-tokens, of which there are fewer
-different ones, and the library's model merges each of these once; any other
-piece is encoded by the library as it is.  Texts with a special string, and tokenizers with another
+ASCII and Latin letters is cut into its pre-tokens, and the library's model merges
+each of these once; most pieces are one pre-token.  Any other piece is encoded by
+the library as it is.  Texts with a special string, and tokenizers with another
 set-up, are encoded whole.
 """
 
@@ -39,7 +39,7 @@ def _alphabet() -> dict[int, str]:
 
 _ALPHABET = _alphabet()
 _SPACE = _ALPHABET[32]
-#: Pieces kept at most in a worker; the memo starts anew beyond, results stay the same.
+#: Pieces and pre-tokens kept in a worker, but for those of one text; the memo starts anew beyond, results stay the same.
 MEMO_SIZE = 500_000
 
 
@@ -52,37 +52,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Tokens(dict):
-    """Ids of pre-tokens, merged by the library's model."""
-
-    def __init__(self, merge, code):
-        super().__init__()
-        self.merge, self.code = merge, code
-
-    def __missing__(self, token: str) -> bytes:
-        if token.isascii() and token.isprintable():
-            letters = token.replace(" ", _SPACE)
-        else:
-            letters = token.encode("utf-8").decode("latin-1").translate(_ALPHABET)
-        out = self[token] = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
-        return out
-
-
 class _Memo(dict):
-    """Ids of pieces."""
+    """Ids of pieces and of the pre-tokens of pieces that hold several, by the library's ``encode`` or its model's ``merge``."""
 
-    def __init__(self, encode, code, tokens: _Tokens | None):
+    def __init__(self, encode, code, merge):
         super().__init__()
-        self.encode, self.code, self.tokens = encode, code, tokens
+        self.encode, self.code, self.merge = encode, code, merge
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if self.tokens is not None and (piece.isascii() or _KNOWN.fullmatch(piece)):
-            out = b"".join(map(self.tokens.__getitem__, _TOKENS.findall(piece)))
-        else:
+        ascii_only = piece.isascii()
+        if self.merge is None or not (ascii_only or _KNOWN.fullmatch(piece)):
             out = self.whole(piece)
+        elif len(tokens := _TOKENS.findall(piece)) > 1:
+            out = b"".join(map(self.__getitem__, tokens))  # a pre-token by itself is one pre-token
+        else:
+            if ascii_only and piece.isprintable():
+                letters = piece.replace(" ", _SPACE)
+            else:
+                letters = piece.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+            out = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
         self[piece] = out
         return out
 
@@ -111,7 +102,7 @@ class Encoder:
         model = setup.get("model") or {}
         plain = self.divisible and model.get("type") == "BPE" and not model.get("dropout") and not any(
             model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-        self.memo = _Memo(library.encode, code, _Tokens(library.model.tokenize, code) if plain else None)
+        self.memo = _Memo(library.encode, code, library.model.tokenize if plain else None)
 
     def encode(self, text: str) -> bytes:
         memo = self.memo
@@ -119,8 +110,6 @@ class Encoder:
             return memo.whole(text)
         if len(memo) > MEMO_SIZE:
             memo.clear()
-            if memo.tokens is not None:
-                memo.tokens.clear()
         return b"".join(map(memo.__getitem__, _PIECES.findall(text)))
 
 

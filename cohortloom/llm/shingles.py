@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 WORDS = 5
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 _SPACES = {0x20, *range(0x09, 0x0E)}
 _FOLD = bytes(32 if b in _SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KIND = np.array([0 if b == 32 else 1 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 2 for b in range(256)], np.int8)
