@@ -44,7 +44,12 @@ def weighted_moments(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     aggregates += [F.sum(w * F.col(c)).alias(f"s_{c}") for c in columns]
     pairs = list(itertools.combinations_with_replacement(columns, 2))
     aggregates += [F.sum(w * F.col(a) * F.col(b)).alias(f"s_{a}|{b}") for a, b in pairs]
-    sums = complete.groupBy(*by).agg(*aggregates)
+    return moments_of_sums(complete.groupBy(*by).agg(*aggregates), by, columns)
+
+
+def moments_of_sums(sums: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Moment rows from ``n`` and the weighted sums ``s_a`` and ``s_a|b`` of the columns and their products."""
+    pairs = list(itertools.combinations_with_replacement(columns, 2))
     n = F.col("n")
     means = [(F.col(f"s_{c}") / n).alias(f"m_{c}") for c in columns]
     centered = [
@@ -436,7 +441,11 @@ def fit_logistic(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
             break
     else:
         settled.append(state)
-    state = functools.reduce(DataFrame.unionByName, settled)
+    return logistic_terms(functools.reduce(DataFrame.unionByName, settled), by, terms, tol, z)
+
+
+def logistic_terms(state: DataFrame, by: Sequence[str], terms: Sequence[str], tol: float = 1e-8, z: float = 1.96) -> DataFrame:
+    """Term table of logistic fits from their last round (``by``, ``_beta``, ``_step``, ``_se``, ``_n``)."""
     ok = F.coalesce(F.col("_step") <= tol, F.lit(False))  # a step that is no number has not settled either
     long = state.select(*by, "_step", "_n", F.posexplode(F.arrays_zip("_beta", "_se")).alias("_i", "_v"))
     long = long.select(*by, "_step", F.col("_n").alias("n"),

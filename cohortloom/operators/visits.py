@@ -59,6 +59,14 @@ def slopes(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
     )
 
 
+def slopes_of_moments(stats: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
+    """``slopes`` from moment rows of columns near zero mean; a variance that is only rounding counts as none."""
+    varies = F.col(f"c_{x}|{x}") > 1e-12 * F.pow(f"m_{x}", 2)
+    slope = F.when(varies, F.col(f"c_{y}|{x}") / F.col(f"c_{x}|{x}"))
+    return stats.select(*by, F.col("n").cast("long").alias("n"), slope.alias("slope"),
+                        (F.col(f"m_{y}") - slope * F.col(f"m_{x}")).alias("intercept"))
+
+
 def trend_lines(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
     """Line per group with what its confidence band needs.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions import scalars
 from cohortloom.functions.dist import normal_p_value, t_p_value
-from cohortloom.operators import information, linmod, mixed, pca, ranks, resample, tables, visits
+from cohortloom.operators import information, linmod, mixed, pca, ranks, replicates as replicated, resample, tables, visits
 from cohortloom.storage import materialize
 
 
@@ -86,22 +86,20 @@ def robustness_checks(table: DataFrame, key: str, outcome: str, score: str, cova
         grouped.where("prog_group <> 'mid'").withColumn("fast", (F.col("prog_group") == "fast").cast("int")), "extremes")
 
     flat = linmod.centered(rows, [outcome, *xs])
-    linear = lambda d, by: linmod.solve_moments(
-        linmod.weighted_moments(d, by, [outcome, *xs], "w"), by, outcome, xs).where(F.col("term") == score)
-    whole = lambda d: d.withColumn("w", F.lit(1))
-    logit = lambda d, by, w=None: linmod.fit_logistic(d, by, "fast", xs, weight=w)
-
-    boot = linear(resample.bootstrap_rows(flat, replicates, seed, [key]), ["b"])
-    boot_log = logit(resample.bootstrap_rows(extremes, replicates, seed + 1, [key]), ["b"], "w").where(F.col("term") == score)
-    shuffled = whole(resample.permuted_outcome(flat, replicates, seed + 2, [key], outcome))
-    shuffled_log = resample.permuted_outcome(extremes.drop("prog_group"), replicates, seed + 3, [key], "fast")
-    observed_log = logit(extremes, [])
+    linear = lambda stats, by: linmod.solve_moments(stats, by, outcome, xs).where(F.col("term") == score)
+    whole = flat.withColumn("w", F.lit(1))
+
+    boot = linear(replicated.bootstrap_moments(flat, replicates, seed, [key], [outcome, *xs]), ["b"])
+    boot_log = replicated.bootstrap_logistic(extremes, replicates, seed + 1, [key], "fast", xs).where(F.col("term") == score)
+    shuffled = linear(replicated.permuted_moments(flat, replicates, seed + 2, [key], outcome, xs), ["b"])
+    shuffled_log = replicated.permuted_logistic(extremes, replicates, seed + 3, [key], "fast", xs).where(F.col("term") == score)
+    observed = linear(linmod.weighted_moments(whole, [], [outcome, *xs], "w"), [])
+    observed_log = linmod.fit_logistic(extremes, [], "fast", xs)
     tag = lambda d, name: d.withColumn("check", F.lit(name))
     intervals = tag(resample.bootstrap_interval(boot, [], "estimate"), "linear").unionByName(
         tag(resample.bootstrap_interval(boot_log, [], "odds_ratio", null_value=1.0), "odds_ratio"))
-    permutations = tag(resample.permutation_p(linear(whole(flat), []), linear(shuffled, ["b"]), [], "estimate"), "linear").unionByName(
-        tag(resample.permutation_p(observed_log.where(F.col("term") == score),
-                                   logit(shuffled_log, ["b"]).where(F.col("term") == score), [], "estimate"), "logistic"))
+    permutations = tag(resample.permutation_p(observed, shuffled, [], "estimate"), "linear").unionByName(
+        tag(resample.permutation_p(observed_log.where(F.col("term") == score), shuffled_log, [], "estimate"), "logistic"))
     return {
         "groups": grouped, "logistic": observed_log.withColumn("p_value", normal_p_value(F.col("statistic"))),
         "intervals": intervals, "permutations": permutations,
@@ -115,8 +113,7 @@ def hit_frequency(features: DataFrame, subject: str, feature: str, outcome: str,
     centre = features.groupBy(feature).agg(F.avg(outcome).alias("_mo"), F.avg(predictor).alias("_mp"))
     flat = features.join(centre, feature).withColumns(
         {outcome: F.col(outcome) - F.col("_mo"), predictor: F.col(predictor) - F.col("_mp")})
-    rows = resample.bootstrap_rows(flat.select(subject, feature, outcome, predictor), replicates, seed, [subject])
-    stats = linmod.weighted_moments(rows, [feature, "b"], [outcome, predictor], "w")
+    stats = replicated.bootstrap_moments(flat, replicates, seed, [subject], [outcome, predictor], [feature])
     fits = materialize(linmod.solve_moments(stats, [feature, "b"], outcome, [predictor]).where(F.col("term") == predictor), "hits")
     ranked = information.top_per_replicate(fits.where("p_value is not null"), "b", feature, "p_value", top, descending=False)
     return information.selection_frequency(ranked, feature, replicates)

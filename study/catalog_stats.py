@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import dist, draws
 from cohortloom.operators import (
-    classify, information, intervals, linmod, mixed, neighbours, normalize, pca, ranks, resample, tables, visits as vis,
+    classify, information, intervals, linmod, mixed, neighbours, normalize, pca, ranks, replicates, resample, tables,
+    visits as vis,
 )
 from cohortloom.plans import progression
 from study.registry import query
@@ -456,8 +457,7 @@ be as (select b, n, (sxy - sx * sy / n) / (sxx - sx * sx / n) * 1000 as beta fro
 
 def _bootstrap(spark, folder):
     f = linmod.centered(_subject_features(spark, folder), ["slope", "balance"])
-    rows = resample.bootstrap_rows(f, REPLICATES, 1, ["subject"])
-    stats = linmod.weighted_moments(rows, ["b"], ["slope", "balance"], "w")
+    stats = replicates.bootstrap_moments(f, REPLICATES, 1, ["subject"], ["slope", "balance"])
     return linmod.solve_moments(stats, ["b"], "slope", ["balance"]).where("term = 'balance'")
 
 
@@ -477,10 +477,9 @@ be as (select b, regr_slope(o.slope, p.balance) * 1000 as beta from sent join po
 select {sql_real('any_value(o)')} as observed, count(*) as n_permutations, {sql_real('avg((abs(beta) >= abs(o))::int)')} as p_value, {sql_real('sum(beta)', 5)} as total from be cross join ob""")
 def permutation_test(spark, folder):
     f = _subject_features(spark, folder)
-    shuffled = resample.permuted_outcome(f, REPLICATES, 3, ["subject"], "slope")
-    fit = lambda d, by: vis.slopes(d, by, "slope", "balance").withColumn("beta", F.col("slope") * 1000)
-    per_b = fit(shuffled, ["b"])
-    p = resample.permutation_p(fit(f, []), per_b, [], "beta")
+    stats = replicates.permuted_moments(linmod.centered(f, ["slope", "balance"]), REPLICATES, 3, ["subject"], "slope", ["balance"])
+    per_b = vis.slopes_of_moments(stats, ["b"], "slope", "balance").withColumn("beta", F.col("slope") * 1000)
+    p = resample.permutation_p(vis.slopes(f, [], "slope", "balance").withColumn("beta", F.col("slope") * 1000), per_b, [], "beta")
     total = per_b.agg(real(F.sum("beta"), 5).alias("total"))
     return p.crossJoin(total).select(real("observed").alias("observed"), "n_permutations", real("p_value").alias("p_value"), "total")
 
@@ -491,8 +490,8 @@ c as (select b, sum(case when hit = 1 and carrier = 1 then w else 0 end)::double
 select b, {sql_real('ln(a * f / (e * c))', 5)} as estimate, {sql_real('sqrt(1 / a + 1 / e + 1 / c + 1 / f)', 5)} as std_error from c""")
 def logistic_bootstrap(spark, folder):
     s = subjects(spark, folder).select("subject", "carrier", (F.col("balance") > 4500).cast("int").alias("hit"))
-    rows = resample.bootstrap_rows(s, REPLICATES, 2, ["subject"])
-    f = linmod.fit_logistic(rows, ["b"], "hit", ["carrier"], weight="w").where("term = 'carrier'")
+    counted = replicates.bootstrap_sums(s, REPLICATES, 2, ["subject"], {}, ["hit", "carrier"])
+    f = linmod.fit_logistic(counted, ["b"], "hit", ["carrier"], weight="n").where("term = 'carrier'")
     return rounded(f, [F.col("b").cast("long").alias("b")], ["estimate", "std_error"], 5)
 
 
@@ -564,8 +563,7 @@ e as (select b, block, abs((sxy - sx * sy / n) / (sxx - sx * sx / n)) as eff fro
 select block, {sql_real('avg(hit::int)')} as sel_freq from k group by 1""")
 def selection_frequency(spark, folder):
     f = linmod.centered(_subject_features(spark, folder).withColumn("block", F.col("subject") % 9), ["slope"])
-    rows = resample.bootstrap_rows(f, 1000, 5, ["subject"])
-    fits = linmod.solve_moments(linmod.weighted_moments(rows, ["block", "b"], ["slope", "carrier"], "w"), ["block", "b"], "slope", ["carrier"])
+    fits = linmod.solve_moments(replicates.bootstrap_moments(f, 1000, 5, ["subject"], ["slope", "carrier"], ["block"]), ["block", "b"], "slope", ["carrier"])
     effects = fits.where("term = 'carrier'").withColumn("eff", F.abs("estimate"))
     top = information.top_per_replicate(effects, "b", "block", "eff", 3)
     return rounded(information.selection_frequency(top, "block"), ["block"], ["sel_freq"])
