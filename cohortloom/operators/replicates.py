@@ -12,11 +12,11 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from cohortloom.functions import draws
 from cohortloom.operators import linmod
-from cohortloom.operators.ranks import number_rows
+from cohortloom.operators.ranks import SLICE, number_rows, rows_per_slice, value_slices
 from cohortloom.storage import materialize
 
 ROWS_PER_TASK = 16384
@@ -24,6 +24,9 @@ ROWS_PER_TASK = 16384
 OUTCOMES = 1_000_000
 _HELD = 1 << 22  # numbers a task keeps before it hands them on
 _ROWS_AT_ONCE = 256
+_KEYS_AT_ONCE = 4096
+_WEIGHTS_HELD = 1 << 24  # pairs of weights a task unpacks at once
+_STRETCH = 256
 _LEAST_ROWS = 512
 
 
@@ -309,3 +312,184 @@ def permuted_logistic(df: DataFrame, n: int, seed: int, key: Sequence[str], y: s
     scores = stats.withColumn("_g", F.array(total(F.col(f"m_{y}")), *[total(F.col(f"c_{y}|{c}") + F.col(f"m_{y}") * F.col(f"m_{c}")) for c in xs]))
     rows = used.select(F.monotonically_increasing_id().alias("_at"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in xs]).alias("_x"))
     return _logistic_fits(_dealt(rows, "logistic-columns", "_at"), scores, None, xs, replicate)
+
+
+# ---- equal-frequency bins of all replicates --------------------------------------
+
+def _value_codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Ranks of the values among the distinct ones, in Spark's order (NaN last, both zeros equal)."""
+    kind = column.type
+    if pa.types.is_floating(kind) or pa.types.is_integer(kind):
+        values = column.to_numpy()
+    else:
+        values = np.empty(len(column), object)
+        values[:] = column.to_pylist()
+    return np.unique(values, return_inverse=True)[1]
+
+
+def _weighed(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """``rows`` with ``_w`` instead of the key text ``_k``: the weights of all replicates, two in a byte.
+
+    The rows of a key lie side by side, so its weights are drawn once.
+    """
+    blocks = np.arange(-(-n // draws.DRAWS_PER_DIGEST))
+    kept = [c for c in rows.columns if c != "_k"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("_w", T.BinaryType())])
+    width = len(blocks) * draws.DRAWS_PER_DIGEST // 2
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, 4 * ROWS_PER_TASK):
+            coded = chunk["_k"].combine_chunks().dictionary_encode()
+            packed = np.empty((len(coded.dictionary), width), np.uint8)
+            for first in range(0, len(packed), _KEYS_AT_ONCE):
+                part = coded.dictionary.slice(first, _KEYS_AT_ONCE)
+                for some, weights in _key_draws(pa.chunked_array([part]), seed, blocks):
+                    packed[first:first + len(part), some.start // 2:some.stop // 2] = (weights[::2] | weights[1::2] << 4).T
+            held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(packed), [None, pa.py_buffer(packed)])
+            taken = held.cast(pa.binary()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([*[chunk[c].combine_chunks() for c in kept], taken], names=schema.names)
+
+    return rows.repartition("_k").sortWithinPartitions("_k").mapInArrow(draw, schema)
+
+
+def _packed(column: pa.ChunkedArray) -> np.ndarray:
+    """``_w`` as a matrix (rows, bytes)."""
+    parts = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(chunk), -1))
+    return np.concatenate(parts)
+
+
+def _bin_sums(rows: pa.Table, n: int, bins: int, before: np.ndarray | None = None, total: np.ndarray | None = None) -> Iterator[tuple]:
+    """Replicates, bins and class counts of the rows (``_v``, ``_y``, ``_w``) of a group or of a slice of one.
+
+    ``before`` has the weight below the slice and ``total`` that of the group, by replicate.  A
+    value with the weight w below it is in one of the first j bins if w * bins < j * total.
+    Sums of stretches of rows find the stretch in which a bin ends, and only that is looked into.
+    """
+    code = _value_codes(rows["_v"])
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    ends = np.append(np.flatnonzero(code[1:] != code[:-1]), len(code) - 1)  # the last row of each value
+    stretches = -(-len(code) // _STRETCH)
+    y = rows["_y"].to_numpy()
+    y = y.astype(np.uint8 if y.min() >= 0 and y.max() <= 1 else np.int64)[order]
+    y = np.pad(y, (0, stretches * _STRETCH - len(y))).reshape(stretches, _STRETCH)
+    packed = _packed(rows["_w"])[order]
+    inside = np.arange(_STRETCH)
+    step = max(1, _WEIGHTS_HELD // len(code))
+    for first in range(0, (n + 1) // 2, step):
+        some = np.ascontiguousarray(packed[:, first:first + step].T)
+        w = np.zeros((2 * len(some), stretches * _STRETCH), np.uint8)
+        w[::2, :len(code)], w[1::2, :len(code)] = some & 15, some >> 4
+        w = w.reshape(len(w), stretches, _STRETCH)[:n - 2 * first]
+        drawn = slice(2 * first, 2 * first + len(w))
+        sums, pos = (np.zeros((len(w), stretches + 1), np.int64) for _ in range(2))
+        for out, part in ((sums, w), (pos, w * y)):
+            np.cumsum(part.sum(axis=2, dtype=np.int64), axis=1, out=out[:, 1:])
+        whole = sums[:, -1] if total is None else total[drawn]
+        low = np.zeros(len(w), np.int64) if before is None else before[drawn]
+        limits = np.arange(1, bins + 1) * whole[:, None]
+        need = -(-limits // bins) - low[:, None]  # the first row with so much weight up to it ends the bin
+        b = np.arange(len(w))[:, None]
+        at = np.array([np.searchsorted(own[1:], wanted) for own, wanted in zip(sums, need)]).clip(0, stretches - 1)
+        upto = np.cumsum(w[b, at], axis=2, dtype=np.int64) + sums[b, at][:, :, None]
+        row = np.minimum(at * _STRETCH + (upto < need[:, :, None]).sum(axis=2), len(code) - 1)
+        row = ends[code[row]]
+        at, in_bin = row // _STRETCH, inside <= (row % _STRETCH)[:, :, None]
+        last = w[b, at] * in_bin
+        reached = limits > low[:, None] * bins
+        sums = np.where(reached, sums[b, at] + last.sum(axis=2, dtype=np.int64), 0)
+        pos = np.where(reached, pos[b, at] + (last * y[at]).sum(axis=2, dtype=np.int64), 0)
+        sums, pos = np.diff(sums, prepend=0, axis=1), np.diff(pos, prepend=0, axis=1)
+        found, j = np.nonzero(sums)
+        yield found + 2 * first, j + 1, pos[found, j], sums[found, j] - pos[found, j]
+
+
+def bootstrap_bins(df: DataFrame, n: int, seed: int, key: str, by: str, value: str, y: str, bins: int,
+                   replicate: str = "b") -> DataFrame:
+    """``by``, ``replicate``, ``bin`` and class counts ``pos``, ``neg`` in equal-frequency bins cut anew in each Poisson bootstrap.
+
+    The weights are those of ``resample.bootstrap_rows``.  A task holds one group, sorted once for
+    all replicates.  A group of more rows than a task may sort is cut into slices of values: their
+    sums by replicate come first, so each slice knows the weight below it.
+    """
+    source = df.where(F.col(value).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(by).alias("_f"), F.col(value).alias("_v"), draws.key_text(F.col(key)).alias("_k"), F.col(y).cast("long").alias("_y"))
+    rows = materialize(source, "resample-rows")
+    spread = max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_per_slice(rows)))
+    schema = T.StructType([rows.schema["_f"], T.StructField("_b", T.IntegerType()), T.StructField("bin", T.IntegerType()),
+                           T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType())])
+
+    def table_of(part: pa.Table, found: Iterator[tuple]) -> pa.Table:
+        columns = [np.concatenate(c) for c in zip(*found)]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        group = pa.array([part["_f"][0].as_py()] * len(columns[0]), part.schema.field("_f").type)
+        return pa.Table.from_arrays([group, *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=schema.names)
+
+    def whole(part: pa.Table) -> pa.Table:
+        return table_of(part, _bin_sums(part, n, bins))
+
+    def one_slice(part: pa.Table, below: pa.Table) -> pa.Table:
+        below = below.sort_by("_b")
+        return table_of(part, _bin_sums(part, n, bins, below["_before"].to_numpy(), below["_total"].to_numpy()))
+
+    sliced = value_slices(rows, ["_f"], "_v", "_k")
+    if sliced is None:
+        counts = _weighed(rows, n, seed).repartition(spread, "_f").groupBy("_f").applyInArrow(whole, schema)
+    else:
+        drawn = materialize(_weighed(sliced, n, seed), "resample-weights")
+        small, large = drawn.where(F.col(SLICE).isNull()).drop(SLICE), drawn.where(F.col(SLICE).isNotNull())
+        below = materialize(_slice_sums(large, n), "slice-sums")
+        # the slice of one value is in one bin, however many rows it has
+        alone = below.where((F.col(SLICE) % 2 == 1) & (F.col("pos") + F.col("neg") > 0)).select(
+            "_f", "_b", (F.floor(F.col("_before") * bins / F.col("_total")) + 1).cast("int").alias("bin"), "pos", "neg")
+        between = large.where(F.col(SLICE) % 2 == 0).repartition(spread, "_f", SLICE).groupBy("_f", SLICE).cogroup(
+            below.where(F.col(SLICE) % 2 == 0).select("_f", SLICE, "_b", "_before", "_total").groupBy("_f", SLICE))
+        counts = small.repartition(spread, "_f").groupBy("_f").applyInArrow(whole, schema).unionByName(alone).unionByName(
+            between.applyInArrow(one_slice, schema)).groupBy("_f", "_b", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return counts.select(F.col("_f").alias(by), F.col("_b").alias(replicate), "bin", "pos", "neg")
+
+
+def _slice_sums(rows: DataFrame, n: int) -> DataFrame:
+    """``_f``, slice, replicate ``_b``, class counts, the weight ``_before`` the slice and the group's ``_total``."""
+    schema = T.StructType([rows.schema["_f"], T.StructField(SLICE, T.IntegerType()), T.StructField("_b", T.IntegerType()),
+                           T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType())])
+    most = max(1, _HELD // (2 * n))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kind = None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for (group, at), total in held.items():
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([group] * n, kind), pa.array([at] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)),
+                    pa.array(total[0]), pa.array(total[1])], names=schema.names)
+            held.clear()
+
+        for chunk in _chunks(batches, ROWS_PER_TASK):
+            kind = chunk.schema.field("_f").type
+            known: dict[tuple, int] = {}
+            code = np.array([known.setdefault(g, len(known)) for g in zip(chunk["_f"].to_pylist(), chunk[SLICE].to_pylist())])
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(known)))
+            packed, y = _packed(chunk["_w"])[order], chunk["_y"].to_numpy()[order][:, None]
+            found = np.empty((len(known), 2, 2 * packed.shape[1]), np.int64)
+            for half, w in enumerate((packed & 15, packed >> 4)):
+                found[:, 0, half::2] = np.add.reduceat(w * y, starts, axis=0)
+                found[:, 1, half::2] = np.add.reduceat(w * (1 - y), starts, axis=0)
+            for label, total in zip(known, found[:, :, :n]):
+                if label in held:
+                    held[label] += total
+                else:
+                    held[label] = total
+            if len(held) >= most:
+                yield from emit()
+        yield from emit()
+
+    added = rows.mapInArrow(sums, schema).groupBy("_f", SLICE, "_b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    group, w = W.partitionBy("_f", "_b"), F.col("pos") + F.col("neg")
+    before = group.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    return added.withColumns({"_before": F.coalesce(F.sum(w).over(before), F.lit(0)), "_total": F.sum(w).over(group)})

@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import information
+from cohortloom.operators import information, replicates
 
 
 def ent(y):
@@ -87,6 +88,62 @@ def test_fixed_bins_agree_with_rebinning_when_every_value_is_frequent(spark):
     assert np.allclose(a.sort_values("b").mi, 0) and np.allclose(b.sort_values("b").mi, 0)
 
 
+def _odd_rows(spark):
+    """Ties, a value of most rows, NaN, both zeros, missing values, classes, samples and features, a sample that comes twice."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for f, size in (("a", 90), (None, 60), ("tied", 120), ("short", 5)):
+        for i in range(size):
+            v = float(np.round(rng.normal(), 1 if f != "a" else 6))
+            rows.append((i % 80 if i % 13 else None, f, 0.25 if f == "tied" and i % 4 else v, int(rng.integers(2))))
+    rows += [(s, "a", v, s % 2) for s, v in ((1, float("nan")), (2, float("nan")), (3, 0.0), (4, -0.0), (5, None))] + [(6, "a", 1.0, None)]
+    return spark.createDataFrame(rows, "s long, f string, v double, y int").repartition(3)
+
+
+def _row_by_row(df, n, seed):
+    """The scores from a row per row and replicate."""
+    spread = information._expand_slots(information._replicate_blocks(df, n, seed, "s"), n, ["f", "v", "y"])
+    return information.mutual_information(spread, ["f", "b"], "v", "y", 5, "w")
+
+
+def _assert_equal_scores(got, want):
+    key = lambda r: (r.f or "", r.b)
+    got, want = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert [key(r) for r in got] == [key(r) for r in want] and got
+    assert [r.mi for r in got] == pytest.approx([r.mi for r in want], abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 10])
+def test_resampled_bins_equal_the_rows(spark, n):
+    df = _odd_rows(spark)
+    got, want = information.resampled_information(df, "s", "f", "v", "y", n, 3), _row_by_row(df, n, 3)
+    assert got.dtypes == want.dtypes
+    _assert_equal_scores(got, want)
+    exact = df.withColumn("v", F.col("v").cast("decimal(20,3)")).where("v is not null")
+    _assert_equal_scores(information.resampled_information(exact, "s", "f", "v", "y", n, 3), _row_by_row(exact, n, 3))
+
+
+def test_resampled_bins_equal_the_rows_in_slices(spark, tiny_slices):
+    df = _odd_rows(spark)
+    _assert_equal_scores(information.resampled_information(df, "s", "f", "v", "y", 10, 3), _row_by_row(df, 10, 3))
+
+
+def test_resampled_bins_hold_few_weights_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = pa.table({"_v": rng.normal(size=900).round(1), "_y": rng.integers(0, 2, 900), "_w": [(rng.integers(0, 256, 5, np.uint8) & 0x33).tobytes() for _ in range(900)]})
+    listed = lambda: [r for part in replicates._bin_sums(rows, 9, 5) for r in zip(*(c.tolist() for c in part))]
+    whole = listed()
+    monkeypatch.setattr(replicates, "_WEIGHTS_HELD", 1000)
+    monkeypatch.setattr(replicates, "_STRETCH", 7)
+    assert whole == listed() and {r[0] for r in whole} == set(range(9))
+
+
+def test_no_row_per_row_and_replicate(spark):
+    """More resamples make no more rows before the bins: the plan multiplies none."""
+    plan = information.resampled_information(_odd_rows(spark), "s", "f", "v", "y", 100, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
 def test_stability_prefers_informative_features(spark):
     pdf = table(seed=7)
     for rebin in (True, False):
