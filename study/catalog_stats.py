@@ -10,6 +10,7 @@ from cohortloom.operators import (
     visits as vis,
 )
 from cohortloom.plans import progression
+from cohortloom.storage import materialize
 from study.registry import query
 from study.views import (
     COUNTS_SQL, MEASURE_SQL, SUBJECTS_SQL, VISITS_SQL, counts, measure, real, sql_digest, sql_poisson, sql_real,
@@ -73,9 +74,9 @@ start as (select distinct feature, -8.0::double as x from expected), {_sql_refin
 @query(f"with {_DISPERSION} select feature, {sql_real('ll', 3)} as log_likelihood, true as converged from l4")
 def dispersion_optimum(spark, folder):
     """The likelihood at every feature's fitted dispersion, against the best of nested grids."""
-    rows = counts(spark, folder)
-    factors = normalize.size_factors(rows, "sample", "feature", "value")
-    expected = normalize.expected_counts(rows, factors, "sample", "feature", "value")
+    rows = materialize(counts(spark, folder), "counts")
+    factors = materialize(normalize.size_factors(rows, "sample", "feature", "value"), "size-factors")
+    expected = materialize(normalize.expected_counts(rows, factors, "sample", "feature", "value"), "expected")
     fits = normalize.likelihood_dispersions(expected, "feature", factors.count())
     at = fits.select("feature", F.log("dispersion").alias("log_dispersion"), "converged")
     found = normalize.dispersion_likelihood(expected, at.drop("converged"), "feature")

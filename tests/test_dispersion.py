@@ -88,3 +88,34 @@ def test_stabilised_counts_tell_whether_the_trend_settled(spark):
         assert first.n == 600 and first.ok and first.low > 0
     with pytest.raises(ValueError):
         normalize.variance_stabilize(counts, "sample", "feature", "value", method="other")
+
+
+def _reads(spark, query):
+    """The rows of a query, and how often it made those of the count matrix."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows, _ = table(5)
+    source = spark.createDataFrame(rows, "sample int, feature string, value int").repartition(3).mapInArrow(count, "sample int, feature string, value int")
+    return query(source).collect(), made.value / len(rows)
+
+
+def test_the_count_matrix_is_made_once(spark, monkeypatch):
+    """What makes the counts is a join of the largest tables; passes over them must not repeat it."""
+    from cohortloom.plans import markers
+    from study import catalog_stats
+
+    people = spark.createDataFrame([(j, j % 2, j % 3, j / 7) for j in range(24)], "sample int, y int, batch int, age double")
+    found, times = _reads(spark, lambda d: markers.prepare_matrix(d, "sample", "feature", "value", people, "batch", ["age"], "counts")[0])
+    assert found and times == 1
+
+    def optimum(source):
+        monkeypatch.setattr(catalog_stats, "counts", lambda spark, folder: source)
+        return catalog_stats.dispersion_optimum(spark, "")
+
+    found, times = _reads(spark, optimum)
+    assert found and times == 1
