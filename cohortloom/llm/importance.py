@@ -151,15 +151,23 @@ def _last(inside: DataFrame, column: str, k: int) -> float:
     return value
 
 
-def select(scored: DataFrame, share: float, key: str = "doc_id", seed: int = 7) -> DataFrame:
-    """Gumbel top-k: add ``gumbel_key`` and ``kept``; k is ``share`` of the rows."""
+def _keyed(scored: DataFrame, key: str, seed: int) -> DataFrame:
     uniform = draws.uniform(seed, F.lit(0), F.col(key))
     noise = -F.log(-F.log((uniform * 4294967296.0 + 0.5) / 4294967296.0))
-    keyed = materialize(scored.withColumn("gumbel_key", F.col("log_weight") + noise), "importance-keys")
+    return scored.withColumn("gumbel_key", F.col("log_weight") + noise)
+
+
+def select(scored: DataFrame, share: float, key: str = "doc_id", seed: int = 7, wide: DataFrame | None = None) -> DataFrame:
+    """Gumbel top-k: add ``gumbel_key`` and ``kept``; k is ``share`` of the rows.
+
+    ``wide`` has the same rows with long columns: the bound is found on ``scored``, which is written, and
+    ``wide`` is judged by it without being written.
+    """
+    keyed = materialize(_keyed(scored, key, seed), "importance-keys")
     k = round(share * keyed.count())
     bound = kth_largest(keyed, "gumbel_key", k)
     kept = F.lit(k > 0) if bound is None else F.col("gumbel_key") >= F.lit(bound)
-    return keyed.withColumn("kept", kept)
+    return (keyed if wide is None else _keyed(wide, key, seed)).withColumn("kept", kept)
 
 
 def classify(docs: DataFrame, labels: DataFrame, good: Column, keep: Sequence[str] = ("doc_id",), key: str = "doc_id",
@@ -171,4 +179,7 @@ def classify(docs: DataFrame, labels: DataFrame, good: Column, keep: Sequence[st
     sample = materialize(label_sample(labels, good, key), "importance-labels")
     share = sample.agg(F.avg(F.col("_good").cast("double"))).first()[0]
     ratios = fit(docs, sample, key, text)
-    return select(score(docs, ratios, keep, text), 1.0 if share is None else share, key, seed)
+    scored, wide = score(docs, ratios, keep, text), None
+    if text in keep:  # texts are scored again rather than written
+        scored, wide = score(docs, ratios, [key], text), scored
+    return select(scored, 1.0 if share is None else share, key, seed, wide)

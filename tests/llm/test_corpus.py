@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cohortloom.functions import draws
 from cohortloom.llm import catalog, importance, unit_dedup
+from cohortloom.storage import materialize
 
 MEDIUM, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -170,6 +171,19 @@ def test_weights_against_plain_counts(spark):
     assert importance.features("x x")[2] == 0
 
 
+def test_kept_texts_are_not_written(spark, monkeypatch):
+    """Texts among the kept columns are judged like the rest, also where ids repeat or are missing, and written by the caller only."""
+    written = []
+    monkeypatch.setattr(importance, "materialize", lambda df, name="stage": written.append(df.columns) or materialize(df, name))
+    docs = [(1, "good words here"), (2, "good words there"), (2, "bad bad bad"), (None, "bad words"), (None, None), (5, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 0)], "doc_id long, quality int")
+    found = [importance.classify(frame, labels, F.col("quality") == 1, keep=keep) for keep in (["doc_id"], ["doc_id", "text"])]
+    own = [sorted(map(repr, f.select("doc_id", "n_features", "log_weight", "gumbel_key", "kept").collect())) for f in found]
+    assert own[0] == own[1] and len(own[0]) == len(docs)
+    assert written and not any("text" in columns for columns in written)
+
+
 def test_kept_documents_are_the_top_k_by_likelihood_ratio_and_noise(spark):
     """Both models, the weights, the noise and the k-th place, all by plain counts."""
     docs, labels = catalog.table(spark, SMALL, "documents"), catalog.table(spark, SMALL, "labels")
