@@ -23,7 +23,10 @@ Two documents link when 100 |x and y| >= 75 |x or y|, that is 7 |x and y| >= 3 (
 The parity bits of a set say for each of 256 buckets whether it holds an odd
 number of the set's shingles.  Every bucket in which two sets differ stands for
 at least one shingle that only one of them has, so their number is at most the
-size of the symmetric difference, which a link limits to (|x| + |y|) / 7.
+size of the symmetric difference, which a link limits to (|x| + |y|) / 7.  256
+buckets tell nothing once about as many shingles differ, so every class also keeps
+the parity of at least twice as many buckets as it has shingles.  These are
+compared pair by pair before any whole set is moved.
 
 In a family of near copies the shingles that all copies share come last in the
 order, so a copy with enough shingles of its own has none of the shared ones in
@@ -44,6 +47,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -63,6 +67,8 @@ HEAVY_SHARE = 1_000
 _LOCAL = 4
 PROPOSALS = 3
 _PARITIES = 256
+#: The prefix shingles are counted in so many passes, each over its own shingles, to halve what lies on disk at once.
+_PASSES = 2
 _BITS = ["b0", "b1", "b2", "b3"]
 _COUNTED_ROWS = 3_000
 _SLICE_ROWS = 512
@@ -77,6 +83,21 @@ def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(both[0::2]), pa.array(both[1::2])
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    """For each of at least 2n buckets, a power of two, whether it holds an odd number of the n shingles."""
+    size = max(_PARITIES, 1 << (2 * len(own) - 1).bit_length())
+    return (np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Buckets in which two packed parities differ; the longer one is folded to the buckets of the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Per document: size and digest of its set; besides, shingles that several documents of a task hold."""
     schema = T.StructType([T.StructField("heavy", T.BooleanType()), T.StructField("key", docs.schema[key].dataType)]
@@ -108,14 +129,14 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
-    """Digest, ordered long prefix, a second min-hash and the parity bits of every document with a set."""
+    """Digest, ordered long prefix, a second min-hash and the parities of every document with a set."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # HEAVY numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):
-                digests, prefixes, first, other, core, bits = [], [], [], [], [], []
+                digests, prefixes, first, other, core, bits, parity = [], [], [], [], [], [], []
                 for body in batch.slice(at, _SLICE_ROWS).column(0).to_pylist():
                     own = shingle_set(body)
                     n = len(own)
@@ -128,8 +149,9 @@ def _prefixes(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
                     first.append(int(own[:1].view(np.int64)[0]))
                     other.append(int(mixed(own).min().view(np.int64)))
                     core.append(4 * int(late.sum()) - 3 * n)
-                    odd = np.bincount((own & np.uint64(_PARITIES - 1)).astype(np.int64), minlength=_PARITIES) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    odd = _parity(own)
+                    bits.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, _PARITIES), axis=0)).view(np.int64))
+                    parity.append(np.packbits(odd).tobytes())
                 if digests:
                     high, low = _halves(digests)
                     ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
@@ -137,10 +159,10 @@ def _prefixes(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         high, low, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64))),
                         pa.array(first, pa.int64()), pa.array(other, pa.int64()), pa.array(core, pa.int64()),
-                        *[pa.array(parities[:, i]) for i in range(len(_BITS))]],
-                        names=["high", "low", "prefix", "first", "other", "core", *_BITS])
+                        *[pa.array(parities[:, i]) for i in range(len(_BITS))], pa.array(parity, pa.binary())],
+                        names=["high", "low", "prefix", "first", "other", "core", *_BITS, "parity"])
 
-    schema = "high long, low long, prefix array<long>, first long, other long, core long, " + ", ".join(f"{b} long" for b in _BITS)
+    schema = "high long, low long, prefix array<long>, first long, other long, core long, " + ", ".join(f"{b} long" for b in _BITS) + ", parity binary"
     return docs.select(F.col(text)).mapInArrow(run, schema)
 
 
@@ -160,14 +182,28 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([high, low, pa.array([s.tobytes() for s in sets], pa.binary())], names=["high", "low", "set"])
 
     found = chosen.select("text").mapInArrow(run, "high long, low long, set binary")
-    named = found.join(wanted.select("cid", "high", "low"), ["high", "low"])
     # rows with equal ids or copies may give a class's set more than once
-    return materialize(named.groupBy("cid").agg(F.first("set").alias("set")), "join-sets")
+    once = found.groupBy("high", "low").agg(F.first("set").alias("set"))
+    return materialize(once.join(wanted.select("cid", "high", "low"), ["high", "low"]).select("cid", "set"), "join-sets")
+
+
+def _alike(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose parities leave room for a link."""
+    left, right = (ends.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"_{c}")) for c in ("x", "y"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            room = [7 * _differing(np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)) <= n
+                    for a, b, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(room, pa.bool_()))
+
+    both = pairs.join(right, "y").join(left, "x").select("x", "y", "_x", "_y", (F.col("nx") + F.col("ny")).alias("_n"))
+    return both.mapInArrow(run, "x long, y long")
 
-def _checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFrame:
+
+def _checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, ends: DataFrame) -> DataFrame:
     """The pairs (x, y) that link, by the intersection of their whole sets."""
-    pairs = materialize(pairs.select("x", "y"), "join-pairs")
+    pairs = materialize(_alike(pairs, ends), "join-pairs")
     nodes = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
     wanted = materialize(classes.join(nodes, "cid", "left_semi"), "join-wanted")
     sets = _sets(docs, key, text, wanted)
@@ -184,7 +220,8 @@ def _checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: Da
             yield chosen
 
     links = materialize(pairs.join(right, "y").join(left, "x").select("x", "y", "_a", "_b").mapInArrow(run, "x long, y long"), "join-links")
-    discard(sets)
+    for table in (sets, wanted, pairs):
+        discard(table)
     return links
 
 
@@ -320,17 +357,27 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         members.groupBy("high", "low").agg(F.max("n").alias("n"), first.alias("first"), F.count(F.lit(1)).alias("copies"))
         .withColumns({"cid": F.monotonically_increasing_id(), "_none": F.col("first").isNull(),
                       "_id": F.coalesce(F.col("first").cast("string"), F.lit(""))}), "join-classes")
-    once = _prefixes(docs, text, heavy).groupBy("high", "low").agg(*[F.first(c).alias(c) for c in ("prefix", "first", "other", "core", *_BITS)])
+    once = _prefixes(docs, text, heavy).groupBy("high", "low").agg(*[F.first(c).alias(c) for c in ("prefix", "first", "other", "core", *_BITS, "parity")])
     named = materialize(once.join(classes.select("high", "low", "cid", "n"), ["high", "low"]).drop("high", "low"), "join-prefixes")
-    ends = materialize(named.select("cid", "n", "first", "other", "core", *_BITS), "join-ends")
+    ends = materialize(named.select("cid", "n", "first", "other", "core", *_BITS, "parity"), "join-ends")
     tokens = named.select("cid", F.posexplode("prefix").alias("at", "token"))
-    shared = materialize(number_rows(tokens, ["token"], ["cid"], "_row", total="df").where("df > 1").select("token", "cid", "at"), "join-tokens")
+    passes = [
+        materialize(
+            number_rows(tokens.where(F.pmod("token", F.lit(_PASSES)) == i), ["token"], ["cid"], "_row", total="df")
+            .where("df > 1").select("token", "cid", "at"), "join-tokens")
+        for i in range(_PASSES)]
     discard(named)
+    shared = functools.reduce(DataFrame.unionByName, passes)
     entries = materialize(shared.withColumn("at", F.col("at") + 1).join(ends.select("cid", "n", "first", "other", "core"), "cid"), "join-entries")
-    discard(shared)
-    links = _checked(_proposals(entries), docs, key, text, classes)
+    for table in passes:
+        discard(table)
+    proposed = materialize(_proposals(entries), "join-proposed")
+    links = _checked(proposed, docs, key, text, classes, ends)
+    discard(proposed)
     groups = components(links).withColumnRenamed("node", "cid")
-    more = _checked(_open_groups(entries, groups, ends), docs, key, text, classes)
+    candidates = _open_groups(entries, groups, ends)
+    more = _checked(candidates, docs, key, text, classes, ends)
+    discard(candidates)
     # only links between groups are left to follow, so the groups are the nodes
     for c in ("x", "y"):
         more = more.join(groups.select(F.col("cid").alias(c), F.col("component").alias("_group")), c, "left").withColumn(

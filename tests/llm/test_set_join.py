@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cohortloom.llm import set_join
@@ -171,3 +172,37 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     whole = shingle_set(text)
     monkeypatch.setattr(shingles, "_PIECE", 97)
     assert (shingle_set(text) == whole).all() and len(whole) == 4997
+
+
+def test_parities_bound_the_difference_and_part_long_sets():
+    rnd = np.random.default_rng(5)
+    for n, m in [(3, 3), (200, 240), (900, 1100), (1000, 1000), (2100, 1700)]:
+        common = min(n, m) // 2
+        pool = rnd.integers(0, 1 << 63, n + m - common, dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, n + m - common, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(pool[n - common :])
+        apart = set_join._differing(*(np.packbits(set_join._parity(x)) for x in (a, b)))
+        assert apart <= len(np.setxor1d(a, b))
+        assert apart == set_join._differing(*(np.packbits(set_join._parity(x)) for x in (b, a)))
+        if n >= 200:  # half of each set differs, a link allows a seventh of both
+            assert 7 * apart > n + m
+
+
+def test_whole_sets_are_moved_for_pairs_that_parities_leave(spark, monkeypatch):
+    """Texts of 1,000 words that share 70 % are candidates, but no set of theirs is compared."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    base = [word() for _ in range(1000)]
+    rows = [(i, " ".join(base[:700] + [word() for _ in range(300)]), "x", "y") for i in range(6)]
+    rows += [(10 + i, " ".join(base[:990] + [word() for _ in range(10)]), "x", "y") for i in range(2)]
+    compared = []
+    plain = set_join._sets
+    monkeypatch.setattr(set_join, "_sets", lambda *x: (compared.append(x[-1].count()), plain(*x))[1])
+    assert answer(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    assert sum(compared) <= 4
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_passes_over_the_shingles_do_not_change_links(spark, monkeypatch, passes):
+    rows = noisy(4)
+    monkeypatch.setattr(set_join, "_PASSES", passes)
+    assert answer(spark.createDataFrame(rows, SCHEMA).repartition(2)) == brute(rows)
