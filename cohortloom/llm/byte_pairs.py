@@ -112,6 +112,10 @@ class Encoder:
             memo.clear()
         return b"".join(map(memo.__getitem__, _PIECES.findall(text)))
 
+    def forget(self) -> None:
+        """Free the memo; a worker that Spark keeps for other tasks would hold it until it ends."""
+        self.memo.clear()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

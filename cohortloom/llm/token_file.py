@@ -22,6 +22,7 @@ table gives files without blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from cohortloom.llm import rans
 from cohortloom.llm.byte_pairs import encoder
 from cohortloom.llm.common import join_small
-from cohortloom.storage import scratch_path
+from cohortloom.storage import discard, scratch_path
 
 BLOCK_TOKENS = 1 << 19
-LANES = 512
-EVERY = 256
+LANES = 2048
+EVERY = 64
 END_ID = 0
 _SLICE_ROWS = 512
 
@@ -50,11 +51,16 @@ def tokenise(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = encoder(tokenizer)
         end = np.array([end_id], dtype=worker.dtype).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE_ROWS):
-                part = batch.slice(at, _SLICE_ROWS)
-                ids = [worker.encode(x) + end if x else end for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+        gc.disable()  # nothing here makes cycles, and each full collection goes through the whole memo
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, _SLICE_ROWS):
+                    part = batch.slice(at, _SLICE_ROWS)
+                    ids = [worker.encode(x) + end if x else end for x in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+        finally:
+            gc.enable()
+            worker.forget()
 
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.BinaryType())])
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -147,6 +153,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     order = [F.asc_nulls_first("key"), F.asc("_tie"), F.asc("ids")]
     ordered = tied.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("key", "ids")
     _encode_blocks(ordered, table, dtype).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(ids)
     shards = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
     # one row per shard, which is one per range partition
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)

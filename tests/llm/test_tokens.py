@@ -1,6 +1,8 @@
+import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -127,3 +129,23 @@ def test_counts_against_the_library(spark, odd):
     assert token_counts.count(odd.where("false"), "piece_bpe_32k.model").count() == 0
     clash = odd.withColumn("n_tokens", odd.start)
     assert token_counts.count(clash, "piece_bpe_32k.model", keep=["doc_id", "n_tokens"]).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+def test_memo_goes_with_its_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some text, some more")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run, own = token_file.tokenise(docs, "byte_bpe_50k.json"), encoder("byte_bpe_50k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text, some more"])], names=["key", "text"])
+    out = list(run(iter([batch])))
+    assert [np.frombuffer(b["ids"][0].as_py(), own.dtype).tolist()[:-1] for b in out] == [
+        own.memo.encode("some text, some more", add_special_tokens=False).ids]
+    assert not own.memo
+
+
+def test_written_file_leaves_no_second_copy_of_the_ids(spark, odd):
+    from cohortloom.storage import shared_folder
+
+    before = set(os.listdir(shared_folder(spark).removeprefix("file://")))
+    token_file.write(odd, token_file.default_path(spark), "byte_bpe_50k.json")
+    new = set(os.listdir(shared_folder(spark).removeprefix("file://"))) - before
+    assert [x.rsplit("-", 1)[0] for x in new] == ["token-file"]
