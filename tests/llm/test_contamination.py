@@ -104,3 +104,14 @@ def test_spans_and_documents_go_by_length_and_coverage(spark):
     short = contamination.decontaminate(frame.where("doc_id = 4"), bench, min_span=1).first()
     assert " ".join(short.text.split()) == f"{own} {own}"
     assert contamination.decontaminate(frame.where("false"), bench).count() == 0
+
+
+def test_one_block_is_walked_once_by_one_worker(spark):
+    """Cutting goes with the walk: texts are read once, and a task needs one Python worker."""
+    item = " ".join(f"q{i}" for i in range(20))
+    own = " ".join(f"own{i}" for i in range(600))
+    frame = spark.createDataFrame([(1, f"{own}. {item}, {own}"), (2, item), (3, None)], "doc_id long, text string")
+    got = contamination.decontaminate(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert sorted(map(tuple, got.collect())) == [(1, f"{own}. , {own}"), (3, None)]
