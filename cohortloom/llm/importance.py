@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortloom.functions import draws
 from cohortloom.llm.shingles import term_hashes
-from cohortloom.storage import materialize
+from cohortloom.storage import bounded_batches, materialize
 
 BUCKETS = 1 << 15
 MAX_LABELS = 200_000
@@ -176,6 +176,11 @@ def classify(docs: DataFrame, labels: DataFrame, good: Column, keep: Sequence[st
 
     ``keep`` holds ``key``; a kept column with a result's name gives way to it.
     """
+    with bounded_batches(docs.sparkSession):
+        return _classify(docs, labels, good, keep, key, text, seed)
+
+
+def _classify(docs: DataFrame, labels: DataFrame, good: Column, keep: Sequence[str], key: str, text: str, seed: int) -> DataFrame:
     sample = materialize(label_sample(labels, good, key), "importance-labels")
     share = sample.agg(F.avg(F.col("_good").cast("double"))).first()[0]
     ratios = fit(docs, sample, key, text)

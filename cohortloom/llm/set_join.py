@@ -59,7 +59,7 @@ from cohortloom.llm.common import BROADCAST_ROWS, join_small, join_weighted
 from cohortloom.llm.components import components
 from cohortloom.llm.shingles import mixed, shingle_set
 from cohortloom.operators.ranks import SLICE, number_rows, slice_groups
-from cohortloom.storage import discard, materialize
+from cohortloom.storage import bounded_batches, discard, materialize
 
 HEAVY = 1 << 16
 #: A shingle is held last if it was seen in at least one of so many documents.
@@ -107,8 +107,18 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in (b.slice(i, _COUNTED_ROWS) for b in batches for i in range(0, b.num_rows, _COUNTED_ROWS)):
-            held: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= max(_LOCAL, len(held) // HEAVY_SHARE)
+            tokens, counts = tokens[often].view(np.int64), counts[often]
+            if len(tokens):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([True] * len(tokens)), pa.nulls(len(tokens), arrow.field(1).type),
+                    pa.array(counts.astype(np.int64)), pa.array(tokens), pa.nulls(len(tokens), pa.int64())], schema=arrow)
+
+        for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(at, _SLICE_ROWS)
                 sets = [shingle_set(t) for t in part.column(1).to_pylist()]
@@ -117,13 +127,11 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([False] * len(sets)), part.column(0).cast(arrow.field(1).type),
                     pa.array([len(s) for s in sets], pa.int64()), high, low], schema=arrow)
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(_LOCAL, batch.num_rows // HEAVY_SHARE)
-            tokens, counts = tokens[often].view(np.int64), counts[often]
-            if len(tokens):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([True] * len(tokens)), pa.nulls(len(tokens), arrow.field(1).type),
-                    pa.array(counts.astype(np.int64)), pa.array(tokens), pa.nulls(len(tokens), pa.int64())], schema=arrow)
+                if len(held) >= _COUNTED_ROWS:
+                    yield from seen()
+                    held.clear()
+        if held:
+            yield from seen()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
@@ -346,6 +354,11 @@ def _qualifying(met: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` and ``class_size`` (documents with the same set) of every row."""
+    with bounded_batches(docs.sparkSession):
+        return _link_components(docs, key, text)
+
+
+def _link_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     seen = materialize(_signatures(docs, key, text), "join-signatures")
     members = seen.where(~F.col("heavy")).select("key", "n", "high", "low")
     counted = seen.where("heavy").groupBy("high").agg(F.sum("n").alias("n"))

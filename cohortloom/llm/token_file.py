@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from cohortloom.llm import rans
 from cohortloom.llm.byte_pairs import encoder
 from cohortloom.llm.common import join_small
-from cohortloom.storage import discard, scratch_path
+from cohortloom.storage import bounded_batches, discard, scratch_path
 
 BLOCK_TOKENS = 1 << 19
 LANES = 2048
@@ -136,6 +136,11 @@ def _encode_blocks(ordered: DataFrame, table: rans.Table, dtype: str) -> DataFra
 
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
     """Tokenise ``docs`` and write them in key order below ``path``."""
+    with bounded_batches(docs.sparkSession):
+        _write(docs, path, tokenizer, key, text, end_id)
+
+
+def _write(docs: DataFrame, path: str, tokenizer: str, key: str, text: str, end_id: int) -> None:
     spark = docs.sparkSession
     dtype = encoder(tokenizer).dtype
     scratch = scratch_path(spark, "token-ids")
