@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cohortloom.llm.common import join_small
 from cohortloom.llm.shingles import hash_runs, mixed
 from cohortloom.operators.ranks import number_rows
-from cohortloom.storage import materialize
+from cohortloom.storage import bounded_batches, materialize
 
 LEAST = 10
 TOP = 2000
@@ -281,6 +281,11 @@ def _in_reach(found: DataFrame, top: int) -> DataFrame:
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, subsumed: int = SUBSUMED) -> DataFrame:
     """The first ``top`` phrases of every language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``."""
+    with bounded_batches(docs.sparkSession):
+        return _mine(docs, text, lang, least, top, subsumed)
+
+
+def _mine(docs: DataFrame, text: str, lang: str, least: int, top: int, subsumed: int) -> DataFrame:
     seed = 0
     while True:
         vocabulary = materialize(words(docs, text, lang, seed), "phrase-words")

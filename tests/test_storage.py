@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom import storage
-from cohortloom.llm import importance, set_join, token_file
+from cohortloom.llm import collocations, importance, set_join, token_file
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -34,7 +34,7 @@ def test_batches_are_bounded_and_the_setting_comes_back(spark):
         spark.conf.unset(KEY)
 
 
-@pytest.mark.parametrize("module,step", [(set_join, "_signatures"),
+@pytest.mark.parametrize("module,step", [(collocations, "words"), (collocations, "stripes"), (set_join, "_signatures"),
                                          (set_join, "_sets"), (importance, "fit"), (token_file, "tokenise")])
 def test_text_operators_bound_their_batches(spark, monkeypatch, tmp_path, module, step):
     docs = spark.createDataFrame([(i, f"some words {i} and more words of a text", "en") for i in range(6)], "doc_id long, text string, lang string")
@@ -46,7 +46,7 @@ def test_text_operators_bound_their_batches(spark, monkeypatch, tmp_path, module
         return plain(df, *args, **more)
 
     monkeypatch.setattr(module, step, watched)
-    {set_join: lambda: set_join.link_components(docs),
+    {collocations: lambda: collocations.mine(docs, least=1), set_join: lambda: set_join.link_components(docs),
      importance: lambda: importance.classify(docs, labels, F.col("quality") == 1),
      token_file: lambda: token_file.write(docs, str(tmp_path / "file"), "byte_bpe_50k.json")}[module]()
     assert found and set(found) == {str(storage.BATCH_BYTES)}
