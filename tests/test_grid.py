@@ -55,3 +55,30 @@ def test_visits_go_to_few_blocks():
     for i, at in enumerate(near):
         d = ((v - v[i]) ** 2).sum(axis=1)
         assert set(np.argsort(d)[:4]) <= set(at) and len(at) < 10
+
+
+def test_written_matrix_is_small(spark, tmp_path):
+    """The cells of a task come in an order that a columnar writer can fold."""
+    df = spark.range(3000).select((F.col("id") % 300).alias("s"), F.concat(F.lit("feature "), F.col("id").cast("string")).alias("f"), F.lit(2.0).alias("v"))
+    tables.complete_grid(df, "s", "f", "v").write.parquet(str(tmp_path / "grid"))
+    size = sum(p.stat().st_size for p in (tmp_path / "grid").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "grid")).count() == 900_000
+    assert size < 0.6 * 900_000
+
+
+def test_columns_of_each_cell(spark):
+    """What depends on the value is computed once for all absent cells of a row in a block, with the same result."""
+    rows = [("a", "x", 1.0), ("a", "y", None), ("b", "x", 2.0), ("b", "x", 3.0), (None, "x", 4.0), ("c", None, 5.0), ("d", "z", 6.0)]
+    df = spark.createDataFrame(rows, "s string, f string, v double")
+    shifted = lambda cells: cells.withColumn("w", F.col("v") + 1).withColumn("u", F.col("v").isNull())
+    got = tables.complete_grid(df, "s", "f", "v", each=shifted)
+    want = shifted(tables.complete_grid(df, "s", "f", "v"))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_many_held_cells_in_a_tile(spark):
+    df = spark.range(1200).where("id % 3 <> 1").select(F.lit("r").alias("s"), F.col("id").alias("f"), F.lit(1.0).alias("v"))
+    wide = spark.range(1200).select(F.col("id").alias("f"))
+    got = tables.complete_grid(df, "s", "f", "v", features=wide).orderBy("f").toPandas()
+    assert got.f.tolist() == list(range(1200)) and got.v.tolist() == [float(i % 3 != 1) for i in range(1200)]
