@@ -8,7 +8,8 @@ Spark adds up what the tasks return.  The draws are those of ``functions.draws``
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,27 @@ from cohortloom.storage import materialize
 
 ROWS_PER_TASK = 16384
 #: Outcomes a task holds at once.
-OUTCOMES = 1_000_000
+OUTCOMES = 1 << 23
 _HELD = 1 << 22  # numbers a task keeps before it hands them on
 _ROWS_AT_ONCE = 256
 _KEYS_AT_ONCE = 4096
 _WEIGHTS_HELD = 1 << 24  # pairs of weights a task unpacks at once
 _STRETCH = 256
 _LEAST_ROWS = 512
+_DRAWN_AT_ONCE = 32768  # digests
+_ROWS_IN_PRODUCT = 4096
+_PERMUTED_PER_TASK = 1 << 17
+_PERMUTED_AT_ONCE = 8192
+_TERMS = 400  # sums of a power series at most
+_SUMS_IN_ROW = 40
 
 
-def _dealt(rows: DataFrame, name: str, by: str) -> DataFrame:
-    """``rows``, written once and spread over tasks of ``ROWS_PER_TASK`` rows, or fewer if some would be idle."""
+def _dealt(rows: DataFrame, name: str, by: str, most: int = ROWS_PER_TASK) -> DataFrame:
+    """``rows``, written once and spread over tasks of ``most`` rows, or fewer if some would be idle."""
     stored = materialize(rows, name)
     size = stored.count()
     cores = min(stored.sparkSession.sparkContext.defaultParallelism, -(-size // _LEAST_ROWS))
-    return stored.repartition(max(1, cores, -(-size // ROWS_PER_TASK)), by)
+    return stored.repartition(max(1, cores, -(-size // most)), by)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -65,7 +72,7 @@ def _key_draws(column: pa.ChunkedArray, seed: int, blocks: np.ndarray) -> Iterat
         at = np.flatnonzero(sizes == size)
         parts.append((at, np.frombuffer(b"".join(texts[i] for i in at), np.uint8).reshape(len(at), size)))
     digits = np.array([len(str(block)) for block in blocks])
-    step, four = max(1, ROWS_PER_TASK // max(len(texts), len(place))), draws.DRAWS_PER_DIGEST
+    step, four = max(1, _DRAWN_AT_ONCE // max(len(texts), len(place))), draws.DRAWS_PER_DIGEST
     first = 0
     while first < len(blocks):
         last = min(first + step, int(np.searchsorted(digits, digits[first], side="right")))
@@ -88,10 +95,23 @@ def bootstrap_sums(df: DataFrame, n: int, seed: int, key: Sequence[str], values:
     rows = _dealt(df.select(
         *[F.col(c).alias(g) for c, g in zip(by, groups)], draws.key_text(*[F.col(k) for k in key]).alias("_key"),
         F.array(F.lit(1.0), *[values[c].cast("double") for c in names]).alias("_v")), "bootstrap-rows", "_key")
+    added = _weighted_sums(rows, groups, n, seed, width, lambda chunk: _matrix(chunk["_v"], width))
+    return added.select(*[F.col(g).alias(c) for c, g in zip(by, groups)], F.col("_b").alias(replicate), F.col("_s0").alias("n"),
+                        *[F.col(f"_s{i + 1}").alias(c) for i, c in enumerate(names)])
+
+
+def _weighted_sums(rows: DataFrame, groups: Sequence[str], n: int, seed: int, width: int,
+                   values_of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """``groups``, ``_b`` and the sums ``_s0``, ``_s1``, ... over dealt rows, by the weights drawn for ``_key``, of what ``values_of`` makes of them.
+
+    The first of the ``width`` values of a row is 1.  More than ``_SUMS_IN_ROW`` sums are cut into rows of so many, numbered by ``_part``.
+    """
+    across = min(width, _SUMS_IN_ROW)
+    cuts = range(0, width, across)
     blocks = -(-n // draws.DRAWS_PER_DIGEST)
     most = max(1, _HELD // (n * width))  # groups held at once
-    schema = T.StructType([*[rows.schema[g] for g in groups], T.StructField("_b", T.IntegerType()),
-                           *[T.StructField(f"_s{i}", T.DoubleType()) for i in range(width)]])
+    schema = T.StructType([*[rows.schema[g] for g in groups], T.StructField("_b", T.IntegerType()), T.StructField("_part", T.IntegerType()),
+                           *[T.StructField(f"_s{i}", T.DoubleType()) for i in range(across)]])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
@@ -100,14 +120,16 @@ def bootstrap_sums(df: DataFrame, n: int, seed: int, key: Sequence[str], values:
         def emit() -> Iterator[pa.RecordBatch]:
             for group, total in held.items():
                 b = np.flatnonzero(total[:n, 0] > 0)
-                columns = [pa.array([v] * len(b), kind) for v, kind in zip(group, kinds)]
-                columns += [pa.array(b.astype(np.int32)), *[pa.array(total[b, i]) for i in range(width)]]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                labels = [pa.array([v] * len(b), kind) for v, kind in zip(group, kinds)]
+                for part, first in enumerate(cuts):
+                    columns = [pa.array(b.astype(np.int32)), pa.array(np.full(len(b), part, np.int32))]
+                    columns += [pa.array(total[b, i] if i < width else np.zeros(len(b))) for i in range(first, first + across)]
+                    yield pa.RecordBatch.from_arrays([*labels, *columns], names=schema.names)
             held.clear()
 
-        for chunk in _chunks(batches, ROWS_PER_TASK):
+        for chunk in _chunks(batches, ROWS_PER_TASK if groups else _ROWS_IN_PRODUCT):
             kinds = [chunk.schema.field(g).type for g in groups]
-            v = _matrix(chunk["_v"], width)
+            v = values_of(chunk)
             known: dict[tuple, int] = {}
             columns = [chunk[g].to_pylist() for g in groups]
             code = np.array([known.setdefault(g, len(known)) for g in zip(*columns)] if groups else [known.setdefault((), 0)] * len(v))
@@ -134,13 +156,12 @@ def bootstrap_sums(df: DataFrame, n: int, seed: int, key: Sequence[str], values:
                         held[label] += found
                     else:
                         held[label] = found
-                if len(held) >= most:
+                if groups and len(held) >= most:
                     yield from emit()
         yield from emit()
 
-    added = rows.mapInArrow(sums, schema).groupBy(*groups, "_b").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width)])
-    return added.select(*[F.col(g).alias(c) for c, g in zip(by, groups)], F.col("_b").alias(replicate), F.col("_s0").alias("n"),
-                        *[F.col(f"_s{i + 1}").alias(c) for i, c in enumerate(names)])
+    keys = [*groups, "_b", *(["_part"] if len(cuts) > 1 else [])]
+    return rows.mapInArrow(sums, schema).groupBy(*keys).agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(across)])
 
 
 def bootstrap_moments(df: DataFrame, n: int, seed: int, key: Sequence[str], columns: Sequence[str],
@@ -152,6 +173,15 @@ def bootstrap_moments(df: DataFrame, n: int, seed: int, key: Sequence[str], colu
     return linmod.moments_of_sums(sums, [*by, replicate], columns)
 
 
+def _smallest(values: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as hold them exactly."""
+    for kind in (np.int8, np.float32):
+        with np.errstate(all="ignore"):
+            if (values.astype(kind) == values).all():
+                return values.astype(kind)
+    return values
+
+
 def permuted_moments(df: DataFrame, n: int, seed: int, key: Sequence[str], outcome: str, columns: Sequence[str],
                      replicate: str = "b") -> DataFrame:
     """Moments of ``resample.permuted_outcome`` by replicate, as ``linmod.weighted_moments`` has them.
@@ -165,7 +195,7 @@ def permuted_moments(df: DataFrame, n: int, seed: int, key: Sequence[str], outco
         (F.col("_position") - 1).cast("long").alias("_at"), *[F.col(c).cast("double").alias(c) for c in names]), "permutation-rows")
     size, width = numbered.count(), len(columns) + 1
     pairs = list(itertools.combinations_with_replacement(range(width), 2))
-    rows = _dealt(numbered.dropna(subset=list(columns)).select("_at", F.array(F.lit(1.0), *columns).alias("_x")), "permutation-columns", "_at")
+    rows = _dealt(numbered.dropna(subset=list(columns)).select("_at", F.array(F.lit(1.0), *columns).alias("_x")), "permutation-columns", "_at", _PERMUTED_PER_TASK)
     keys = [[int(w) for i in range(-(-draws.ROUNDS // draws.DRAWS_PER_DIGEST))
              for w in draws.digest_words(seed, [b * 2 + i], np.zeros((1, 0), np.uint8))[0, :, 0]] for b in range(n)]
     fields = ["n", f"s_{outcome}", f"s_{outcome}|{outcome}", *[f"s_{c}" for c in columns], *[f"s_{outcome}|{c}" for c in columns],
@@ -177,28 +207,32 @@ def permuted_moments(df: DataFrame, n: int, seed: int, key: Sequence[str], outco
         table = numbered.where((F.col("_at") >= low) & (F.col("_at") < high)).select("_at", outcome).toArrow()
         found = np.full(high - low, np.nan)
         found[table["_at"].to_numpy() - low] = table[outcome].to_numpy()  # NULL is NaN: neither takes part
-        held = spark.sparkContext.broadcast(found)
+        whole_part, known_all = high - low == size, not np.isnan(found).any()
+        held = spark.sparkContext.broadcast(_smallest(found))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             outcomes, total = held.value, np.zeros((n, len(fields)))
-            for chunk in _chunks(batches, ROWS_PER_TASK):
-                places, x = chunk["_at"].to_numpy(), _matrix(chunk["_x"], width)
+            for chunk in _chunks(batches, _PERMUTED_PER_TASK):
+                places, x = draws.Places(chunk["_at"].to_numpy(), size), _matrix(chunk["_x"], width)
                 fixed = np.column_stack([x, *[x[:, i] * x[:, j] for i, j in products]])
-                whole = fixed.sum(axis=0)
+                parts = [slice(first, first + _PERMUTED_AT_ONCE) for first in range(0, len(x), _PERMUTED_AT_ONCE)]
+                parts = [(part, np.ascontiguousarray(x[part].T), fixed[part].sum(axis=0)) for part in parts]
                 for b in range(n):
-                    at = draws.permuted_places(places, keys[b], size)
-                    if high - low < size:
-                        at = np.where((at >= low) & (at < high), at - low, -1)
-                        y = np.where(at < 0, np.nan, outcomes[at])
-                    else:
-                        y = outcomes[at]
-                    ok = ~np.isnan(y)
-                    every = ok.all()
-                    if not every:
-                        y = y[ok]
-                    known = whole if every else fixed[ok].sum(axis=0)
-                    crossed = y @ (x if every else x[ok])
-                    total[b] += np.concatenate([known[:1], crossed[:1], [y @ y], known[1:width], crossed[1:], known[width:]])
+                    tables = places.tables(keys[b])
+                    for part, columns_of, known in parts:
+                        at = places.sent(tables, part)
+                        if whole_part:
+                            y = outcomes.take(at).astype(float, copy=False)
+                        else:
+                            at = np.where((at >= low) & (at < high), at - low, -1)
+                            y = np.where(at < 0, np.nan, outcomes[at])
+                        xs = columns_of
+                        if not (whole_part and known_all):
+                            ok = ~np.isnan(y)
+                            if not ok.all():
+                                y, xs, known = y[ok], columns_of[:, ok], fixed[part][ok].sum(axis=0)
+                        crossed = xs @ y
+                        total[b] += np.concatenate([known[:1], crossed[:1], [y @ y], known[1:width], crossed[1:], known[width:]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), *[pa.array(total[:, i]) for i in range(len(fields))]], names=schema.names)
 
         out = materialize(rows.mapInArrow(sums, schema).groupBy("_b").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(fields))]), "permutation-sums")
@@ -214,22 +248,15 @@ def permuted_moments(df: DataFrame, n: int, seed: int, key: Sequence[str], outco
     return linmod.moments_of_sums(added.select(F.col("_b").alias(replicate), *[F.col(f"_s{i}").alias(c) for i, c in enumerate(fields)]), [replicate], names)
 
 
-def _logistic_fits(rows: DataFrame, scores: DataFrame, seed: int | None, xs: Sequence[str], replicate: str,
-                   rounds: int = 100, tol: float = 1e-8) -> DataFrame:
-    """Logistic fits of all replicates in lock-step: one pass over the rows a round.
+def _logistic_rounds(rows: DataFrame, width: int, p: int, seed: int | None, label: np.ndarray, size: np.ndarray, outcome: np.ndarray | None,
+                     rounds: int = 100, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, last steps and standard errors of logistic fits in lock-step: one pass over the rows a round.
 
-    ``scores``: a row per replicate with its weight ``n``.  With a ``seed``, ``rows`` are ``_key``,
-    ``_x`` (regressors and outcome) and weigh as it draws.  Without, they are ``_x`` (regressors)
-    and weigh one each, and ``scores`` has ``_g``, the sums of outcome times regressor.  The
-    driver holds one small row per replicate.
+    ``rows`` have ``_x``, ``width`` numbers of which the first ``p`` are the regressors.  With a ``seed`` the
+    outcome is the next one, and rows weigh as it draws for ``_key`` in the replicates ``label``.  Without, they
+    weigh one each, and ``outcome`` has the sums of outcome times regressor.
     """
-    terms = [linmod.INTERCEPT, *xs]
-    p = len(terms)
     pairs = list(itertools.combinations_with_replacement(range(p), 2))
-    found = scores.select(replicate, "n", *(["_g"] if seed is None else [])).collect()  # one row per replicate
-    label = np.array([r[0] for r in found], dtype=np.int64)
-    size = np.array([r[1] for r in found], dtype=float)
-    outcome = np.array([r[2] for r in found], dtype=float).reshape(-1, p) if seed is None else None
     coefficients, running = np.zeros((len(label), p)), np.arange(len(label))
     step, errors = np.full(len(label), np.inf), np.full((len(label), p), np.nan)
     schema = T.StructType([T.StructField("_r", T.IntegerType()), *[T.StructField(f"_s{i}", T.DoubleType()) for i in range(len(pairs) + p)]])
@@ -243,7 +270,7 @@ def _logistic_fits(rows: DataFrame, scores: DataFrame, seed: int | None, xs: Seq
             wanted = np.unique(drawn // draws.DRAWS_PER_DIGEST)
             place = np.searchsorted(wanted, drawn // draws.DRAWS_PER_DIGEST) * draws.DRAWS_PER_DIGEST + drawn % draws.DRAWS_PER_DIGEST
             for chunk in _chunks(batches, ROWS_PER_TASK // 2):
-                x = _matrix(chunk["_x"], p if seed is None else p + 1)
+                x = _matrix(chunk["_x"], width)[:, :p + (seed is not None)]
                 weights = None
                 if seed is not None:
                     x, y = x[:, :p], x[:, p:]
@@ -288,30 +315,209 @@ def _logistic_fits(rows: DataFrame, scores: DataFrame, seed: int | None, xs: Seq
             with np.errstate(invalid="ignore"):
                 step[b], errors[b] = np.abs(moved).max(), np.sqrt(np.diag(inverse))
         running = running[(step[running] > tol) & (step[running] < 1e3)]
+    return coefficients, step, errors
+
+
+# ---- fits near one fit -----------------------------------------------------------
+
+class _Expansion:
+    """Sums from which the score of logistic fits near the coefficients ``beta`` follows, as a power series.
+
+    Regressors are brought to -1 .. 1 (less ``middle``, by ``half``), so a row's linear predictor moves by at most the sum
+    d of the absolute changes of the coefficients of these.  The score of all rows is then a polynomial in the changes
+    whose coefficients are sums over the rows; what is left out is at most ``rest`` * d^(``order`` + 1) a row.
+    """
+
+    def __init__(self, beta: np.ndarray, middle: np.ndarray, half: np.ndarray, order: int):
+        self.p, self.beta, self.middle, self.half, self.order = len(beta), beta, middle, half, order
+        self.back = np.diag(1 / half)  # changes of these regressors' coefficients to those of the given ones
+        self.back[0, 1:] = -middle[1:] / half[1:]
+        self.powers = [list(itertools.combinations_with_replacement(range(self.p), k)) for k in range(order + 2)]
+        self.place = {m: i for some in self.powers[1:] for i, m in enumerate(some)}
+        self.starts = np.cumsum([1 + self.p, *[len(m) for m in self.powers[1:]]])
+        self.width = int(self.starts[-1])
+        self.rest = self.largest(order + 1)
+
+    @staticmethod
+    def coefficients(eta: np.ndarray, order: int) -> list[np.ndarray]:
+        """Of the power series of the logistic function about ``eta``."""
+        with np.errstate(over="ignore"):
+            out = [1 / (1 + np.exp(-eta))]
+        for k in range(order):
+            out.append((out[k] - sum(out[i] * out[k - i] for i in range(k + 1))) / (k + 1))
+        return out
+
+    @staticmethod
+    def largest(order: int) -> float:
+        """The largest such coefficient anywhere."""
+        return 1.01 * float(np.abs(_Expansion.coefficients(np.linspace(-40, 40, 80_001), order)[order]).max())
+
+    def terms(self, x: np.ndarray, y: np.ndarray | None) -> np.ndarray:
+        """1, the scaled regressors times the outcome, and the terms of the score, of each row."""
+        z = ((x - self.middle) / self.half).T
+        z[0] = 1
+        series = self.coefficients(x @ self.beta, self.order)
+        out = np.empty((self.width, len(x)))
+        out[0] = 1
+        out[1:1 + self.p] = 0 if y is None else z * y
+        known = {(): np.ones(len(x))}
+        for k in range(self.order + 1):
+            known = {m: known[m[:-1]] * z[m[-1]] if m[-1] else known[m[:-1]] for m in self.powers[k + 1]}
+            for i, m in enumerate(self.powers[k + 1]):
+                np.multiply(known[m], series[k], out=out[self.starts[k] + i])
+        return out.T
+
+    def _moment(self, sums: np.ndarray, power: tuple[int, ...]) -> np.ndarray:
+        return sums[:, self.starts[len(power) - 1] + self.place[tuple(sorted(power))]]
+
+    def score(self, sums: np.ndarray, target: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score and the information of all fits at the changes ``moved``."""
+        score, info = target.copy(), np.zeros((len(moved), self.p, self.p))
+        for k in range(self.order + 1):
+            for m in self.powers[k]:
+                ways = math.factorial(k) / math.prod(math.factorial(m.count(i)) for i in set(m))
+                by = ways * moved[:, list(m)].prod(axis=1)
+                for j in range(self.p):
+                    score[:, j] -= by * self._moment(sums, (*m, j))
+                    if k < self.order:
+                        for other in range(j, self.p):
+                            info[:, j, other] += (k + 1) * by * self._moment(sums, (*m, j, other))
+        lower = np.tril_indices(self.p, -1)
+        info[:, lower[0], lower[1]] = info[:, lower[1], lower[0]]
+        return score, info
+
+    def fits(self, sums: np.ndarray, target: np.ndarray, size: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Coefficients, a bound of their error and standard errors; the bound is NaN where ``tol`` is not sure to be kept."""
+        moved, step, inverse = np.zeros_like(target), np.full(len(target), np.inf), None
+        with np.errstate(all="ignore"):
+            for _ in range(20):
+                score, info = self.score(sums, target, moved)
+                try:
+                    inverse = np.linalg.inv(np.where(np.isfinite(info), info, np.eye(self.p)))
+                except np.linalg.LinAlgError:
+                    return moved, np.full(len(target), np.nan), moved
+                change = np.einsum("rij,rj->ri", inverse, score)
+                moved, step = moved + change, np.abs(change @ self.back.T).max(axis=1)
+                if not (step > tol / 100).any():
+                    break
+            away = np.abs(moved).sum(axis=1)
+            reach = np.abs(inverse).sum(axis=2) * size[:, None]
+            left = self.rest * away ** (self.order + 1) + 8 * np.finfo(float).eps
+            bound = (reach * left[:, None]) @ np.abs(self.back).T
+            bent = reach.max(axis=1) * (self.order + 1) * self.rest * away ** self.order  # of the information, relatively
+            kept = (step <= tol / 100) & (bound.max(axis=1) <= tol / 10) & (bent <= 1e-7)
+            errors = np.sqrt(np.einsum("ij,rjk,ik->ri", self.back, inverse, self.back))
+        return self.beta + moved @ self.back.T, np.where(kept & np.isfinite(errors).all(axis=1), bound.max(axis=1), np.nan), errors
+
+
+def _expansion(rows: DataFrame, width: int, p: int, size: float, outcome: np.ndarray, tol: float, most: int = 9, spread: float = 3.0) -> _Expansion | None:
+    """About the fit to the sums ``outcome`` over the ``size`` rows; None if resampled fits would lie too far from it."""
+    x = lambda i: F.element_at("_x", i + 1)
+    ends = rows.agg(*[F.min(x(i)) for i in range(p)], *[F.max(x(i)) for i in range(p)]).first()
+    if ends[0] is None:
+        return None
+    low, high = np.array(ends[:p], dtype=float), np.array(ends[p:], dtype=float)
+    with np.errstate(all="ignore"):
+        middle, half = (low + high) / 2, (high - low) / 2
+    middle[0], half[0] = 0, 1
+    if not (np.isfinite(middle).all() and np.isfinite(half).all() and (half > 0).all()):
+        return None
+    beta, step, errors = _logistic_rounds(rows, width, p, None, np.zeros(1, np.int64), np.array([size]), outcome[None], tol=tol)
+    if not (step[0] <= tol and np.isfinite(errors[0]).all()):
+        return None
+    # the spread of the scaled coefficients, the constant being that at the middle of the regressors
+    near = errors[0] * half
+    near[0] = np.sqrt(errors[0, 0] ** 2 + (errors[0, 1:] * middle[1:]) ** 2 @ np.ones(p - 1))
+    away, reach = spread * near.sum(), 4 * size * (near ** 2).sum()
+    scale = np.abs(np.diag(1 / half)).max() + np.abs(middle[1:] / half[1:]).sum()
+    for order in range(2, most + 1):
+        found = _Expansion(beta[0], middle, half, order)
+        if found.width > _TERMS:
+            return None
+        if reach * found.rest * away ** order * max(away * scale / (tol / 10), (order + 1) / 1e-7) <= 1:
+            return found
+    return None
+
+
+def _logistic_terms(rows: DataFrame, xs: Sequence[str], replicate: str, label: np.ndarray, size: np.ndarray, coefficients: np.ndarray,
+                    step: np.ndarray, errors: np.ndarray, tol: float) -> DataFrame:
     state = rows.sparkSession.createDataFrame(
         [(int(b), c.tolist(), float(s), e.tolist(), float(w)) for b, c, s, e, w in zip(label, coefficients, step, errors, size)],
         f"`{replicate}` int, _beta array<double>, _step double, _se array<double>, _n double")
-    return linmod.logistic_terms(state, [replicate], terms, tol)
+    return linmod.logistic_terms(state, [replicate], [linmod.INTERCEPT, *xs], tol)
+
 
+def bootstrap_logistic(df: DataFrame, n: int, seed: int, key: Sequence[str], y: str, xs: Sequence[str], replicate: str = "b",
+                       tol: float = 1e-8) -> DataFrame:
+    """``linmod.fit_logistic`` of every replicate of ``resample.bootstrap_rows``.
 
-def bootstrap_logistic(df: DataFrame, n: int, seed: int, key: Sequence[str], y: str, xs: Sequence[str], replicate: str = "b") -> DataFrame:
-    """``linmod.fit_logistic`` of every replicate of ``resample.bootstrap_rows``."""
+    With many rows all replicates lie near the fit to the rows themselves: one pass sums a power series about it for
+    each of them.  Replicates for which that is not sure to be as good as ``tol`` take the rounds of the plain fit.
+    """
     xs = list(xs)
+    p, width = len(xs) + 1, len(xs) + 2
     used = df.dropna(subset=[y, *xs])
     rows = _dealt(used.select(draws.key_text(*[F.col(k) for k in key]).alias("_key"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in [*xs, y]]).alias("_x")),
                   "logistic-rows", "_key")
-    return _logistic_fits(rows, bootstrap_sums(used, n, seed, key, {}, replicate=replicate), seed, xs, replicate)
-
-
-def permuted_logistic(df: DataFrame, n: int, seed: int, key: Sequence[str], y: str, xs: Sequence[str], replicate: str = "b") -> DataFrame:
-    """``linmod.fit_logistic`` of every replicate of ``resample.permuted_outcome``, without rows that lack an outcome or a regressor."""
+    x = lambda i: F.element_at("_x", i + 1)
+    whole = rows.agg(F.count(F.lit(1)), *[F.sum(x(i) * x(p)) for i in range(p)]).first()
+    about = _expansion(rows, width, p, float(whole[0]), np.array(whole[1:], dtype=float), tol) if whole[0] else None
+    if about is None:
+        found = _weighted_sums(rows, [], n, seed, 1, lambda chunk: np.ones((chunk.num_rows, 1))).collect()  # one row per replicate
+        label, size = np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=float)
+        return _logistic_terms(rows, xs, replicate, label, size, *_logistic_rounds(rows, width, p, seed, label, size, None, tol=tol), tol)
+
+    def terms(chunk: pa.Table) -> np.ndarray:
+        values = _matrix(chunk["_x"], width)
+        return about.terms(values[:, :p], values[:, p])
+
+    added = _weighted_sums(rows, [], n, seed, about.width, terms)
+    found = np.array([list(r) for r in added.orderBy(*added.columns[:-min(about.width, _SUMS_IN_ROW)]).collect()], dtype=float)  # a few rows per replicate
+    label = np.unique(found[:, 0]).astype(np.int64)
+    sums = np.ascontiguousarray(found[:, -min(about.width, _SUMS_IN_ROW):]).reshape(len(label), -1)[:, :about.width]
+    size = sums[:, 0]
+    coefficients, step, errors = about.fits(sums, sums[:, 1:1 + p], size, tol)
+    far = np.flatnonzero(np.isnan(step))
+    if len(far):
+        coefficients[far], step[far], errors[far] = _logistic_rounds(rows, width, p, seed, label[far], size[far], None, tol=tol)
+    return _logistic_terms(rows, xs, replicate, label, size, coefficients, step, errors, tol)
+
+
+def permuted_logistic(df: DataFrame, n: int, seed: int, key: Sequence[str], y: str, xs: Sequence[str], replicate: str = "b",
+                      tol: float = 1e-8) -> DataFrame:
+    """``linmod.fit_logistic`` of every replicate of ``resample.permuted_outcome``, without rows that lack an outcome or a regressor.
+
+    Replicates differ in their sums of outcome times regressor only, so they share one power series about the fit to the mean of these.
+    """
     xs = list(xs)
+    p = len(xs) + 1
     used = materialize(df.dropna(subset=[y, *xs]).select(*dict.fromkeys([*key, y, *xs])), "logistic-rows")
     stats = permuted_moments(used, n, seed, key, y, xs, replicate)
     total = lambda c: F.col("n") * c
-    scores = stats.withColumn("_g", F.array(total(F.col(f"m_{y}")), *[total(F.col(f"c_{y}|{c}") + F.col(f"m_{y}") * F.col(f"m_{c}")) for c in xs]))
-    rows = used.select(F.monotonically_increasing_id().alias("_at"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in xs]).alias("_x"))
-    return _logistic_fits(_dealt(rows, "logistic-columns", "_at"), scores, None, xs, replicate)
+    scores = stats.select(replicate, "n", F.array(total(F.col(f"m_{y}")), *[total(F.col(f"c_{y}|{c}") + F.col(f"m_{y}") * F.col(f"m_{c}")) for c in xs]))
+    dealt = used.select(F.monotonically_increasing_id().alias("_at"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in xs]).alias("_x"))
+    rows = _dealt(dealt, "logistic-columns", "_at")
+    found = scores.collect()  # one row per replicate
+    label, size = np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=float)
+    outcome = np.array([r[2] for r in found], dtype=float).reshape(-1, p)
+    about = _expansion(rows, p, p, size[0], outcome.mean(axis=0), tol) if len(size) and (size == size[0]).all() else None
+    if about is None:
+        return _logistic_terms(rows, xs, replicate, label, size, *_logistic_rounds(rows, p, p, None, label, size, outcome, tol=tol), tol)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added = np.zeros(about.width)
+        for chunk in _chunks(batches, _ROWS_IN_PRODUCT):
+            added += about.terms(_matrix(chunk["_x"], p), None).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(about.width, dtype=np.int32)), pa.array(added)], names=["_i", "_s"])
+
+    added = rows.mapInArrow(sums, "_i int, _s double").groupBy("_i").agg(F.sum("_s").alias("_s")).orderBy("_i").collect()  # one row per sum
+    shared = np.array([r[1] for r in added], dtype=float)[None]
+    target = np.column_stack([outcome[:, 0], (outcome[:, 1:] - outcome[:, :1] * about.middle[1:]) / about.half[1:]])
+    coefficients, step, errors = about.fits(shared, target, size, tol)
+    far = np.flatnonzero(np.isnan(step))
+    if len(far):
+        coefficients[far], step[far], errors[far] = _logistic_rounds(rows, p, p, None, label[far], size[far], outcome[far], tol=tol)
+    return _logistic_terms(rows, xs, replicate, label, size, coefficients, step, errors, tol)
 
 
 # ---- equal-frequency bins of all replicates --------------------------------------

@@ -97,6 +97,65 @@ def test_fits_that_do_not_settle(spark):
     assert replicates.bootstrap_logistic(nothing, 3, 1, ["id"], "y", ["x"]).count() == 0
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    rng = np.random.default_rng(8)
+    x, z = rng.uniform(-3, 5, 30_000), rng.integers(0, 2, 30_000)
+    c = rng.random(30_000) < 1 / (1 + np.exp(0.4 - 0.3 * x + 0.5 * z))
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(30_000), "x": x, "z": z, "c": c.astype(int)})).repartition(4).localCheckpoint()
+
+
+@pytest.mark.parametrize("spread", [3.0, 0.3])
+def test_logistic_fits_of_many_rows_take_one_pass(many, monkeypatch, spread):
+    """Replicates near the fit to all rows come from a power series; what lies beyond its reach takes rounds of its own."""
+    rounds, expansion, in_rounds = replicates._logistic_rounds, replicates._expansion, []
+
+    def counted(rows, width, p, seed, label, *rest, **more):
+        in_rounds.append(len(label))
+        return rounds(rows, width, p, seed, label, *rest, **more)
+
+    monkeypatch.setattr(replicates, "_logistic_rounds", counted)
+    monkeypatch.setattr(replicates, "_expansion", lambda *a: expansion(*a, spread=spread))
+    columns = ["n", "converged", "estimate", "std_error", "p_value", "odds_ratio"]
+    want = linmod.fit_logistic(resample.bootstrap_rows(many, 8, 4, ["id"]), ["b"], "c", ["x", "z"], weight="w")
+    _near(replicates.bootstrap_logistic(many, 8, 4, ["id"], "c", ["x", "z"]), want, ["b", "term"], columns)
+    want = linmod.fit_logistic(resample.permuted_outcome(many, 8, 4, ["id"], "c"), ["b"], "c", ["x", "z"])
+    _near(replicates.permuted_logistic(many, 8, 4, ["id"], "c", ["x", "z"]), want, ["b", "term"], columns)
+    assert in_rounds == [1, 1] if spread == 3 else len(in_rounds) == 4
+
+
+def test_power_series_and_its_bound():
+    rng = np.random.default_rng(9)
+    x = np.column_stack([np.ones(500), rng.uniform(2, 4, 500), rng.normal(size=500)])
+    y, w = rng.integers(0, 2, 500).astype(float), rng.integers(0, 4, 500).astype(float)
+    beta = np.array([0.3, -0.1, 0.2])
+    low, high = x.min(axis=0), x.max(axis=0)
+    middle, half = (low + high) / 2, (high - low) / 2
+    middle[0], half[0] = 0, 1
+    for order in (2, 5, 8):
+        about = replicates._Expansion(beta, middle, half, order)
+        sums = (w @ about.terms(x, y))[None]
+        moved = np.array([[0.05, -0.08, 0.06]])
+        score, info = about.score(sums, sums[:, 1:4], moved)
+        at = beta + about.back @ moved[0]
+        z = (x - middle) / half
+        z[:, 0] = 1
+        mu = 1 / (1 + np.exp(-(x @ at)))
+        away = np.abs(moved).sum()
+        assert np.abs(score[0] - z.T @ (w * (y - mu))).max() <= w.sum() * about.rest * away ** (order + 1) + 1e-10
+        assert np.abs(info[0] - (z * (w * mu * (1 - mu))[:, None]).T @ z).max() <= w.sum() * (order + 1) * about.rest * away ** order + 1e-10
+
+
+def test_places_in_parts():
+    keys, n = [3_000_000_019, 5, 77_777, 4_294_967_295, 123_456_789, 0], 1_000_003
+    whole = draws.permuted_places(np.arange(n), keys, n)
+    assert (np.bincount(whole, minlength=n) == 1).all()
+    some = draws.Places(np.arange(500_000, 500_100), n)
+    tables = some.tables(keys)
+    assert some.sent(tables).tolist() == whole[500_000:500_100].tolist()
+    assert some.sent(tables, slice(40, 60)).tolist() == whole[500_040:500_060].tolist()
+
+
 def test_no_row_for_each_replicate(table):
     """The sums of 2,000 replicates come from one pass that returns no more rows than tasks times replicates."""
     plan = replicates.bootstrap_moments(table, 2000, 3, ["id"], ["y", "x"])._jdf.queryExecution().executedPlan().toString()
